@@ -1,0 +1,13 @@
+"""Queries over the driver's tables, each with the DuckDB text it must agree with."""
+
+import importlib
+
+MODULES = ("q_flagship",)
+
+
+def load():
+    from checks.registry import ORACLES, QUERIES
+
+    for m in MODULES:
+        importlib.import_module(f"checks.{m}")
+    return QUERIES, ORACLES
