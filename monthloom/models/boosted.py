@@ -98,10 +98,10 @@ def _features_at(hist: Column, ds: Column, lags, windows) -> list[Column]:
     return cols
 
 
-def recursive_forecast(
+def recursive_path(
     packed: DataFrame, scorer, horizon: int = 12, lags=LAGS, windows=ROLLING_WINDOWS, future=None, keep=()
 ) -> DataFrame:
-    """Predict a month, append it, rebuild the features, repeat: ``product, step, ds, yhat``.
+    """Predict a month, append it, rebuild the features, repeat; adds ``path ARRAY<DOUBLE>``.
 
     Only the most recent values are carried, as an array in the product's own row, so all
     products advance together in one narrow plan - no shuffle, join or checkpoint per step.
@@ -127,6 +127,12 @@ def recursive_forecast(
             F.array_append(hist, F.col("prediction")).alias("hist"),
             F.array_append("path", F.col("prediction")).alias("path"),
         )
+    return state
+
+
+def recursive_forecast(packed: DataFrame, scorer, horizon: int = 12, **options) -> DataFrame:
+    """``product, step, ds, yhat`` from :func:`recursive_path`."""
+    state = recursive_path(packed, scorer, horizon, **options)
     flat = state.select("product", "last", F.posexplode("path").alias("_k", "yhat"))
     return flat.select(
         "product", (F.col("_k") + 1).alias("step"), F.add_months("last", F.col("_k") + 1).alias("ds"), "yhat"

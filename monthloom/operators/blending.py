@@ -22,7 +22,7 @@ def model_position(models=None) -> Column:
 
 
 def inverse_mape_weights(
-    metrics: DataFrame, threshold: float = 0.5, max_models: int | None = None, models=None
+    metrics: DataFrame, threshold: float = 0.5, max_models: int | None = None, models=None, keep=()
 ) -> DataFrame:
     """``product, model, mape, weight, used``; weights sum to 1 per product.
 
@@ -30,7 +30,8 @@ def inverse_mape_weights(
     1/MAPE; if more than ``max_models`` compete, the best are kept.  If none qualifies,
     all models with a positive MAPE weigh the same.  ``used`` numbers the models: best
     first where the list had to be cut, in the order of ``models`` otherwise.
-    A product has at most as many rows as there are models.
+    A product has at most as many rows as there are models.  ``keep`` names further columns
+    to carry along.
     """
     product = W.partitionBy("product")
     limit = F.lit(max_models if max_models is not None else 2**31 - 1)
@@ -50,7 +51,7 @@ def inverse_mape_weights(
         .filter(F.col("_raw").isNotNull())
         .withColumn("weight", F.col("_raw") / F.sum("_raw").over(product))
         .withColumn("used", place)
-        .select("product", "model", "mape", "weight", "used")
+        .select("product", "model", "mape", "weight", "used", *keep)
     )
 
 

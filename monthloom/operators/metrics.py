@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions.expressions import ape, ape_eps
+from monthloom.functions.expressions import ape, ape_eps, array_sum
 
 KEYS = ("product", "model")
 
@@ -37,6 +37,22 @@ def evaluate_all(pairs: DataFrame, keys=KEYS, strict: bool = False) -> DataFrame
     return pairs.groupBy(*keys).agg(rmse_of().alias("rmse"), mape_of().alias("mape"), mae_of().alias("mae"))
 
 
+def array_metrics(actual: Column, path: Column) -> dict[str, Column]:
+    """The same three measures over two aligned arrays, for rows that hold a whole series."""
+    n = F.size(actual)
+    errs = F.zip_with(actual, path, lambda y, p: y - p)
+    shares = F.filter(F.zip_with(actual, path, lambda y, p: ape(y, p)), lambda v: v.isNotNull())
+
+    def mean(a):
+        return array_sum(a) / F.nullif(F.size(a), F.lit(0))
+
+    return {
+        "rmse": F.sqrt(array_sum(F.transform(errs, lambda e: e * e)) / F.nullif(n, F.lit(0))),
+        "mape": F.coalesce(mean(shares), F.lit(0.0)),
+        "mae": F.coalesce(mean(F.transform(errs, F.abs)), F.lit(0.0)),
+    }
+
+
 def aggregate_metrics(metrics: DataFrame, names=("rmse", "mape", "mae"), by=("model",)) -> DataFrame:
     """Mean and population deviation of each metric over products."""
     aggs = []

@@ -3,17 +3,18 @@
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthloom.models.autoreg import ar_fit, ar_path
 from monthloom.models.regress import regress_column
 from monthloom.models.sarima import sarima_path
 from monthloom.models.smoothing import hw_fit, hw_forecast_column
-from monthloom.operators.blending import ensemble_combine, usable_weights
+from monthloom.operators.blending import inverse_mape_weights
 from monthloom.operators.calendar import last_n_window, unpack
 from monthloom.operators.cleaning import clean_packed, clean_rows
 from monthloom.operators.joins import complete_weights
-from monthloom.operators.metrics import evaluate_all
+from monthloom.operators.metrics import array_metrics
 from monthloom.operators.screening import classify_filter, split_sizes
 from monthloom.settings import Settings
 
@@ -84,49 +85,77 @@ FORECASTERS = {
 }
 
 
-def fit_packed(packed: DataFrame, s: Settings, models, fit_on: str = "train+val") -> DataFrame:
-    """Adds ``bt_<model>`` (test months) and ``fc_<model>`` (future) to each product's row.
-
-    Every model reads the arrays of the row it sits in, so backtests and refits of all
-    models need no shuffle.  With ``fit_on='train'`` the validation months are skipped over
-    and the k-th forecast is compared with the k-th test month.
-    """
+def split_arrays(packed: DataFrame, s: Settings, fit_on: str = "train+val") -> DataFrame:
+    """Adds ``n_val, n_test``, the history ``head`` a backtest may see, and the ``actual`` test values."""
     val, test = split_sizes(F.col("n"), s.val_months, s.test_months)
     df = packed.withColumn("n_val", val).withColumn("n_test", test)
     cut = F.col("n") - F.col("n_test")
     head = cut if fit_on != "train" else cut - F.col("n_val")
     df = df.withColumn("head", F.slice("ys", 1, F.greatest(head, F.lit(0))))
-    df = df.withColumn("actual", F.slice("ys", cut + 1, F.col("n_test")))
+    return df.withColumn("actual", F.slice("ys", cut + 1, F.col("n_test")))
+
+
+def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
+    """Adds ``bt_<model>`` (test months) and ``fc_<model>`` (future) to each product's row.
+
+    Every model reads the arrays of the row it sits in, so backtests and refits of all
+    models need no shuffle.
+    """
     for m in models:
         df = FORECASTERS[m](df, F.col("head"), F.col("n_test"), f"bt_{m}")
         df = FORECASTERS[m](df, F.col("ys"), F.lit(s.horizon), f"fc_{m}")
     return df
 
 
-def backtest_pairs(fitted: DataFrame, models) -> DataFrame:
-    """``product, model, step, ds, y, yhat``; a model that could not be fitted has no rows."""
-    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"bt_{m}").alias("path")) for m in models])
-    first = F.add_months("start", F.col("n") - F.col("n_test"))
-    rows = fitted.select("product", first.alias("first"), "actual", F.inline(runs)).filter("path is not null")
-    z = F.arrays_zip(F.col("actual").alias("y"), F.col("path").alias("yhat"))
-    return rows.select("product", "model", "first", F.posexplode(z).alias("k", "z")).select(
-        "product", "model", (F.col("k") + 1).alias("step"), F.add_months("first", F.col("k")).alias("ds"), "z.y", "z.yhat"
+def model_rows(fitted: DataFrame, models) -> DataFrame:
+    """One row per product and fitted model: ``actual, bt, fc`` arrays and the error measures.
+
+    A model that could not be fitted has no row, so every row has both a backtest and a
+    forecast.  The rows stay partitioned by product.
+    """
+    runs = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(f"bt_{m}").alias("bt"), F.col(f"fc_{m}").alias("fc")) for m in models]
+    )
+    test_at, future_at = F.add_months("start", F.col("n") - F.col("n_test")), F.add_months("start", F.col("n"))
+    rows = fitted.select(
+        "product", "actual", test_at.alias("test_at"), future_at.alias("future_at"), F.inline(runs)
+    ).filter("bt is not null and fc is not null")
+    return rows.withColumns(array_metrics(F.col("actual"), F.col("bt")))
+
+
+def backtest_pairs(rows: DataFrame) -> DataFrame:
+    """``product, model, step, ds, y, yhat`` over the test months."""
+    z = F.arrays_zip(F.col("actual").alias("y"), F.col("bt").alias("yhat"))
+    return rows.select("product", "model", "test_at", F.posexplode(z).alias("k", "z")).select(
+        "product", "model", (F.col("k") + 1).alias("step"), F.add_months("test_at", F.col("k")).alias("ds"), "z.y", "z.yhat"
     )
 
 
-def future_rows_of(fitted: DataFrame, models) -> DataFrame:
-    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"fc_{m}").alias("path")) for m in models])
-    first = F.add_months("start", F.col("n"))
-    rows = fitted.select("product", first.alias("first"), F.inline(runs)).filter("path is not null")
-    return rows.select("product", "model", "first", F.posexplode("path").alias("k", "yhat")).select(
-        "product", "model", (F.col("k") + 1).alias("step"), F.add_months("first", F.col("k")).alias("ds"), "yhat"
+def future_paths(rows: DataFrame, *keep: str) -> DataFrame:
+    """``product, model, step, ds, yhat`` after the last month."""
+    return rows.select("product", "model", *keep, "future_at", F.posexplode("fc").alias("k", "yhat")).select(
+        "product", "model", *keep, (F.col("k") + 1).alias("step"), F.add_months("future_at", F.col("k")).alias("ds"), "yhat"
     )
 
 
-def blend(cleaned, pairs, forecasts, s: Settings, models, **extras) -> Outlook:
-    metrics = evaluate_all(pairs)
-    weights = usable_weights(metrics, forecasts, s.mape_threshold, s.max_models, models)
-    return Outlook(cleaned, pairs, metrics, forecasts, weights, ensemble_combine(forecasts, weights), extras)
+def blend(cleaned: DataFrame, rows: DataFrame, s: Settings, models, **extras) -> Outlook:
+    """Metrics, weights and the blended path from :func:`model_rows`, without joins.
+
+    Weights are window expressions over the few rows of a product, and the blend groups by
+    product and step, so everything keeps the partitioning the rows came with.
+    """
+    metrics = rows.select("product", "model", "rmse", "mape", "mae")
+    weighted = inverse_mape_weights(rows, s.mape_threshold, s.max_models, models, keep=("fc", "future_at"))
+    want = F.min_by(F.size("fc"), "used").over(W.partitionBy("product"))
+    usable = weighted.withColumn("_want", want)
+    counted = future_paths(usable.withColumn("_n", F.size("fc")), "weight", "_n", "_want")
+    share = F.when(F.col("_n") == F.col("_want"), F.col("weight") * F.col("yhat")).otherwise(0.0)
+    ensemble = (
+        counted.filter(F.col("step") <= F.col("_want")).groupBy("product", "step", "ds").agg(F.sum(share).alias("yhat"))
+    )
+    return Outlook(
+        cleaned, backtest_pairs(rows), metrics, future_paths(rows), weighted.drop("fc", "future_at"), ensemble, extras
+    )
 
 
 def cleaned_long(packed: DataFrame) -> DataFrame:

@@ -1,30 +1,38 @@
 """Runs with features: the product's own, or also the demand of other products."""
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.models.boosted import TEMPORAL, gbt_fit, model_scorer, recursive_forecast, training_table, tree_importance
+from monthloom.functions.expressions import array_sum
+from monthloom.models.boosted import TEMPORAL, gbt_fit, model_scorer, recursive_path, training_table, tree_importance
 from monthloom.models.regress import regress_column
 from monthloom.operators.calendar import pack, reindex_calendar
 from monthloom.operators.encoding import encode_and_scale
-from monthloom.operators.influence import coef_importance, ensemble_importance, importance_priority
+from monthloom.operators.influence import (
+    coef_importance,
+    combine_importances,
+    ensemble_importance,
+    importance_priority,
+)
 from monthloom.operators.joins import cross_product, split_with_features
-from monthloom.operators.screening import require_inputs, split_sizes
+from monthloom.operators.screening import require_inputs
 from monthloom.plans.common import (
     Outlook,
-    backtest_pairs,
     blend,
     cleaned_long,
     cleaned_report,
     fit_packed,
-    future_rows_of,
+    model_rows,
     prepare,
+    split_arrays,
 )
 from monthloom.session import cut_lineage
 from monthloom.settings import Settings
 
+UNIVARIATE = ("SARIMA", "HoltWinters")
+MULTIVARIATE = ("XGBoost", "Prophet")
+ALL_KINDS = (*UNIVARIATE, *MULTIVARIATE)
+
 
 def encoded_table(cleaned: DataFrame, features: DataFrame, categorical, numeric, s: Settings) -> DataFrame:
     """``product, ds, y, i, n, split, <feature>...`` with codes and scaled values fitted on train."""
@@ -52,47 +60,57 @@ def _matrix(exog, names):
 
 
 def _boosted(table, packed, names, s: Settings, tree_options):
-    """Backtest and refit of the boosted trees; two distributed fits."""
+    """Adds ``bt_XGBoost`` and ``fc_XGBoost``; two distributed fits over all products.
+
+    Scoring is narrow: both paths are computed in the product's own row, one after the other.
+    """
     inputs = (*TEMPORAL, "level", *names)
-    _, test = split_sizes(F.col("n"), s.val_months, s.test_months)
     known = table.filter("split <> 'test'").select("product", "ds", "y", *names)
     everything = table.select("product", "ds", "y", *names)
     first = gbt_fit(cut_lineage(training_table(known)), inputs, **tree_options)
     final = gbt_fit(cut_lineage(training_table(everything)), inputs, **tree_options)
-
-    cut = F.col("n") - F.col("_t")
-    head = packed.withColumn("_t", test).select(
-        "product",
-        "start",
-        cut.alias("n"),
-        F.slice("ys", 1, cut).alias("ys"),
-        F.slice("exog", cut + 1, F.col("_t")).alias("ahead"),
-        F.slice("ys", cut + 1, F.col("_t")).alias("actual"),
+    kept = packed.columns
+
+    def level(ys):
+        return array_sum(ys) / F.size(ys)
+
+    # recursive_path reads start, n and ys, so the full history steps aside for the backtest
+    df = packed.withColumns({"_all": F.col("ys"), "_len": F.col("n")})
+    df = df.withColumns(
+        {
+            "ahead": F.slice("exog", F.size("head") + 1, F.col("n_test")),
+            "level": level(F.col("head")),
+            "n": F.size("head"),
+            "ys": F.col("head"),
+        }
+    )
+    carried = [c for c in kept if c not in ("product", "n", "ys")]
+    df = recursive_path(df, model_scorer(first), s.test_months, future="ahead", keep=(*carried, "level", "_all", "_len"))
+    df = df.withColumn("bt_XGBoost", F.slice("path", 1, F.col("n_test"))).drop("path", "hist", "last", "ahead")
+    df = df.withColumns(
+        {
+            "ys": F.col("_all"),
+            "n": F.col("_len"),
+            "level": level(F.col("_all")),
+            "ahead": _repeat_last(F.col("exog"), s.horizon),
+        }
     )
-    head = head.withColumn("level", F.aggregate("ys", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
-    test_path = recursive_forecast(head, model_scorer(first), s.test_months, future="ahead", keep=("level",))
-    truth = head.select("product", F.posexplode("actual").alias("_k", "y")).select("product", (F.col("_k") + 1).alias("step"), "y")
-    pairs = truth.join(test_path, ["product", "step"]).select(
-        "product", F.lit("XGBoost").alias("model"), "step", "ds", "y", "yhat"
+    df = recursive_path(
+        df, model_scorer(final), s.horizon, future="ahead", keep=(*carried, "level", "_all", "_len", "bt_XGBoost")
     )
-    full = packed.withColumn("ahead", _repeat_last(F.col("exog"), s.horizon))
-    full = full.withColumn("level", F.aggregate("ys", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
-    path = recursive_forecast(full, model_scorer(final), s.horizon, future="ahead", keep=("level",))
-    return pairs, path.select("product", F.lit("XGBoost").alias("model"), "step", "ds", "yhat"), final, inputs
+    df = df.withColumn("fc_XGBoost", F.col("path"))
+    df = df.withColumns({"ys": F.col("_all"), "n": F.col("_len")})
+    return df.select(*kept, "bt_XGBoost", "fc_XGBoost"), final, inputs
 
 
 def _regression(packed, names, s: Settings, **options):
-    """Backtest and refit of trend + season + regressors; both stay in the product's row."""
-    _, test = split_sizes(F.col("n"), s.val_months, s.test_months)
-    df = packed.withColumn("n_test", test).withColumn("xs", _matrix(F.col("exog"), names))
-    cut = F.col("n") - F.col("n_test")
-    df = df.withColumn("head", F.slice("ys", 1, cut)).withColumn("actual", F.slice("ys", cut + 1, F.col("n_test")))
+    """Adds ``bt_Prophet``, ``fc_Prophet`` and the struct ``fit``, all in the product's row."""
+    df = packed.withColumn("xs", _matrix(F.col("exog"), names))
     bt = regress_column(F.col("head"), F.col("start"), s.test_months, F.col("xs"), **options)
     fc = regress_column(F.col("ys"), F.col("start"), s.horizon, F.col("xs"), **options)
     df = df.withColumn("_bt", bt).withColumn("fit", fc)
     df = df.withColumn("bt_Prophet", F.slice("_bt.yhat", F.size("head") + 1, F.col("n_test")))
-    df = df.withColumn("fc_Prophet", F.slice("fit.yhat", F.col("n") + 1, s.horizon))
-    return backtest_pairs(df, ["Prophet"]), future_rows_of(df, ["Prophet"]), df
+    return df.withColumn("fc_Prophet", F.slice("fit.yhat", F.col("n") + 1, s.horizon)).drop("_bt", "xs")
 
 
 def run_features(
@@ -100,7 +118,7 @@ def run_features(
     features: DataFrame,
     categorical=(),
     numeric=(),
-    settings: Settings = Settings(models=("XGBoost", "Prophet")),
+    settings: Settings = Settings(models=MULTIVARIATE),
     bounds: DataFrame | None = None,
     tree_options: dict | None = None,
     extra=None,
@@ -120,39 +138,30 @@ def run_features(
         numeric += names
     table = cut_lineage(encoded_table(cleaned, features, list(categorical), numeric, s))
     names = [*categorical, *numeric]
-    packed = _packed_with_exog(table, names)
-    pairs, forecasts, importances = [], [], []
+    packed = split_arrays(_packed_with_exog(table, names), s)
+    fitted, importances = packed, []
     if "XGBoost" in s.models:
-        p, f, model, inputs = _boosted(table, packed, names, s, tree_options or {})
-        pairs.append(p)
-        forecasts.append(f)
-        gain = tree_importance(table.sparkSession, model, inputs)
-        owners = packed.select("product").withColumn("model", F.lit("XGBoost")).withColumn("imp_type", F.lit("builtin"))
-        rows = F.array(*[F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["pct"]).alias("pct")) for r in gain.collect()])
-        importances.append(owners.select("product", "model", "imp_type", F.inline(rows)))
+        fitted, model, inputs = _boosted(table, fitted, names, s, tree_options or {})
+        gain = tree_importance(table.sparkSession, model, inputs).collect()  # one row per feature
+        pairs = F.array(*[F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["pct"]).alias("pct")) for r in gain])
+        owner = packed.select("product", F.lit("XGBoost").alias("model"), F.lit("builtin").alias("imp_type"), pairs.alias("_p"))
+        importances.append(owner.select("product", "model", "imp_type", F.inline("_p")))
     if "Prophet" in s.models:
-        p, f, fitted = _regression(packed, names, s)
-        pairs.append(p)
-        forecasts.append(f)
+        fitted = _regression(fitted, names, s)
         shares = coef_importance(fitted, names)
-        importances.append(
-            shares.select("product", F.lit("Prophet").alias("model"), F.lit("regressor_coefficients").alias("imp_type"), "feature", "pct")
-        )
-    out = blend(cleaned_report(prepared), _union(pairs), _union(forecasts), s, list(s.models), table=table, packed=packed)
-    every = _union(importances)
-    out.extras["importances"] = every
+        kind = F.lit("regressor_coefficients").alias("imp_type")
+        importances.append(shares.select("product", F.lit("Prophet").alias("model"), kind, "feature", "pct"))
+    univariate = [m for m in s.models if m in UNIVARIATE]
+    fitted = cut_lineage(fit_packed(fitted, s, univariate))
+    every = combine_importances(*importances)
+    out = blend(
+        cleaned_report(prepared), model_rows(fitted, s.models), s, s.models, table=table, fitted=fitted, importances=every
+    )
     out.extras["ensemble_importance"] = ensemble_importance(importance_priority(every), out.weights)
     return out
 
 
-def _union(parts):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def run_cross(demand, features, categorical=(), numeric=(), settings=Settings(models=("XGBoost", "Prophet")), lag: int = 0, **options) -> Outlook:
+def run_cross(demand, features, categorical=(), numeric=(), settings=Settings(models=MULTIVARIATE), lag: int = 0, **options) -> Outlook:
     """The feature run with the demand of all other products added as ``<other>_demand``."""
 
     def others(cleaned):
@@ -162,16 +171,6 @@ def run_cross(demand, features, categorical=(), numeric=(), settings=Settings(mo
     return run_features(demand, features, categorical, numeric, settings, extra=others, **options)
 
 
-def run_default(demand, features, categorical=(), numeric=(), settings: Settings = Settings(), **options) -> Outlook:
+def run_default(demand, features, categorical=(), numeric=(), settings=Settings(models=ALL_KINDS), **options) -> Outlook:
     """All model kinds side by side, blended together."""
-    s = settings
-    multi = replace(s, models=("XGBoost", "Prophet"))
-    with_features = run_features(demand, features, categorical, numeric, multi, **options)
-    fitted = fit_packed(with_features.extras["packed"], s, s.models)
-    pairs = backtest_pairs(fitted, s.models).unionByName(with_features.pairs)
-    forecasts = future_rows_of(fitted, s.models).unionByName(with_features.forecasts)
-    out = blend(with_features.cleaned, pairs, forecasts, s, [*s.models, *multi.models], **with_features.extras)
-    out.extras["ensemble_importance"] = ensemble_importance(
-        importance_priority(out.extras["importances"]), out.weights
-    )
-    return out
+    return run_features(demand, features, categorical, numeric, settings, **options)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 
 from monthloom.operators.calendar import reindex_calendar
 from monthloom.operators.screening import require_inputs
-from monthloom.plans.common import Outlook, backtest_pairs, blend, cleaned_report, fit_packed, future_rows_of, prepare
+from monthloom.plans.common import Outlook, blend, cleaned_report, fit_packed, model_rows, prepare, split_arrays
 from monthloom.settings import Settings
 
 
@@ -18,6 +18,9 @@ def run_univariate(
 ) -> Outlook:
     """From a long demand table to the blended outlook of every product.
 
+    With ``fit_on='train'`` the validation months are kept from the models as well, and the
+    k-th forecast is compared with the k-th test month.
+
     Raw facts are reduced by month first; then one shuffle by product feeds the month
     grid, the screening, the cleaning and all model fits.  ``cache`` keeps the fitted rows
     when several of the resulting tables will be written.
@@ -25,8 +28,7 @@ def run_univariate(
     require_inputs(demand)
     s = settings
     packed = prepare(reindex_calendar(demand, bounds), s, screen)
-    fitted = fit_packed(packed, s, s.models, fit_on)
+    fitted = fit_packed(split_arrays(packed, s, fit_on), s, s.models)
     if cache:
         fitted = fitted.persist()
-    pairs = backtest_pairs(fitted, s.models)
-    return blend(cleaned_report(packed), pairs, future_rows_of(fitted, s.models), s, s.models, packed=packed, fitted=fitted)
+    return blend(cleaned_report(packed), model_rows(fitted, s.models), s, s.models, packed=packed, fitted=fitted)
