@@ -19,8 +19,8 @@ def month_of(c) -> Column:
 def parse_period(c: Column, fmt: str = "M.yyyy") -> Column:
     """Header text to DATE; NULL when nothing fits.
 
-    Tried in turn: ``fmt``, the alternates above, ``M.YYYY`` within 1900-2100, a
-    spreadsheet serial day number, ``MMYYYY``, and any ISO timestamp.
+    Tried in turn: ``fmt``, the alternates above, ``M.YYYY`` within 1900-2100, ``MMYYYY``,
+    a spreadsheet serial day number (at most five digits), and any ISO timestamp.
     """
     t = F.trim(c)
     by_format = [F.try_to_timestamp(t, F.lit(f)).cast("date") for f in (fmt, *PERIOD_FORMATS)]
@@ -34,7 +34,7 @@ def parse_period(c: Column, fmt: str = "M.yyyy") -> Column:
     )
     compact = F.when(t.rlike(r"^(0[1-9]|1[0-2])\d{4}$"), F.try_to_timestamp(t, F.lit("MMyyyy")).cast("date"))
     generic = F.when(~t.rlike(r"^\d+(\.\d+)?$"), t.try_cast("timestamp").cast("date"))
-    return F.coalesce(*by_format, dotted, serial, compact, generic)
+    return F.coalesce(*by_format, dotted, compact, serial, generic)
 
 
 def coerce_numeric(c: Column) -> Column:
