@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_flagship", "q_sources", "q_windows", "q_clean", "q_blend", "q_encode")
+MODULES = ("q_flagship", "q_sources", "q_windows", "q_clean", "q_blend", "q_encode", "q_models", "q_influence")
 
 
 def load():

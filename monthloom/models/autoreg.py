@@ -6,7 +6,6 @@ The regression sums and the closed-form path need no Python and no shuffle.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions.expressions import array_sum
 from monthloom.operators.calendar import by_month
 from monthloom.settings import SEASON
 
@@ -24,38 +23,58 @@ def differenced(ys: Column) -> Column:
     return F.zip_with(F.slice(ys, 2, F.greatest(n - 1, F.lit(0))), F.slice(ys, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
 
 
-def ar_fit(packed: DataFrame, order: int = 0, ys: Column | str = "ys") -> DataFrame:
-    """Adds ``phi, const, last_y, last_w``: w[t] = const + phi * w[t-1] by least squares.
+def ar_column(ys: Column, order: int = 0) -> Column:
+    """STRUCT<phi, const, last_y, last_w> of w[t] = const + phi * w[t-1] by least squares.
 
-    ``order`` is the number of differences (0 or 1).  A constant regressor gives phi 0 and
-    the mean; a series too short for a regression keeps its last value.
+    One fold over the (previous, current) pairs collects the sums, shifted by the first
+    value so that they stay small.  A constant regressor gives phi 0 and the mean; a series
+    too short for a regression keeps its last value.
     """
-    ys = F.col(ys) if isinstance(ys, str) else ys
     w = differenced(ys) if order else ys
-    out = packed.withColumn("_w", w).withColumn("_k", F.greatest(F.size("_w") - 1, F.lit(0)))
-    out = out.withColumn("_x", F.slice("_w", 1, F.col("_k"))).withColumn("_t", F.slice("_w", 2, F.col("_k")))
-    out = out.withColumn("_mx", array_sum(F.col("_x")) / F.nullif(F.col("_k"), F.lit(0))).withColumn(
-        "_mt", array_sum(F.col("_t")) / F.nullif(F.col("_k"), F.lit(0))
+    last_w = F.get(w, F.size(w) - 1)
+    k = F.greatest(F.size(w) - 1, F.lit(0))
+    base = F.coalesce(F.get(w, F.lit(0)), F.lit(0.0))
+    pairs = F.zip_with(
+        F.slice(w, 1, k), F.slice(w, 2, k), lambda x, t: F.struct((x - base).alias("x"), (t - base).alias("t"), base.alias("b"))
     )
-    sxx = array_sum(F.transform("_x", lambda v: (v - F.col("_mx")) * (v - F.col("_mx"))))
-    sxy = array_sum(F.zip_with("_x", "_t", lambda x, t: (x - F.col("_mx")) * (t - F.col("_mt"))))
-    out = out.withColumn("_sxx", sxx).withColumn("_sxy", sxy)
-    out = out.withColumn("phi", F.coalesce(F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0)), F.lit(0.0)))
-    last_w = F.get("_w", F.size("_w") - 1)
-    const = F.coalesce(F.col("_mt") - F.col("phi") * F.col("_mx"), last_w if order == 0 else F.lit(0.0))
-    return (
-        out.withColumn("const", const)
-        .withColumn("last_y", F.get(ys, F.size(ys) - 1))
-        .withColumn("last_w", F.coalesce(last_w, F.lit(0.0)))
-        .withColumn("d", F.lit(order))
-        .drop("_w", "_k", "_x", "_t", "_mx", "_mt", "_sxx", "_sxy")
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(c) for c in ("n", "x", "t", "xx", "xt", "b")])
+
+    def add(s, p):
+        return F.struct(
+            (s["n"] + 1.0).alias("n"),
+            (s["x"] + p["x"]).alias("x"),
+            (s["t"] + p["t"]).alias("t"),
+            (s["xx"] + p["x"] * p["x"]).alias("xx"),
+            (s["xt"] + p["x"] * p["t"]).alias("xt"),
+            p["b"].alias("b"),
+        )
+
+    def solve(s):
+        sxx, sxt = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["xt"] - s["x"] * s["t"]
+        phi = F.when(sxx > 1e-9, sxt / F.nullif(sxx, zero)).otherwise(0.0)
+        return F.struct(phi.alias("phi"), (s["b"] * (1 - phi) + (s["t"] - phi * s["x"]) / F.nullif(s["n"], zero)).alias("const"))
+
+    fit = F.aggregate(pairs, start, add, solve)
+    fallback = F.coalesce(last_w, zero) if order == 0 else zero
+    return F.struct(
+        fit["phi"].alias("phi"),
+        F.coalesce(fit["const"], fallback).alias("const"),
+        F.get(ys, F.size(ys) - 1).alias("last_y"),
+        F.coalesce(last_w, zero).alias("last_w"),
     )
 
 
-def ar_path(horizon, order: int = 0) -> Column:
+def ar_fit(packed: DataFrame, order: int = 0, ys: Column | str = "ys") -> DataFrame:
+    """Adds the struct ``fit``; ``order`` is the number of differences (0 or 1)."""
+    return packed.withColumn("fit", ar_column(F.col(ys) if isinstance(ys, str) else ys, order))
+
+
+def ar_path(horizon, order: int = 0, fit: Column | None = None) -> Column:
     """ARRAY<DOUBLE> of forecasts, in closed form, differences undone."""
     horizon = F.lit(horizon) if isinstance(horizon, int) else horizon
-    phi, c, y, w = F.col("phi"), F.col("const"), F.col("last_y"), F.col("last_w")
+    fit = F.col("fit") if fit is None else fit
+    phi, c, y, w = fit["phi"], fit["const"], fit["last_y"], fit["last_w"]
     unit = F.abs(phi - 1) < 1e-9
     mu = c / F.when(unit, F.lit(1.0)).otherwise(1 - phi)
 
@@ -65,10 +84,10 @@ def ar_path(horizon, order: int = 0) -> Column:
         if order == 0:
             return F.when(unit, w + c * kd).otherwise(mu + power * (w - mu))
         drift = w * kd + c * kd * (kd + 1) / 2
-        total = mu * kd + (w - mu) * phi * (1 - power) / (1 - phi)
+        total = mu * kd + (w - mu) * phi * (1 - power) / F.when(unit, F.lit(1.0)).otherwise(1 - phi)
         return y + F.when(unit, drift).otherwise(total)
 
-    return F.when(horizon > 0, F.transform(F.sequence(F.lit(1), horizon), value))
+    return F.when((horizon > 0) & y.isNotNull(), F.transform(F.sequence(F.lit(1), horizon), value))
 
 
 def ar_forecast(fitted: DataFrame, horizon: int = 12, order: int = 0) -> DataFrame:

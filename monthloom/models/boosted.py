@@ -67,35 +67,51 @@ def model_scorer(model: PipelineModel):
     return lambda df: model.transform(df).drop("features")
 
 
-def linear_scorer(expression):
-    """A scorer from a column expression over the features."""
-    return lambda df: df.withColumn("prediction", expression)
-
-
 def _tail(hist: Column, k: int) -> Column:
     return F.slice(hist, F.greatest(F.size(hist) - (k - 1), F.lit(1)), k)
 
 
-def _features_at(hist: Column, ds: Column, lags, windows) -> list[Column]:
+def _squares(values: Column, center: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - center) * (v - center))
+
+
+def _features_at(hist: Column, ds: Column, lags, windows) -> dict[str, Column]:
     """The features of the next month from the values so far; what is missing is 0."""
     n = F.size(hist)
-    cols = [F.coalesce(F.get(hist, n - k), F.lit(0.0)).alias(f"y_lag_{k}") for k in lags]
+    out = {f"y_lag_{k}": F.coalesce(F.get(hist, n - k), F.lit(0.0)) for k in lags}
     for k in windows:
         last = _tail(hist, k)
         mean = array_sum(last) / k
-        var = F.aggregate(last, F.lit(0.0), lambda acc, v, m=mean: acc + (v - m) * (v - m)) / (k - 1)
         full = n >= k
-        cols.append(F.when(full, mean).otherwise(0.0).alias(f"y_roll_mean_{k}"))
-        cols.append(F.when(full, F.sqrt(var)).otherwise(0.0).alias(f"y_roll_std_{k}"))
+        out[f"y_roll_mean_{k}"] = F.when(full, mean).otherwise(0.0)
+        out[f"y_roll_std_{k}"] = F.when(full, F.sqrt(_squares(last, mean) / (k - 1))).otherwise(0.0)
     angle = F.lit(2 * math.pi) * F.month(ds) / 12
-    cols += [
-        F.month(ds).alias("month"),
-        F.quarter(ds).alias("quarter"),
-        F.year(ds).alias("year"),
-        F.sin(angle).alias("month_sin"),
-        F.cos(angle).alias("month_cos"),
-    ]
-    return cols
+    return out | {
+        "month": F.month(ds),
+        "quarter": F.quarter(ds),
+        "year": F.year(ds),
+        "month_sin": F.sin(angle),
+        "month_cos": F.cos(angle),
+    }
+
+
+def recursive_fold(packed: DataFrame, score, horizon: int = 12, lags=LAGS, windows=ROLLING_WINDOWS) -> DataFrame:
+    """Recursive forecast for a model that is a column expression: one fold per product.
+
+    ``score`` maps the feature columns by name to the prediction of the next month.
+    """
+    need = max(*lags, *windows)
+    last = F.add_months("start", F.col("n") - 1)
+    seed = _tail(F.col("ys"), need)
+
+    def step(values, k):
+        return F.array_append(values, score(_features_at(values, F.add_months(last, k), lags, windows)))
+
+    path = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), seed, step), F.size(seed) + 1, horizon)
+    flat = packed.select("product", last.alias("last"), F.posexplode(path).alias("_k", "yhat"))
+    return flat.select(
+        "product", (F.col("_k") + 1).alias("step"), F.add_months("last", F.col("_k") + 1).alias("ds"), "yhat"
+    )
 
 
 def recursive_path(
@@ -105,6 +121,8 @@ def recursive_path(
 
     Only the most recent values are carried, as an array in the product's own row, so all
     products advance together in one narrow plan - no shuffle, join or checkpoint per step.
+    ``scorer`` is a fitted model's transform; for a plain expression use
+    :func:`recursive_fold`, as the optimizer would inline twelve nested steps of it.
     ``future`` names an ARRAY<STRUCT> column holding the exogenous features of each step.
     """
     need = max(*lags, *windows)
@@ -115,7 +133,8 @@ def recursive_path(
     )
     kept = state.columns
     for step in range(1, horizon + 1):
-        cols = _features_at(F.col("hist"), F.add_months("last", step), lags, windows)
+        built = _features_at(F.col("hist"), F.add_months("last", step), lags, windows)
+        cols = [c.alias(name) for name, c in built.items()]
         exog = []
         if future:
             fields = [f.name for f in state.schema[future].dataType.elementType.fields]

@@ -124,13 +124,18 @@ def _fit_udf(grid, trend, seasonal, m):
     return fit
 
 
+def hw_column(ys: Column, grid=GRID, trend="add", seasonal="add", m: int = SEASON) -> Column:
+    """STRUCT with the chosen parameters and the final state."""
+    return _fit_udf(grid, trend, seasonal, m)(ys)
+
+
 def hw_fit(packed: DataFrame, grid=GRID, trend="add", seasonal="add", m: int = SEASON, ys: Column | str = "ys"):
     """Adds the struct ``fit`` (chosen parameters and the final state) to a packed table.
 
     Fewer than two seasons of data drop the season; fewer than three points the trend.
     """
     ys = F.col(ys) if isinstance(ys, str) else ys
-    return packed.withColumn("fit", _fit_udf(grid, trend, seasonal, m)(ys))
+    return packed.withColumn("fit", hw_column(ys, grid, trend, seasonal, m))
 
 
 def hw_forecast_column(horizon, fit: Column | None = None) -> Column:

@@ -41,17 +41,13 @@ def reindex_calendar(demand: DataFrame, bounds: DataFrame | None = None) -> Data
         bounds = demand.agg(F.struct(F.min("ds").alias("lo"), F.max("ds").alias("hi")).alias("b"))
     b = bounds.scalar()
     w = by_month()
-    framed = (
-        demand.withColumn("_lo", b.getField("lo"))
-        .withColumn("_hi", b.getField("hi"))
-        .filter(F.col("ds").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("_from", F.when(F.lag("ds").over(w).isNull(), F.col("_lo")).otherwise(F.col("ds")))
-        .withColumn("_to", F.coalesce(F.add_months(F.lead("ds").over(w), -1), F.col("_hi")))
-    )
-    month = F.explode(F.sequence("_from", "_to", F.expr("interval 1 month")))
-    return framed.select("product", month.alias("_m"), F.col("ds").alias("_ds"), "y").select(
-        "product", F.col("_m").alias("ds"), F.when(F.col("_m") == F.col("_ds"), F.col("y")).alias("y")
-    )
+    framed = demand.select("product", "ds", "y", b.getField("lo").alias("_lo"), b.getField("hi").alias("_hi"))
+    framed = framed.filter(F.col("ds").between(F.col("_lo"), F.col("_hi")))
+    first = F.when(F.lag("ds").over(w).isNull(), F.col("_lo")).otherwise(F.col("ds"))
+    until = F.coalesce(F.add_months(F.lead("ds").over(w), -1), F.col("_hi"))
+    framed = framed.select("product", "ds", "y", F.sequence(first, until, F.expr("interval 1 month")).alias("_s"))
+    months = framed.select("product", F.explode("_s").alias("_m"), F.col("ds").alias("_ds"), "y")
+    return months.select("product", F.col("_m").alias("ds"), F.when(F.col("_m") == F.col("_ds"), F.col("y")).alias("y"))
 
 
 def last_n_window(demand: DataFrame, n: int = 60, keep_rank: str | None = None) -> DataFrame:
@@ -69,12 +65,12 @@ def pack(demand: DataFrame, *extra: str) -> DataFrame:
     """Long to packed.  A group is one product's months, bounded by the window."""
     rows = F.array_sort(F.collect_list(F.struct("ds", "y", *extra)))
     packed = demand.groupBy("product").agg(rows.alias("_r"))
-    cols = [F.transform("_r", lambda s, c=c: s.getField(c)).alias(c) for c in extra]
+    cols = [F.col("_r").getField(c).alias(c) for c in extra]
     return packed.select(
         "product",
         F.col("_r")[0]["ds"].alias("start"),
         F.size("_r").alias("n"),
-        F.transform("_r", lambda s: s["y"]).alias("ys"),
+        F.col("_r").getField("y").alias("ys"),
         *cols,
     )
 

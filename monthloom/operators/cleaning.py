@@ -23,17 +23,18 @@ from monthloom.operators.calendar import by_month
 def _repair_runs(df: DataFrame, col: str, is_bad: Column, out: str, flag: str) -> DataFrame:
     w = by_month()
     before = w.rowsBetween(W.unboundedPreceding, -1)
-    marked = df.withColumn(flag, is_bad)
     good = F.when(~F.col(flag), F.struct(F.col(col).alias("v")))
-    marked = (
-        marked.withColumn("_prev", F.lag(col).over(w))
-        .withColumn("_prev_bad", F.coalesce(F.lag(flag).over(w), F.lit(False)))
-        .withColumn("_next", F.lead(col).over(w))
-        .withColumn("_before_run", F.last(good, ignorenulls=True).over(before)["v"])
+    marked = df.withColumn(flag, is_bad).withColumns(
+        {
+            "_prev": F.lag(col).over(w),
+            "_prev_bad": F.coalesce(F.lag(flag).over(w), F.lit(False)),
+            "_next": F.lead(col).over(w),
+            "_before_run": F.last(good, ignorenulls=True).over(before)["v"],
+        }
     )
     prev = F.when(F.col("_prev_bad"), F.coalesce("_before_run", F.lit(0.0))).otherwise(F.col("_prev"))
     fixed = F.when(F.col(flag), neighbor_mean(prev, F.col("_next"))).otherwise(F.col(col))
-    return marked.withColumn(out, fixed).drop("_prev", "_prev_bad", "_next", "_before_run")
+    return marked.select(*df.columns, flag, fixed.alias(out))
 
 
 def clean_negative(demand: DataFrame, col: str = "y", out: str = "c1") -> DataFrame:
@@ -90,14 +91,14 @@ def clean_packed(demand: DataFrame, multiplier: float = 3.0) -> DataFrame:
     """
     w = by_month()
     staged = clean_missing(clean_negative(demand))
-    staged = staged.withColumn("d", F.col("c2") - F.lag("c2").over(w)).withColumn("_nxt", F.lead("c2").over(w))
+    staged = staged.withColumns({"d": F.col("c2") - F.lag("c2").over(w), "_nxt": F.lead("c2").over(w)})
     packed = staged.groupBy("product").agg(
         F.array_sort(F.collect_list(F.struct("ds", "y", "c1", "c2", "neg", "mis", "d", "_nxt"))).alias("rows"),
         F.percentile("d", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
         F.count("d").alias("_nd"),
     )
     lo, hi = _bounds(F.col("_q")[0], F.col("_q")[1], F.col("_nd"), multiplier)
-    packed = packed.withColumn("lower", lo).withColumn("upper", hi)
+    packed = packed.withColumns({"lower": lo, "upper": hi})
     suspicious = F.exists(
         "rows",
         lambda r: ((r["d"] < F.col("lower")) | (r["d"] > F.col("upper"))) & ~r["neg"] & ~r["mis"],

@@ -46,7 +46,7 @@ def pack_features(rows: DataFrame, features, target: str = "y", order: str = "ds
     entry = F.struct(order, *[c for c in (target, *features) if c != order])
     packed = rows.groupBy("product", *keep).agg(F.array_sort(F.collect_list(entry)).alias("_r"))
     return packed.select(
-        "product", *keep, *[F.transform("_r", lambda s, c=c: s[c]).alias(c) for c in (target, *features)]
+        "product", *keep, *[F.col("_r").getField(c).alias(c) for c in (target, *features)]
     )
 
 
@@ -198,7 +198,7 @@ def feature_union(importances: DataFrame) -> DataFrame:
     )
     # the models of a product are few; their list is the union of the map keys
     models = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("by_model")).over(w))))
-    long = long.withColumn("model", F.explode(models))
+    long = long.withColumn("_models", models).withColumn("model", F.explode("_models"))
     return long.select("product", "model", "feature", F.coalesce(F.try_element_at("by_model", F.col("model")), F.lit(0.0)).alias("pct"))
 
 
@@ -223,7 +223,7 @@ def importance_report(importances: DataFrame, weights: DataFrame, order=IMPORTAN
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "pct")))).alias("values")
     )
     by_model = by_type.groupBy("product", "model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("imp_type", "values")))).alias("measures")
+        F.map_from_entries(F.collect_list(F.struct("imp_type", "values"))).alias("measures")
     )
     pct = F.round(100 * F.coalesce("weight", F.lit(0.0)), 2)
     entry = F.struct("model", F.struct(pct.alias("weight"), F.col("measures")).alias("entry"))

@@ -35,12 +35,8 @@ def classify_filter(
     seen = F.when(F.col("_rn") <= lookback, F.when(F.col("y").isNull() | (F.col("y") != 0), 1.0).otherwise(0.0))
     share = F.avg(seen).over(W.partitionBy("product"))
     verdict = F.col("_share") >= min_share
-    return (
-        demand.withColumn("_rn", F.row_number().over(newest))
-        .withColumn("_share", share)
-        .filter(verdict if keep else ~verdict)
-        .drop("_rn", "_share")
-    )
+    ranked = demand.withColumn("_rn", F.row_number().over(newest)).withColumn("_share", share)
+    return ranked.filter(verdict if keep else ~verdict).select(*demand.columns)
 
 
 def require_nonempty(demand: DataFrame, what: str = "No forecastable series found") -> DataFrame:

@@ -18,7 +18,7 @@ def _draw(spec, u: Column) -> Column:
     if kind == "int":
         return (F.floor(u * (high - low + 1)) + low).cast("int").cast("string")
     value = F.lit(low) * F.pow(F.lit(high / low), u) if kind == "logfloat" else F.lit(low) + u * F.lit(high - low)
-    return F.round(value, 9).cast("string")
+    return value.cast("string")
 
 
 def search_space(products: DataFrame, family: str, trials: int = 50, space=None) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthloom.models.autoreg import ar_fit, ar_path
+from monthloom.models.autoreg import ar_column, ar_path
 from monthloom.models.regress import regress_column
 from monthloom.models.sarima import sarima_path
-from monthloom.models.smoothing import hw_fit, hw_forecast_column
+from monthloom.models.smoothing import hw_column, hw_forecast_column
 from monthloom.operators.blending import inverse_mape_weights
 from monthloom.operators.calendar import last_n_window, unpack
 from monthloom.operators.cleaning import clean_packed, clean_rows
@@ -50,49 +50,37 @@ def prepare(demand: DataFrame, s: Settings, screen: DataFrame | None = None) ->
     return clean_packed(last_n_window(kept, s.window_months), s.outlier_multiplier)
 
 
-def _smoothing(df: DataFrame, ys: Column, h: Column, out: str) -> DataFrame:
-    fitted = hw_fit(df, ys=ys).withColumn("_h", h)
-    return fitted.withColumn(out, hw_forecast_column(F.col("_h"))).drop("fit", "_h")
-
-
-def _sarima(df: DataFrame, ys: Column, h: Column, out: str) -> DataFrame:
-    return df.withColumn(out, sarima_path(ys, h))
-
-
 def _autoreg(order: int):
-    def add(df: DataFrame, ys: Column, h: Column, out: str) -> DataFrame:
-        fitted = ar_fit(df.withColumn("_ys", ys), order, "_ys").withColumn("_h", h)
-        return fitted.withColumn(out, ar_path(F.col("_h"), order)).drop(
-            "_ys", "_h", "phi", "const", "last_y", "last_w", "d"
-        )
+    return (lambda ys, start, h, most: ar_column(ys, order)), (lambda fit, ys, h: ar_path(h, order, fit))
 
-    return add
 
-
-def _trend_season(df: DataFrame, ys: Column, h: Column, out: str) -> DataFrame:
-    # the kernel projects a fixed number of months; the longest one is cut to size
-    fit = regress_column(ys, F.col("start"), 36)
-    return df.withColumn("_f", fit["yhat"]).withColumn(out, F.slice("_f", F.size(ys) + 1, h)).drop("_f")
-
-
-# name -> function(df, history, horizon, out) adding an ARRAY<DOUBLE> column of forecasts
+# name -> (fitted column from history, start, horizon and the longest horizon asked for;
+#          ARRAY<DOUBLE> of forecasts from that column)
 FORECASTERS = {
-    "SARIMA": _sarima,
-    "HoltWinters": _smoothing,
+    "SARIMA": ((lambda ys, start, h, most: sarima_path(ys, h)), (lambda fit, ys, h: fit)),
+    "HoltWinters": ((lambda ys, start, h, most: hw_column(ys)), (lambda fit, ys, h: hw_forecast_column(h, fit))),
     "AR1": _autoreg(0),
     "ARI1": _autoreg(1),
-    "Prophet": _trend_season,
+    "Prophet": (
+        (lambda ys, start, h, most: regress_column(ys, start, most)),
+        (lambda fit, ys, h: F.slice(fit["yhat"], F.size(ys) + 1, h)),
+    ),
 }
 
 
 def split_arrays(packed: DataFrame, s: Settings, fit_on: str = "train+val") -> DataFrame:
     """Adds ``n_val, n_test``, the history ``head`` a backtest may see, and the ``actual`` test values."""
     val, test = split_sizes(F.col("n"), s.val_months, s.test_months)
-    df = packed.withColumn("n_val", val).withColumn("n_test", test)
-    cut = F.col("n") - F.col("n_test")
-    head = cut if fit_on != "train" else cut - F.col("n_val")
-    df = df.withColumn("head", F.slice("ys", 1, F.greatest(head, F.lit(0))))
-    return df.withColumn("actual", F.slice("ys", cut + 1, F.col("n_test")))
+    cut = F.col("n") - test
+    head = cut if fit_on != "train" else cut - val
+    return packed.withColumns(
+        {
+            "n_val": val,
+            "n_test": test,
+            "head": F.slice("ys", 1, F.greatest(head, F.lit(0))),
+            "actual": F.slice("ys", cut + 1, test),
+        }
+    )
 
 
 def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
@@ -101,10 +89,15 @@ def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
     Every model reads the arrays of the row it sits in, so backtests and refits of all
     models need no shuffle.
     """
+    head, ys, start = F.col("head"), F.col("ys"), F.col("start")
+    fits, paths, most = {}, {}, max(s.horizon, s.test_months)
     for m in models:
-        df = FORECASTERS[m](df, F.col("head"), F.col("n_test"), f"bt_{m}")
-        df = FORECASTERS[m](df, F.col("ys"), F.lit(s.horizon), f"fc_{m}")
-    return df
+        fit, path = FORECASTERS[m]
+        for tag, history, h in (("bt", head, F.col("n_test")), ("fc", ys, F.lit(s.horizon))):
+            fits[f"_{tag}_{m}"] = fit(history, start, h, most)
+            paths[f"{tag}_{m}"] = path(F.col(f"_{tag}_{m}"), history, h)
+    # two projections whatever the number of models: first all fits, then all paths
+    return df.withColumns(fits).withColumns(paths).drop(*fits) if models else df
 
 
 def model_rows(fitted: DataFrame, models) -> DataFrame:
