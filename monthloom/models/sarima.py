@@ -1,9 +1,10 @@
 """Seasonal ARIMA by conditional least squares, for many series and many orders.
 
-For one order, all series of a batch are fitted together: residuals are advanced month
-by month for the whole batch, and a damped Gauss-Newton step solves one small system
-per series.  Candidates are looped inside the task rather than exploded into rows, so a
-series crosses the network once however large the order grid is.
+Orders with the same differencing are fitted together for all series of a batch: the
+recursion over months advances every (order, series) pair at once, and a damped
+Gauss-Newton step solves one small system per pair.  Candidates live inside the task
+rather than in exploded rows, so a series crosses the network once however large the
+order grid is.
 """
 
 from itertools import product as cartesian
@@ -18,6 +19,7 @@ from monthloom.settings import EPS, SEASON
 
 # (p, d, q, P, D, Q): every combination of p, q in 0..2 and the others in 0..1
 ORDERS = tuple(cartesian((0, 1, 2), (0, 1), (0, 1, 2), (0, 1), (0, 1), (0, 1)))
+CHUNK = 64  # series per stacked fit; times the orders of a family, this fills the caches
 FALLBACK = ((1, 0, 0, 0, 0, 0), (0, 1, 1, 0, 0, 0), (1, 1, 0, 0, 0, 0))
 # seasonal orders are called sp, sd, sq: column names differ by more than their case
 NAMES = ("p", "d", "q", "sp", "sd", "sq")
@@ -33,92 +35,112 @@ def _difference(Y, d, D, m):
     return Y
 
 
-def _polynomials(theta, p, q, P, Q, m):
-    """Lag coefficients of the multiplied-out AR and MA parts, one row per series."""
-    S = len(theta)
-
-    def expand(short, long, sign):
-        a = np.zeros((S, short.shape[1] + long.shape[1] * m + 1))
-        a[:, 0] = 1.0
-        a[:, 1 : 1 + short.shape[1]] = sign * short
-        if long.shape[1]:
-            base = a[:, : 1 + short.shape[1]].copy()
-            a[:, m : m + 1 + short.shape[1]] += sign * long * base
-        return a[:, 1:]
-
-    cut = np.cumsum([0, p, q, P, Q])
-    ar = -expand(theta[:, cut[0] : cut[1]], theta[:, cut[2] : cut[3]], -1.0)
-    ma = expand(theta[:, cut[1] : cut[2]], theta[:, cut[3] : cut[4]], 1.0)
-    return ar, ma
-
-
-def _residuals(W, ar, ma):
-    """One-step errors; those before the first full AR lag are taken as zero."""
-    S, n = W.shape
-    k, j = ar.shape[1], ma.shape[1]
-    e = np.zeros((S, n))
-    for t in range(k, n):
-        fit = (ar * W[:, t - k : t][:, ::-1]).sum(axis=1) if k else 0.0
-        r = min(j, t)
-        if r:
-            fit = fit + (ma[:, :r] * e[:, t - r : t][:, ::-1]).sum(axis=1)
-        e[:, t] = np.clip(W[:, t] - fit, -1e12, 1e12)
+# columns of a parameter row: AR 1, AR 2, MA 1, MA 2, seasonal AR, seasonal MA
+def _active(orders):
+    """Which of the six parameters each order uses."""
+    return np.array([[p > 0, p > 1, q > 0, q > 1, P > 0, Q > 0] for p, _, q, P, _, Q in orders])
+
+
+def _lags(theta, m):
+    """Non-zero lags of the multiplied-out AR and MA parts with their coefficient vectors."""
+    a1, a2, b1, b2, A, B = theta
+    ar = {1: a1, 2: a2, m: A, m + 1: -a1 * A, m + 2: -a2 * A}
+    ma = {1: b1, 2: b2, m: B, m + 1: b1 * B, m + 2: b2 * B}
+    return [{k: c for k, c in part.items() if c.any()} for part in (ar, ma)]
+
+
+def _residuals(W, theta, m, start):
+    """One-step errors of rows (time, row); errors before ``start`` are taken as zero.
+
+    The AR part needs no loop, as its inputs are observed; only MA terms feed back.
+    """
+    ar, ma = _lags(theta, m)
+    n = W.shape[0]
+    e = np.zeros((n, theta.shape[1]))
+    e[start:] = W[start:]
+    for k, c in ar.items():
+        if k <= start:
+            e[start:] -= c * W[start - k : n - k]
+    if ma:
+        for t in range(start, n):
+            for k, c in ma.items():
+                if k <= t:
+                    e[t] -= c * e[t - k]
     return e
 
 
-def fit_css(Y, order, m=SEASON, iterations=12, burn=0):
-    """Least-squares parameters of one order for a batch; returns (theta, sse, residuals, W)."""
-    p, d, q, P, D, Q = order
+def fit_css(Y, orders, m=SEASON, iterations=12, burn=0):
+    """Least squares for all ``orders`` (sharing their differencing) and all series at once.
+
+    A row is one (order, series) pair.  Damped Gauss-Newton: the derivatives of every row
+    are one more stacked run of the recursion, and each row solves its own small system.
+    Returns (theta (orders, series, 6), sse (orders, series), residuals, differenced series).
+    """
+    S, O = len(Y), len(orders)
+    _, d, _, _, D, _ = orders[0]
     W = _difference(Y, d, D, m)
-    k = p + q + P + Q
-    theta = np.full((len(Y), k), 0.1)
-    tail = slice(max(0, burn - (Y.shape[1] - W.shape[1])), None)
-
-    def run(th):
-        e = _residuals(W, *_polynomials(th, p, q, P, Q, m))
-        return e, (e[:, tail] ** 2).sum(axis=1)
-
-    e, sse = run(theta)
-    damp = np.full(len(Y), 1e-2)
-    eye = np.eye(k)
-    for _ in range(iterations if k else 0):
-        J = np.empty((*e[:, tail].shape, k))
-        for c in range(k):
-            moved = theta.copy()
-            moved[:, c] += 1e-5
-            J[:, :, c] = (run(moved)[0][:, tail] - e[:, tail]) / 1e-5
-        A = np.einsum("stk,stl->skl", J, J)
-        g = np.einsum("stk,st->sk", J, e[:, tail])
-        scale = np.einsum("skk->s", A)[:, None, None] / k
-        step = np.linalg.solve(A + (damp[:, None, None] * scale + 1e-9) * eye, -g[..., None])[..., 0]
-        trial = np.clip(theta + step, -0.98, 0.98)
-        e2, sse2 = run(trial)
-        better = np.isfinite(sse2) & (sse2 < sse)
-        theta = np.where(better[:, None], trial, theta)
-        e = np.where(better[:, None], e2, e)
-        sse = np.where(better, sse2, sse)
-        damp = np.where(better, damp * 0.3, damp * 5)
-    return theta, sse, e, W
+    n = W.shape[1]
+    start = max(p + P * m for p, _, _, P, _, _ in orders)
+    mask = np.repeat(_active(orders), S, axis=0).T  # (6, rows)
+    use = np.flatnonzero(mask.any(axis=1))
+    Wt = np.tile(W.T, (1, O))
+    tail = slice(max(0, burn - (Y.shape[1] - n)), None)
+    theta = 0.1 * mask
+
+    def run(th, series):
+        e = _residuals(series, th, m, start)
+        return e, np.einsum("tr,tr->r", e[tail], e[tail])
+
+    e, sse = run(theta, Wt)
+    if len(use):
+        wide = np.tile(Wt, (1, len(use)))
+        damp = np.full(O * S, 1e-2)
+        rows = O * S
+        for _ in range(iterations):
+            moved = np.concatenate([theta + 1e-5 * (np.arange(6) == c)[:, None] * mask for c in use], axis=1)
+            shifted, _ = run(moved, wide)
+            J = (shifted[tail].reshape(-1, len(use), rows) - e[tail][:, None, :]) / 1e-5
+            A = np.einsum("tkr,tlr->rkl", J, J)
+            g = np.einsum("tkr,tr->rk", J, e[tail])
+            size = np.einsum("rkk->r", A) / len(use)
+            ridge = (damp * size + 1e-9)[:, None, None] * np.eye(len(use))
+            step = np.linalg.solve(A + ridge, -g[..., None])[..., 0]
+            trial = theta.copy()
+            trial[use] = np.clip(theta[use] + step.T, -0.98, 0.98)
+            trial *= mask
+            e2, sse2 = run(trial, Wt)
+            better = np.isfinite(sse2) & (sse2 < sse)
+            theta = np.where(better, trial, theta)
+            e = np.where(better, e2, e)
+            gain = np.where(better, sse - sse2, 0.0)
+            sse = np.where(better, sse2, sse)
+            damp = np.where(better, damp * 0.3, damp * 5)
+            if (gain <= 1e-7 * sse).all():
+                break
+    shape = (O, S)
+    return (
+        theta.T.reshape(*shape, 6),
+        sse.reshape(shape),
+        e.T.reshape(*shape, n),
+        W,
+    )
 
 
 def forecast_css(Y, theta, e, W, order, h, m=SEASON):
     """Continue the recursion with zero future errors, then undo the differencing."""
-    p, d, q, P, D, Q = order
-    ar, ma = _polynomials(theta, p, q, P, Q, m)
-    k, j, n = ar.shape[1], ma.shape[1], W.shape[1]
-    w = np.concatenate([W, np.zeros((len(W), h))], axis=1)
-    err = np.concatenate([e, np.zeros((len(W), h))], axis=1)
+    _, d, _, _, D, _ = order
+    ar, ma = _lags(theta.T, m)
+    n = W.shape[1]
+    w = np.concatenate([W.T, np.zeros((h, len(W)))])
+    err = np.concatenate([e.T, np.zeros((h, len(W)))])
     for t in range(n, n + h):
-        r, s = min(k, t), min(j, t)
-        w[:, t] = (ar[:, :r] * w[:, t - r : t][:, ::-1]).sum(axis=1) if r else 0.0
-        if s:
-            w[:, t] += (ma[:, :s] * err[:, t - s : t][:, ::-1]).sum(axis=1)
-    path = w[:, n:]
+        w[t] = sum(c * w[t - k] for k, c in ar.items() if k <= t) + sum(c * err[t - k] for k, c in ma.items() if k <= t)
+    path = w[n:].T
     if D:  # seasonal differences were taken last, so they are undone first
         base = _difference(Y, d, 0, m)
         full = np.concatenate([base, np.zeros((len(W), h))], axis=1)
-        for t in range(h):
-            full[:, base.shape[1] + t] = path[:, t] + full[:, base.shape[1] + t - m]
+        for t in range(base.shape[1], base.shape[1] + h):
+            full[:, t] = path[:, t - base.shape[1]] + full[:, t - m]
         path = full[:, base.shape[1] :]
     if d:
         path = Y[:, -1:] + path.cumsum(axis=1)
@@ -140,38 +162,54 @@ def _feasible(orders, n, m):
     return [o for o in orders if n - _span(o, m) >= max(4, 2 * (o[0] + o[2] + o[3] + o[5]) + 2)]
 
 
+def _families(orders):
+    """Orders that can be fitted together: same differencing and same seasonal terms."""
+    out = {}
+    for o in orders:
+        out.setdefault((o[1], *o[3:]), []).append(o)
+    return out.values()
+
+
 def select_orders(Y, orders, m=SEASON):
-    """Per series the order of lowest AIC; all orders are scored on the same last months."""
+    """Per series the order of lowest AIC; all orders are scored on the same last months.
+
+    Returns the orders tried, their AIC (orders, series), and for each order the tuple
+    (theta, sse, residuals, differenced series) of all series.
+    """
     n = Y.shape[1]
-    usable = _feasible(orders, n, m) or _feasible(FALLBACK, n, m) or [(0, 1, 0, 0, 0, 0) if n > 1 else (0, 0, 0, 0, 0, 0)]
+    simplest = [(0, 1, 0, 0, 0, 0) if n > 1 else (0, 0, 0, 0, 0, 0)]
+    usable = _feasible(orders, n, m) or _feasible(FALLBACK, n, m) or simplest
     burn = max(_span(o, m) for o in usable)
-    best = np.full(len(Y), np.inf)
-    pick = np.zeros(len(Y), dtype=int)
-    fits = []
+    tried, aics, fits = [], [], []
     with np.errstate(all="ignore"):
-        for c, o in enumerate(usable):
-            theta, sse, e, W = fit_css(Y, o, m, burn=burn)
-            aic = _aic(sse, max(n - burn, 1), theta.shape[1])
-            fits.append((theta, sse, e, W))
-            lower = aic < best
-            best, pick = np.where(lower, aic, best), np.where(lower, c, pick)
-    return usable, pick, best, fits
+        for family in _families(usable):
+            theta, sse, e, W = fit_css(Y, family, m, burn=burn)
+            for c, o in enumerate(family):
+                tried.append(o)
+                aics.append(_aic(sse[c], max(n - burn, 1), int(_active([o]).sum())))
+                fits.append((theta[c], sse[c], e[c], W))
+    aics = np.where(np.isfinite(aics), aics, np.inf)
+    return tried, aics, fits
 
 
 def sarima_fit(packed: DataFrame, orders=ORDERS, m: int = SEASON, ys: Column | str = "ys") -> DataFrame:
-    """Adds ``fit`` with the chosen order, its AIC and its parameters (one order: no choice)."""
+    """Adds ``fit`` with the chosen order, its AIC and its parameters (one order: no choice).
+
+    ``params`` lists AR 1, AR 2, MA 1, MA 2, seasonal AR, seasonal MA; unused ones are 0.
+    """
     ys = F.col(ys) if isinstance(ys, str) else ys
 
     @F.pandas_udf(RESULT)
     def fit(y: pd.Series) -> pd.DataFrame:
         rows = [(None,) * 9] * len(y)
-        for at, Y in by_length(y, chunk=256):
+        for at, Y in by_length(y, CHUNK):
             if not Y.shape[1]:
                 continue
-            usable, pick, best, fits = select_orders(Y, orders, m)
+            tried, aics, fits = select_orders(Y, orders, m)
             for r, j in enumerate(at):
-                theta, sse, _, _ = fits[pick[r]]
-                rows[j] = (*usable[pick[r]], best[r], sse[r], theta[r].tolist())
+                c = aics[:, r].argmin()
+                theta, sse, _, _ = fits[c]
+                rows[j] = (*tried[c], aics[c, r], sse[r], theta[r].tolist())
         return pd.DataFrame(rows, columns=[*NAMES, "aic", "sse", "params"])
 
     return packed.withColumn("fit", fit(ys))
@@ -183,15 +221,12 @@ def sarima_grid(packed: DataFrame, orders=ORDERS, m: int = SEASON) -> DataFrame:
     @F.pandas_udf(f"array<struct<{ORDER},aic:double>>")
     def scores(y: pd.Series) -> pd.Series:
         out = [[] for _ in range(len(y))]
-        for at, Y in by_length(y, chunk=256):
+        for at, Y in by_length(y, CHUNK):
             if not Y.shape[1]:
                 continue
-            usable, _, _, fits = select_orders(Y, orders, m)
-            burn = max(_span(o, m) for o in usable)
-            for o, (theta, sse, _, _) in zip(usable, fits):
-                aic = _aic(sse, max(Y.shape[1] - burn, 1), theta.shape[1])
-                for r, j in enumerate(at):
-                    out[j].append(dict(zip(NAMES, o), aic=float(aic[r])))
+            tried, aics, _ = select_orders(Y, orders, m)
+            for r, j in enumerate(at):
+                out[j] = [dict(zip(NAMES, o), aic=float(aics[c, r])) for c, o in enumerate(tried)]
         return pd.Series(out)
 
     return packed.select("product", F.inline(scores("ys")))
@@ -209,15 +244,16 @@ def sarima_path(ys: Column, horizon: Column, orders=ORDERS, m: int = SEASON) ->
     def path(y: pd.Series, h: pd.Series) -> pd.Series:
         out = [None] * len(y)
         steps = int(h.max()) if len(h) else 0
-        for at, Y in by_length(y, chunk=256):
+        for at, Y in by_length(y, CHUNK):
             if not Y.shape[1] or not steps:
                 continue
-            usable, pick, _, fits = select_orders(Y, orders, m)
+            tried, aics, fits = select_orders(Y, orders, m)
+            pick = aics.argmin(axis=0)
             for c in np.unique(pick):
                 rows = np.flatnonzero(pick == c)
                 theta, _, e, W = fits[c]
                 with np.errstate(all="ignore"):
-                    f = forecast_css(Y[rows], theta[rows], e[rows], W[rows], usable[c], steps, m)
+                    f = forecast_css(Y[rows], theta[rows], e[rows], W[rows], tried[c], steps, m)
                 for r, v in zip(rows, f):
                     good = np.isfinite(v).all()
                     out[at[r]] = (v if good else np.full(steps, Y[r, -1]))[: int(h.iloc[at[r]])].tolist()
@@ -233,7 +269,7 @@ def holdout_error(Y, order, m=SEASON, ratio=0.2):
     if not _feasible([order], cut, m) or not tail.shape[1]:
         return np.full(len(Y), np.inf)
     with np.errstate(all="ignore"):
-        theta, _, e, W = fit_css(head, order, m)
-        f = forecast_css(head, theta, e, W, order, tail.shape[1], m)
+        theta, _, e, W = fit_css(head, [order], m)
+        f = forecast_css(head, theta[0], e[0], W, order, tail.shape[1], m)
         err = np.abs((tail - f) / (tail + EPS)).mean(axis=1)
     return np.where(np.isfinite(err), err, np.inf)

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthloom.functions.expressions import month_of
+from monthloom.session import spread
 
 
 def by_month(*cols: str):
@@ -34,14 +35,16 @@ def reindex_calendar(demand: DataFrame, bounds: DataFrame | None = None) -> Data
     """Put every product on the same month grid; months without a row get NULL.
 
     Each row generates the months up to the product's next row, so the fill needs the
-    one shuffle by product and no join against a generated grid.  ``bounds`` (from
+    one shuffle by product (which everything after it reuses) and no join against a
+    generated grid.  ``bounds`` (from
     :func:`month_bounds`) is a single row and enters as a scalar subquery.
     """
     if bounds is None:
         bounds = demand.agg(F.struct(F.min("ds").alias("lo"), F.max("ds").alias("hi")).alias("b"))
     b = bounds.scalar()
     w = by_month()
-    framed = demand.select("product", "ds", "y", b.getField("lo").alias("_lo"), b.getField("hi").alias("_hi"))
+    placed = spread(demand)
+    framed = placed.select("product", "ds", "y", b.getField("lo").alias("_lo"), b.getField("hi").alias("_hi"))
     framed = framed.filter(F.col("ds").between(F.col("_lo"), F.col("_hi")))
     first = F.when(F.lag("ds").over(w).isNull(), F.col("_lo")).otherwise(F.col("ds"))
     until = F.coalesce(F.add_months(F.lead("ds").over(w), -1), F.col("_hi"))

@@ -45,3 +45,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder and outlast executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def partitions_for_work(spark: SparkSession) -> int:
+    """How many partitions to give to work that is heavy per row.
+
+    ``spark.sql.shuffle.partitions`` where somebody set it; otherwise twice the cores,
+    but never below Spark's own 200 on a cluster, whose cores may not all be there yet.
+    """
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if asked != 200:
+        return asked
+    context = spark.sparkContext
+    cores = 2 * context.defaultParallelism
+    return cores if context.master.startswith("local") else max(asked, cores)
+
+
+def spread(df: DataFrame, key: str = "product") -> DataFrame:
+    """Place rows by ``key`` in a fixed number of partitions.
+
+    Stands in for the shuffle the first window by product would plan anyway.  That one
+    would be coalesced by its size in bytes - a few hundred bytes per series - although
+    cleaning and fitting cost milliseconds per series; a fixed number keeps all cores busy.
+    """
+    return df.repartition(partitions_for_work(df.sparkSession), key)
