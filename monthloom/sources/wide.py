@@ -47,7 +47,7 @@ def wide_to_long(
         ]
     )
     rows = wide.select(label.alias("product"), cells.alias("_c")).filter(
-        (F.trim("product") != "") & F.exists("_c", lambda c: c["y"].isNotNull())
+        (F.trim("product") != "") & F.exists("_c", lambda c: c["ds"].isNotNull() & c["y"].isNotNull())
     )
     if last_wins:
         numbered = rows.withColumn("_at", F.monotonically_increasing_id())
