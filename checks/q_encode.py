@@ -26,12 +26,15 @@ def table(spark, sf):
     return t.withColumn("band", band)
 
 
+TEXT, NUMBERS = ["promo", "band"], ["discount", "price"]
+
+
 def text(spark, sf):
-    return E.melt(table(spark, sf), ["promo", "band"])
+    return E.melt(table(spark, sf), TEXT)
 
 
 def numbers(spark, sf):
-    return E.melt(table(spark, sf), ["discount", "price"])
+    return E.melt(table(spark, sf), NUMBERS)
 
 
 @query("encode_fit", final(BASE, "cats", "product feature category code:i"))
@@ -75,9 +78,14 @@ def q_scale_inverse(spark, sf):
 
 @query("encode_and_scale", final(BASE, "(SELECT l.product, l.ds, l.split, l.feature, (value - center) / scale AS value FROM both_long l JOIN both_mm m ON m.product = l.product AND m.feature = l.feature)", "product ds:d split feature value:f"))
 def q_encode_and_scale(spark, sf):
-    return E.encode_and_scale(table(spark, sf), ["promo", "band"], ["discount", "price"], "minmax")
+    return E.melt(E.encode_and_scale(table(spark, sf), TEXT, NUMBERS, "minmax"), [*TEXT, *NUMBERS])
+
+
+@query("encode_and_scale_robust", final(BASE + ",\nboth_rob AS (SELECT product, feature, quantile_cont(value, 0.5) AS center, CASE WHEN quantile_cont(value, 0.75) = quantile_cont(value, 0.25) THEN 1.0 ELSE quantile_cont(value, 0.75) - quantile_cont(value, 0.25) END AS scale FROM both_long WHERE split = 'train' GROUP BY 1, 2)", "(SELECT l.product, l.ds, l.split, l.feature, (value - center) / scale AS value FROM both_long l JOIN both_rob m ON m.product = l.product AND m.feature = l.feature)", "product ds:d split feature value:f"))
+def q_encode_and_scale_robust(spark, sf):
+    return E.melt(E.encode_and_scale(table(spark, sf), TEXT, NUMBERS, "robust"), [*TEXT, *NUMBERS])
 
 
 @query("encode_only", final(BASE, "both_long", "product ds:d split feature value:f"))
 def q_encode_only(spark, sf):
-    return E.encode_and_scale(table(spark, sf), ["promo", "band"], ["discount", "price"])
+    return E.melt(E.encode_and_scale(table(spark, sf), TEXT, NUMBERS), [*TEXT, *NUMBERS])

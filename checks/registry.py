@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict = {}
+RAW: dict = {}  # the same without rounding, for timing
 ORACLES: dict = {}
 
 
@@ -27,6 +28,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a function (spark, sf_dir) -> DataFrame, with its DuckDB equivalent if there is one."""
 
     def register(fn):
+        RAW[name] = fn
         QUERIES[name] = lambda spark, sf: presentable(fn(spark, sf), digits)
         if sql is not None:
             ORACLES[name] = sql

@@ -1,9 +1,9 @@
 """Category codes and scaling, fitted on the training rows of each product only.
 
-Both work on the long feature table ``product, ds, split, feature, value``, so any
-number of features is one pass; the fitted tables have one row per product, feature
-(and category) and are joined on those keys.  Catalyst decides whether such a fitted
-table is small enough to broadcast.
+Two ways to use them.  ``*_fit`` / ``*_transform`` keep the fitted values as a table, to be
+stored or applied to other rows; they work on the long form ``product, ds, split, feature,
+value`` and join on product and feature.  ``encode_and_scale`` fits and applies in one pass
+over a wide table, where the fitted values are window aggregates and nothing is joined.
 """
 
 from pyspark.sql import DataFrame
@@ -85,23 +85,47 @@ def _scale():
     return F.coalesce("scale", F.lit(1.0))
 
 
-def encode_and_scale(wide: DataFrame, categorical, numeric, scaler: str | None = None) -> DataFrame:
-    """Encode, then optionally scale, all features; the target is never touched.
+def encode_columns(wide: DataFrame, categorical, unknown: int = -1) -> DataFrame:
+    """Fit and apply codes in one pass over a wide table with a ``split`` column.
+
+    The training categories of a column are a window aggregate over the product's rows (at
+    most one per month), so a code is a position in a sorted array: no join, no shuffle
+    beyond the placement by product.
+    """
+    w = W.partitionBy("product")
+
+    def code(c):
+        seen = F.array_sort(F.collect_set(F.when(F.col("split") == "train", F.col(c))).over(w))
+        place = F.array_position(seen, F.col(c)).cast("int")
+        return F.when(place > 0, place - 1).when(place == 0, F.lit(unknown)).cast("double")
+
+    return wide.withColumns({c: code(c) for c in categorical}) if categorical else wide
+
+
+def scale_columns(wide: DataFrame, names, kind: str = "robust") -> DataFrame:
+    """Fit and apply the scaling in one pass, as window aggregates over the training rows."""
+    w = W.partitionBy("product")
+
+    def scaled(c):
+        x = F.when(F.col("split") == "train", F.col(c))
+        if kind == "robust":
+            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
+            center, width = q[1], q[2] - q[0]
+        elif kind == "minmax":
+            center, width = F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)
+        else:
+            raise ValueError(f"unknown scaler {kind!r}: use 'robust' or 'minmax'")
+        return (F.col(c) - F.coalesce(center, F.lit(0.0))) / F.coalesce(F.nullif(width, F.lit(0.0)), F.lit(1.0))
+
+    return wide.withColumns({c: scaled(c) for c in names})
+
+
+def encode_and_scale(wide: DataFrame, categorical=(), numeric=(), scaler: str | None = None) -> DataFrame:
+    """Encode, then optionally scale, the named columns of a wide table; the target is untouched.
 
-    Returns the long table ``product, ds, split, feature, value`` with numeric values.
     As the codes are numeric by then, scaling applies to them as well.
     """
-    parts = []
-    if categorical:
-        text = melt(wide, categorical)
-        codes = encode_transform(text, encode_fit(text))
-        parts.append(codes.select("product", "ds", "split", "feature", F.col("code").alias("value")))
-    if numeric:
-        doubles = wide.select("product", "ds", "split", *[F.col(c).cast("double").alias(c) for c in numeric])
-        parts.append(melt(doubles, numeric))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if scaler is None:
-        return out
-    return scale_transform(out, scale_fit(out, scaler)).drop("value").withColumnRenamed("scaled", "value")
+    doubles = {c: F.col(c).cast("double") for c in numeric}
+    out = encode_columns(wide.withColumns(doubles) if doubles else wide, categorical)
+    names = [*categorical, *numeric]
+    return scale_columns(out, names, scaler) if scaler and names else out

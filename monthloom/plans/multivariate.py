@@ -37,11 +37,9 @@ ALL_KINDS = (*UNIVARIATE, *MULTIVARIATE)
 def encoded_table(cleaned: DataFrame, features: DataFrame, categorical, numeric, s: Settings) -> DataFrame:
     """``product, ds, y, i, n, split, <feature>...`` with codes and scaled values fitted on train."""
     labelled = split_with_features(cleaned, features, s.val_months, s.test_months, s.window_months)
-    long = encode_and_scale(labelled, categorical, numeric, s.scaler)
-    names = [*categorical, *numeric]
-    wide = long.groupBy("product", "ds").pivot("feature", names).agg(F.first("value"))
-    filled = wide.select("product", "ds", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
-    return labelled.select("product", "ds", "y", "i", "n", "split").join(filled, ["product", "ds"])
+    ready = encode_and_scale(labelled, categorical, numeric, s.scaler)
+    filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in (*categorical, *numeric)]
+    return ready.select("product", "ds", "y", "i", "n", "split", *filled)
 
 
 def _packed_with_exog(table: DataFrame, names) -> DataFrame:
