@@ -210,10 +210,6 @@ def trained(spark, sf):
     return p, table, boosted.gbt_fit(table, **SMALL_TREES)
 
 
-def _level(p):
-    return p.withColumn("level", F.aggregate("ys", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
-
-
 @query("gbt_fit")
 def q_gbt(spark, sf):
     _, table, model = trained(spark, sf)
@@ -223,7 +219,7 @@ def q_gbt(spark, sf):
 @query("recursive_forecast")
 def q_recursive(spark, sf):
     p, _, model = trained(spark, sf)
-    return boosted.recursive_forecast(_level(p), boosted.model_scorer(model), 12, keep=("level",))
+    return boosted.recursive_forecast(p, model, 12)
 
 
 @query("tree_importance")

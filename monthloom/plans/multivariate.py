@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions.expressions import array_sum
-from monthloom.models.boosted import TEMPORAL, gbt_fit, model_scorer, recursive_path, training_table, tree_importance
+from monthloom.models.boosted import TEMPORAL, gbt_fit, training_table, tree_importance, tree_path
 from monthloom.models.regress import regress_column
 from monthloom.operators.calendar import pack, reindex_calendar
 from monthloom.operators.encoding import encode_and_scale
@@ -48,11 +47,6 @@ def _packed_with_exog(table: DataFrame, names) -> DataFrame:
     return pack(shaped, "exog")
 
 
-def _repeat_last(exog, horizon):
-    last = F.get(exog, F.size(exog) - 1)
-    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: last)
-
-
 def _matrix(exog, names):
     return F.transform(exog, lambda e: F.array(*[e[c] for c in names]))
 
@@ -60,45 +54,26 @@ def _matrix(exog, names):
 def _boosted(table, packed, names, s: Settings, tree_options):
     """Adds ``bt_XGBoost`` and ``fc_XGBoost``; two distributed fits over all products.
 
-    Scoring is narrow: both paths are computed in the product's own row, one after the other.
+    Scoring is narrow: both paths are computed in the product's own row.
     """
     inputs = (*TEMPORAL, "level", *names)
     known = table.filter("split <> 'test'").select("product", "ds", "y", *names)
     everything = table.select("product", "ds", "y", *names)
     first = gbt_fit(cut_lineage(training_table(known)), inputs, **tree_options)
     final = gbt_fit(cut_lineage(training_table(everything)), inputs, **tree_options)
-    kept = packed.columns
-
-    def level(ys):
-        return array_sum(ys) / F.size(ys)
-
-    # recursive_path reads start, n and ys, so the full history steps aside for the backtest
-    df = packed.withColumns({"_all": F.col("ys"), "_len": F.col("n")})
-    df = df.withColumns(
-        {
-            "ahead": F.slice("exog", F.size("head") + 1, F.col("n_test")),
-            "level": level(F.col("head")),
-            "n": F.size("head"),
-            "ys": F.col("head"),
-        }
-    )
-    carried = [c for c in kept if c not in ("product", "n", "ys")]
-    df = recursive_path(df, model_scorer(first), s.test_months, future="ahead", keep=(*carried, "level", "_all", "_len"))
-    df = df.withColumn("bt_XGBoost", F.slice("path", 1, F.col("n_test"))).drop("path", "hist", "last", "ahead")
-    df = df.withColumns(
-        {
-            "ys": F.col("_all"),
-            "n": F.col("_len"),
-            "level": level(F.col("_all")),
-            "ahead": _repeat_last(F.col("exog"), s.horizon),
-        }
-    )
-    df = recursive_path(
-        df, model_scorer(final), s.horizon, future="ahead", keep=(*carried, "level", "_all", "_len", "bt_XGBoost")
+    xs = _matrix(F.col("exog"), names)
+    test_months = F.slice(xs, F.size("head") + 1, F.greatest(F.col("n_test"), F.lit(1)))
+    last_month = F.slice(xs, F.col("n"), 1)  # the future repeats it
+    return (
+        packed.withColumns(
+            {
+                "bt_XGBoost": tree_path(first, F.col("head"), F.col("start"), F.col("n_test"), s.test_months, test_months),
+                "fc_XGBoost": tree_path(final, F.col("ys"), F.col("start"), F.lit(s.horizon), s.horizon, last_month),
+            }
+        ),
+        final,
+        inputs,
     )
-    df = df.withColumn("fc_XGBoost", F.col("path"))
-    df = df.withColumns({"ys": F.col("_all"), "n": F.col("_len")})
-    return df.select(*kept, "bt_XGBoost", "fc_XGBoost"), final, inputs
 
 
 def _regression(packed, names, s: Settings, **options):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthloom.models import autoreg, boosted, regress, sarima, smoothing
@@ -133,12 +134,18 @@ def test_regression_follows_a_season(spark, long, patterns):
 
 
 def test_boosted_trees_and_recursion(spark, long, patterns):
-    p = pack(long(patterns)).withColumn("level", F.aggregate("ys", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
+    p = pack(long(patterns))
     table = boosted.training_table(long(patterns))
     assert table.count() == 4 * 48
     model = boosted.gbt_fit(table, rounds=5, depth=3)
-    path = boosted.recursive_forecast(p, boosted.model_scorer(model), 4, keep=("level",)).collect()
+    path = boosted.recursive_forecast(p, model, 4).collect()
     assert len(path) == 16 and all(50 < r["yhat"] < 250 for r in path)
+    # the first step by Spark's own scoring: features of the month after the last
+    extended = long({k: v + [None] for k, v in patterns.items()})
+    ahead = boosted.temporal_features(extended.withColumn("level", F.avg("y").over(W.partitionBy("product"))))
+    by_spark = model.transform(ahead.filter("y is null").na.fill(0)).collect()
+    mine = {r["product"]: r["yhat"] for r in path if r["step"] == 1}
+    assert mine == pytest.approx({r["product"]: r["prediction"] for r in by_spark})
     gains = boosted.tree_importance(spark, model).collect()
     assert sum(r["pct"] for r in gains) == pytest.approx(100, abs=0.2)
 
