@@ -6,11 +6,9 @@ from checks import sqlparts as S
 from checks.q_flagship import outlook
 from checks.q_sources import SAVED, saved_params
 from checks.registry import final, query
-from checks.tables import BRAND, SUPPLIER, bounds, brand_raw, supplier, supplier_raw
+from checks.tables import SUPPLIER, bounds, supplier, supplier_raw
 from monthloom.operators import blending, joins, metrics, reports
 from monthloom.operators.calendar import unpack
-from monthloom.plans.univariate import run_univariate
-from monthloom.settings import Settings
 from monthloom.sources import store
 
 TWO = ("AR1", "ARI1")

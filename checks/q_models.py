@@ -122,6 +122,16 @@ def q_tune(spark, sf):
     return tuning.tune_smoothing(packed(spark, sf), 5)
 
 
+@query("tune_search_sarima")
+def q_tune_sarima(spark, sf):
+    return tuning.tune_sarima(packed(spark, sf), 5)
+
+
+@query("tune_search_regression")
+def q_tune_regression(spark, sf):
+    return tuning.tune_regression(with_regressors(spark, sf), 5, xs="xs")
+
+
 def _space_sql():
     from monthloom.settings import SEARCH_SPACES
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import final, query
-from checks.tables import SUPPLIER, SUPPLIER_FEATURES, bounds, part_raw, read, supplier, supplier_features, supplier_raw
+from checks.tables import SUPPLIER, bounds, part_raw, read, supplier_raw
 from monthloom.functions.expressions import coerce_numeric, normalize_name, parse_period, safe_name
 from monthloom.operators.joins import feature_kinds, feature_prefix_match, select_features
 from monthloom.session import shared_folder

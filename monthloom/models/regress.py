@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from monthloom.settings import EPS
+
 NOISE = 0.1
 FOURIER = 5
 CHANGEPOINTS = 25
@@ -114,6 +116,35 @@ def regress_column(ys: Column, start: Column, horizon: int = 0, xs: Column | Non
     return run(ys, F.month(start), xs)
 
 
+def regress_trial_scores(ys: Column, start: Column, trials: Column, ratio: float = 0.2, xs: Column | None = None) -> Column:
+    """Holdout error of each ``cps, sps, mode`` in ``trials`` for its own series; infinity on failure.
+
+    Regressor values of the held-out months are known to the forecast, as in a backtest.
+    """
+
+    @F.pandas_udf("array<double>")
+    def score(y: pd.Series, month: pd.Series, t: pd.Series, x: pd.Series) -> pd.Series:
+        out = []
+        for j in range(len(y)):
+            full = np.asarray(y.iloc[j], dtype=float)
+            cut = int(len(full) * (1 - ratio))
+            rows = [list(q) for q in x.iloc[j]]
+            X = np.nan_to_num(np.array(rows, dtype=float).reshape(1, len(full), -1)) if rows else np.zeros((1, len(full), 0))
+            errors = []
+            for q in t.iloc[j]:
+                error = np.inf
+                if cut >= 3 and cut < len(full):
+                    with np.errstate(all="ignore"):
+                        parts = solve(full[None, :cut], X, int(month.iloc[j]), len(full), q["cps"], q["sps"], q["mode"])
+                        error = np.abs((full[cut:] - parts[3][0, cut:]) / (full[cut:] + EPS)).mean()
+                errors.append(float(error) if np.isfinite(error) else np.inf)
+            out.append(errors)
+        return pd.Series(out)
+
+    xs = F.array().cast("array<array<double>>") if xs is None else xs
+    return score(ys, F.month(start), trials, xs)
+
+
 def trend_season_regress(packed: DataFrame, horizon: int = 0, xs: str | None = None, **options) -> DataFrame:
     """Adds the struct ``fit``; options: ``cps``, ``sps`` (prior scales) and ``mode``."""
     col = F.col(xs) if xs else None

@@ -273,3 +273,26 @@ def holdout_error(Y, order, m=SEASON, ratio=0.2):
         f = forecast_css(head, theta[0], e[0], W, order, tail.shape[1], m)
         err = np.abs((tail - f) / (tail + EPS)).mean(axis=1)
     return np.where(np.isfinite(err), err, np.inf)
+
+
+def sarima_trial_scores(ys: Column, trials: Column, ratio: float = 0.2, m: int = SEASON) -> Column:
+    """Holdout error of each order in ``trials`` for its own series; infinity where it fails.
+
+    Series of a batch that drew the same order are fitted together.
+    """
+
+    @F.pandas_udf("array<double>")
+    def score(y: pd.Series, t: pd.Series) -> pd.Series:
+        out = [[np.inf] * len(q) for q in t]
+        for at, Y in by_length(y, CHUNK):
+            wanted = {}
+            for r, j in enumerate(at):
+                for c, q in enumerate(t.iloc[j]):
+                    wanted.setdefault(tuple(int(q[k]) for k in NAMES), []).append((r, j, c))
+            for order, places in wanted.items():
+                errors = holdout_error(Y[[r for r, _, _ in places]], order, m, ratio)
+                for (_, j, c), v in zip(places, errors):
+                    out[j][c] = float(v)
+        return pd.Series(out)
+
+    return score(ys, trials)

@@ -1,10 +1,17 @@
 """Parameter search: reproducible trial tables and the choice of the best trial."""
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.expressions import uniform
+from monthloom.models.boosted import gbt_fit
+from monthloom.models.regress import regress_trial_scores
+from monthloom.models.sarima import sarima_trial_scores
 from monthloom.models.smoothing import hw_trial_scores
+from monthloom.operators.metrics import mape_eps_of
+from monthloom.operators.screening import holdout_split
+from monthloom.session import cut_lineage
 from monthloom.settings import SEARCH_SPACES
 
 
@@ -66,7 +73,78 @@ def smoothing_trials(products: DataFrame, trials: int = 5) -> DataFrame:
 def tune_smoothing(packed: DataFrame, trials: int = 5, ratio: float = 0.2, direction: str = "minimize") -> DataFrame:
     """Best smoothing parameters per series by the error on its held-out tail."""
     drawn = smoothing_trials(packed, trials)
-    scored = drawn.withColumn("_s", hw_trial_scores(F.col("ys"), F.col("trials"), ratio))
+    return _choose(drawn.withColumn("_s", hw_trial_scores(F.col("ys"), F.col("trials"), ratio)), direction)
+
+
+def _draw_trials(products: DataFrame, space: dict, types: dict, trials: int) -> DataFrame:
+    """Adds ``trials ARRAY<STRUCT<trial, ...>>``, drawn in the product's own row."""
+
+    def row(t):
+        drawn = [_draw(spec, uniform(F.col("product"), name, t)).cast(types[name]).alias(name) for name, spec in space.items()]
+        return F.struct(t.alias("trial"), *drawn)
+
+    return products.withColumn("trials", F.transform(F.sequence(F.lit(1), F.lit(trials)), row))
+
+
+# column names differ from the parameter names where these differ only by case
+_SARIMA = {"p": ("p", "int"), "d": ("d", "int"), "q": ("q", "int"), "P": ("sp", "int"), "D": ("sd", "int"), "Q": ("sq", "int")}
+_TREND_SEASON = {
+    "changepoint_prior_scale": ("cps", "double"),
+    "seasonality_prior_scale": ("sps", "double"),
+    "seasonality_mode": ("mode", "string"),
+}
+
+
+def _choose(scored: DataFrame, direction: str) -> DataFrame:
     rows = scored.select("product", F.explode(F.arrays_zip("trials", F.col("_s").alias("s"))).alias("z"))
-    flat = rows.select("product", "z.trials.*", F.col("z.s").alias("score"))
-    return best_trial(flat, direction)
+    return best_trial(rows.select("product", "z.trials.*", F.col("z.s").alias("score")), direction)
+
+
+def tune_sarima(packed: DataFrame, trials: int = 5, ratio: float = 0.2, direction: str = "minimize") -> DataFrame:
+    """Best of the drawn orders per series by the error on its held-out tail."""
+    space = {name: SEARCH_SPACES["SARIMA"][k] for k, (name, _) in _SARIMA.items()}
+    drawn = _draw_trials(packed, space, dict(_SARIMA.values()), trials)
+    return _choose(drawn.withColumn("_s", sarima_trial_scores(F.col("ys"), F.col("trials"), ratio)), direction)
+
+
+def tune_regression(packed: DataFrame, trials: int = 5, ratio: float = 0.2, xs: str | None = None, direction: str = "minimize") -> DataFrame:
+    """Best prior scales and mode per series, likewise."""
+    space = {name: SEARCH_SPACES["Prophet"][k] for k, (name, _) in _TREND_SEASON.items()}
+    drawn = _draw_trials(packed, space, dict(_TREND_SEASON.values()), trials)
+    score = regress_trial_scores(F.col("ys"), F.col("start"), F.col("trials"), ratio, F.col(xs) if xs else None)
+    return _choose(drawn.withColumn("_s", score), direction)
+
+
+def tune_boosted(table: DataFrame, features, trials: int = 5, ratio: float = 0.2, direction: str = "minimize") -> dict:
+    """Best boosting parameters for the one model all products share.
+
+    Every trial is a distributed fit on the leading rows of each product, scored on the
+    rest; the loop runs over the handful of trials, the work in it over all rows.  A trial
+    that fails scores infinity.
+    """
+    spark = table.sparkSession
+    one = spark.range(1).select(F.lit("all").alias("product"))
+    drawn: dict = {}
+    for r in search_space(one, "XGBoost", trials).collect():
+        drawn.setdefault(r["trial"], {})[r["param"]] = float(r["value"])
+    parts = cut_lineage(holdout_split(table, ratio))
+    fit, held = parts.filter("part = 'fit'"), parts.filter("part = 'holdout'")
+    results = []
+    for trial, p in sorted(drawn.items()):
+        options = {
+            "rounds": int(p["n_estimators"]),
+            "depth": int(p["max_depth"]),
+            "rate": p["learning_rate"],
+            "min_child_weight": int(p["min_child_weight"]),
+            "subsample": p["subsample"],
+            "colsample": p["colsample_bytree"],
+        }
+        try:
+            scored = gbt_fit(fit, features, **options).transform(held).withColumnRenamed("prediction", "yhat")
+            error = scored.agg(mape_eps_of().alias("e")).first()["e"]
+        except Py4JJavaError:
+            error = None
+        worst = float("inf") if direction == "minimize" else float("-inf")
+        results.append((worst if error is None or error != error else error, trial, options))
+    best = (min if direction == "minimize" else max)(results, key=lambda r: r[0])
+    return {"best_value": best[0], "trial": best[1], "params": best[2], "trials_used": len(results)}

@@ -35,12 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where the setting is absent (tests, a laptop) a local folder takes its place.
     """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
+    if path is not None:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(path)
+    else:
         # one folder for the life of the session, on the machine that runs it
         path = getattr(spark, "_monthloom_folder", None) or tempfile.mkdtemp(prefix="monthloom-")
         spark._monthloom_folder = path
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path
 
 

@@ -167,6 +167,25 @@ def test_best_trial_directions(spark):
     assert low["b"]["best_value"] == float("inf") and high["b"]["best_value"] == float("-inf")
 
 
+def test_tuning_picks_the_lowest_holdout_error(spark, long, patterns):
+    p = pack(long(patterns))
+    for tuned in (tuning.tune_sarima(p, 4), tuning.tune_regression(p, 4), tuning.tune_smoothing(p, 4)):
+        rows = tuned.collect()
+        assert len(rows) == 4 and all(0 < r["best_value"] < 1 and r["trials_used"] == 4 for r in rows)
+    for r in tuning.tune_sarima(p, 4).collect():
+        order = tuple(r[c] for c in sarima.NAMES)
+        assert r["best_value"] == pytest.approx(sarima.holdout_error(np.array([patterns[r["product"]]]), order)[0])
+
+
+def test_tuning_the_shared_trees(spark, long, patterns, monkeypatch):
+    space = {**tuning.SEARCH_SPACES["XGBoost"], "n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 3)}
+    monkeypatch.setitem(tuning.SEARCH_SPACES, "XGBoost", space)
+    table = boosted.training_table(long(patterns))
+    best = tuning.tune_boosted(table, (*boosted.TEMPORAL, "level"), 2)
+    assert best["trials_used"] == 2 and 0 < best["best_value"] < 1
+    assert 2 <= best["params"]["rounds"] <= 4
+
+
 def test_unpack_is_the_inverse_of_pack(spark, long, patterns):
     d = long(patterns)
     back = unpack(pack(d)).select("product", "ds", "y")
