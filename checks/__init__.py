@@ -11,3 +11,14 @@ def load():
     for m in MODULES:
         importlib.import_module(f"checks.{m}")
     return QUERIES, ORACLES
+
+
+def _travel_by_value():
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_travel_by_value()

@@ -12,3 +12,15 @@ which aggregates map-side first; from there on work is partitioned by product.
 """
 
 __version__ = "0.1.0"
+
+
+def _travel_by_value() -> None:
+    """Let kernels carry their code to the executors, where this package need not be installed."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_travel_by_value()
