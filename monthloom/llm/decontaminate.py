@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.llm import shingles as S
-from monthloom.llm.common import carried, sliced, stored, text_buffers
+from monthloom.llm.common import carried, row_slices, sliced, stored, text_buffers
 
-_SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>"
 
 
 def _ceil_share(share: float, m: np.ndarray) -> np.ndarray:
@@ -129,21 +128,6 @@ class Probe:
         return hit, [sorted(set(x), key=lambda v: (v is None, v)) for x in items]
 
 
-def _row_results(batches, probe):
-    for part, data, off in sliced(batches):
-        words, counts = S.word_hashes(data, off, S.ALNUM)
-        hit, items = probe.per_row(words, counts)
-        yield pa.record_batch(
-            [
-                part.column("doc_id"),
-                pa.array(counts, pa.int64()),
-                pa.array(hit, pa.int64()),
-                pa.array(items, pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "n_words", "n_hit", "items"],
-        )
-
-
 def _words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return S.word_hashes(*text_buffers(pa.array(texts, pa.string())), S.ALNUM)
 
@@ -168,13 +152,18 @@ def matches(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        return _matches_small(docs, items, window, shingle, containment)
+    if _small(items, broadcast_bytes):
+        found = _finder(docs, items, window, shingle, containment)(F.col("text"))
+        return docs.select("doc_id", found.alias("m")).select("doc_id", "m.*")
     return _matches_large(docs, items, window, shingle, containment)
 
 
-def _matches_small(docs, items, window, shingle, containment):
+def _small(items: DataFrame, broadcast_bytes: int) -> bool:
+    return (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes
+
+
+def _finder(docs, items, window, shingle, containment):
+    """A function from text to (n_words, n_hit, items) that carries the items' windows."""
     spark = docs.sparkSession
     rows = items.where(F.col("text").isNotNull()).orderBy("item_id", "text").collect()  # within broadcast_bytes
     windows = Windows([r["item_id"] for r in rows], *_words_of([r["text"] for r in rows]), window, shingle)
@@ -205,10 +194,26 @@ def _matches_small(docs, items, window, shingle, containment):
         partial = docs.select("text").mapInArrow(count, "h long, c long")
         frequency = {r["h"]: r["c"] for r in partial.groupBy("h").agg(F.sum("c").alias("c")).collect()}
     probe = carried(spark, Probe(windows, frequency, containment))
-    return docs.mapInArrow(lambda batches: _row_results(batches, probe()), _SCHEMA)
+
+    @F.arrow_udf("n_words long, n_hit long, items array<long>")
+    def find(text: pa.Array) -> pa.Array:
+        index, parts = probe(), []
+        data, off = text_buffers(text)
+        for a, b in row_slices(off):
+            words, counts = S.word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], S.ALNUM)
+            hit, found = index.per_row(words, counts)
+            parts.append(
+                pa.StructArray.from_arrays(
+                    [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                    names=["n_words", "n_hit", "items"],
+                )
+            )
+        return pa.concat_arrays(parts)
+
+    return find
 
 
-def _matches_large(docs, items, window, shingle, containment):
+def _matches_large(docs, items, window, shingle, containment, with_hash=False):
     def of_items(batches):
         for part, data, off in sliced(batches):
             words, counts = S.word_hashes(data, off, S.ALNUM)
@@ -302,11 +307,19 @@ def _matches_large(docs, items, window, shingle, containment):
                 items.append(sorted(mine, key=lambda v: (v is None, v)))
                 counts.append(int(n[0]))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "n_hit", "items"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("t"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(hits, pa.int64()),
+                    pa.array(items, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "t", "n_words", "n_hit", "items"],
             )
 
-    return both.select("doc_id", "text", "found").mapInArrow(judge, _SCHEMA)
+    schema = "doc_id long, t long, n_words long, n_hit long, items array<long>"
+    out = both.select("doc_id", "t", "text", "found").mapInArrow(judge, schema)
+    return out if with_hash else out.drop("t")
 
 
 def digest(found: DataFrame, share: tuple[int, int] = (1, 20)) -> DataFrame:
@@ -319,5 +332,35 @@ def digest(found: DataFrame, share: tuple[int, int] = (1, 20)) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).alias("contaminated"),
+        _contaminated("", share).alias("contaminated"),
+    )
+
+
+def _contaminated(of: str, share: tuple[int, int]):
+    hit, words = F.col(of + "n_hit"), F.col(of + "n_words")
+    return (hit > 0) & (share[1] * hit >= share[0] * words)
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 13,
+    shingle: int = 5,
+    containment: float = 1.0,
+    share: tuple[int, int] = (1, 20),
+    broadcast_bytes: int = 32_000_000,
+) -> DataFrame:
+    """``docs`` without the contaminated ones (see ``matches`` and ``digest``), with their own columns."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    if _small(items, broadcast_bytes):
+        found = _finder(docs.select("text"), items, window, shingle, containment)(F.col("text"))
+        judged = docs.select(F.struct(*columns).alias("__d"), found.alias("__m"))
+        return judged.where(~_contaminated("__m.", share)).select("__d.*")
+    keyed = docs.select(F.struct(*columns).alias("__d"), "doc_id", "text").withColumn("t", F.xxhash64("text"))
+    found = _matches_large(
+        keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window, shingle, containment, True
     )
+    bad = found.where(_contaminated("", share)).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"))
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))
+    return keyed.join(bad, same, "left_anti").select("__d.*")

@@ -21,6 +21,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+SQL["op4"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT doc_id, s FROM sh WHERE s IN (SELECT s FROM sh GROUP BY 1 HAVING count(*) > 1)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM common a JOIN common b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+lk AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+both_ways AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT y, r FROM reach JOIN both_ways ON x = doc_id)
+SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY 1"""
+
 _SPACE = r"[\x20\x09-\x0D]"
 
 

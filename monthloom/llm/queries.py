@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthloom.llm import decontaminate, htmltext, langid, licenses, packing, quality, tokenbin, tokencounts, urlrules
+from monthloom.llm import decontaminate, htmltext, jaccard, langid, licenses, packing, quality, tokenbin, tokencounts, urlrules
 from monthloom.llm.oracles import SQL
 from monthloom.llm.registry import ORACLES, QUERIES, query, table
 
@@ -43,6 +43,11 @@ def op3(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+@query("op4_jaccard", SQL["op4"])
+def op4(spark, sf_dir):
+    return jaccard.grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_token_counts")
 def op5(spark, sf_dir):
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
