@@ -315,7 +315,8 @@ def links(entries: DataFrame, sets: DataFrame, rule: Rule, rounds: int = 2) -> t
 
 
 def grouped(docs: DataFrame, shingle: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``t`` (hash of the text), ``n_shingles`` and ``component_id``.
+    """Per row of ``docs``: ``doc_id``, ``t`` (hash of the text), ``n_shingles``, ``component_id`` and ``component`` (a number
+    of the component, null without shingles).
 
     Words are runs of anything but ASCII white space, A-Z lowered; a text of fewer words than
     ``shingle`` is one shingle as a whole.  Two texts are linked if 100 * intersection >=
@@ -333,18 +334,19 @@ def grouped(docs: DataFrame, shingle: int = 4, percent: int = 85, frequent: int
     _, labels = links(entries, full, rule)
     own = sets.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("dg")).alias("dg"))
     if labels is None:
-        first = classes.select(F.col("dg").alias("dg2"), F.col("rep").alias("component_id"))
+        first = classes.select(F.col("dg").alias("dg2"), F.col("dg").alias("component"), F.col("rep").alias("component_id"))
     else:
         with_label = classes.join(labels, F.col("dg") == F.col("node"), "left").select(
             "dg", "rep", F.coalesce("component", F.col("dg")).alias("component")
         )
         of_component = with_label.groupBy("component").agg(F.min("rep").alias("component_id"))
-        first = with_label.join(of_component, "component").select(F.col("dg").alias("dg2"), "component_id")
+        first = with_label.join(of_component, "component").select(F.col("dg").alias("dg2"), "component", "component_id")
     return own.join(first, F.col("dg") == F.col("dg2"), "left").select(
         "doc_id",
         "t",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "component",
     )
 
 
@@ -357,15 +359,14 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     g = stored(grouped(docs, **options), "grouped")
-    # null ids and shared ids are rare: the smallest text hash settles them
-    best = g.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("t").alias("t"), F.count("*").alias("rows"))
-    best = best.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    empty = g.where("n_shingles = 0").select("doc_id", "t", F.lit(1).cast("long").alias("rows")).distinct()
-    keep = stored(best.select("doc_id", "t", "rows").unionByName(empty), "kept")
+    some = g.where("n_shingles > 0")
+    best = some.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t")).alias("k"))
+    empty = g.where("n_shingles = 0").select("doc_id", "t").distinct()
+    keep = stored(best.select("k.doc_id", "k.t").unionByName(empty), "kept")
     k = keep.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
     body = docs.select(F.struct(*columns).alias("__d"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__h"))
     kept = body.join(k, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")), "left_semi")
-    if not keep.where("rows > 1").isEmpty():
-        some = F.coalesce(F.length("__d.text"), F.lit(0)) > 0
-        kept = kept.where(~some).unionByName(kept.where(some).dropDuplicates(["__doc", "__h"]))
+    if not some.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        words = F.coalesce(F.col("__d.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(~words).unionByName(kept.where(words).dropDuplicates(["__doc", "__h"]))
     return kept.select("__d.*")
