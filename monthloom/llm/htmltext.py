@@ -46,6 +46,7 @@ _NOT_MAIN_WORDS = frozenset(
     footer copyright masthead topbar""".split()
 )
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
@@ -54,10 +55,10 @@ _CLASS_WORDS = re.compile(r"[a-z]+")
 
 
 class _Block:
-    __slots__ = ("inside", "linked", "main", "out", "parts")
+    __slots__ = ("heading", "linked", "main", "out", "parts")
 
-    def __init__(self, main: bool, out: bool):
-        self.parts, self.linked, self.main, self.out = [], 0, main, out
+    def __init__(self, main: bool, out: bool, heading: bool):
+        self.parts, self.linked, self.main, self.out, self.heading = [], 0, main, out, heading
 
 
 def _events(html: str):
@@ -136,7 +137,7 @@ def blocks_of(html: str) -> list[_Block]:
             if block is None:
                 if not rest.strip():
                     continue
-                block = _Block(main > 0, out > 0)
+                block = _Block(main > 0, out > 0, any(x[0] in _HEADINGS for x in stack))
                 blocks.append(block)
             block.parts.append(rest)
             if links:
@@ -210,33 +211,37 @@ def first_pass(text: str, linked: int, block: _Block, has_main: bool, short: int
     return OPEN if block.main or len(text) < long else BAD
 
 
-def second_pass(labels: list[int], main: list[bool]) -> list[int]:
-    """Open blocks take the label of the nearest decided block; between two as near, or none at all,
-    an open block is kept in the article and dropped elsewhere."""
-    n, before, after = len(labels), [], [None] * len(labels)
-    last = None
+def second_pass(labels: list[int], blocks: list[_Block]) -> list[int]:
+    """Open blocks take the label of the nearest decided block.
+
+    A heading takes that of what follows.  Between two as near, a neighbour that is bad by its own
+    text counts more than a good one, and a good one more than one that is bad by its container, as
+    that says nothing about what stands beside it.  Open blocks of a marked article belong to it.
+    """
+    before, after, last = [], [None] * len(labels), None
     for i, x in enumerate(labels):
         before.append(last)
-        if x != OPEN:
-            last = (i, x)
+        last = i if x != OPEN else last
     last = None
-    for i in range(n - 1, -1, -1):
+    for i in range(len(labels) - 1, -1, -1):
         after[i] = last
-        if labels[i] != OPEN:
-            last = (i, labels[i])
+        last = i if labels[i] != OPEN else last
     out = list(labels)
     for i, x in enumerate(labels):
         if x != OPEN:
             continue
         a, b = before[i], after[i]
-        if main[i]:
-            # a neighbour outside the article, or a list of links in it, says nothing about its own text
+        if blocks[i].main:
             out[i] = GOOD
-        elif a and b and a[1] != b[1]:
-            near_a, near_b = i - a[0], b[0] - i
-            out[i] = a[1] if near_a < near_b else b[1] if near_b < near_a else BAD
+        elif blocks[i].heading and b is not None:
+            out[i] = labels[b]
+        elif a is not None and b is not None and labels[a] != labels[b]:
+            bad = a if labels[a] == BAD else b
+            tie = GOOD if blocks[bad].out else BAD
+            out[i] = tie if i - a == b - i else labels[a] if i - a < b - i else labels[b]
         else:
-            out[i] = (a or b or (0, BAD))[1]
+            near = a if a is not None else b
+            out[i] = BAD if near is None else labels[near]
     return out
 
 
@@ -256,7 +261,7 @@ def main_text(
     labels = [
         first_pass(t, b.linked, b, has_main, short, long, stop_share, link_share) for t, b in zip(texts, blocks, strict=True)
     ]
-    final = second_pass(labels, [b.main for b in blocks])
+    final = second_pass(labels, blocks)
     return "\n".join(t for t, x in zip(texts, final, strict=True) if x == GOOD)
 
 

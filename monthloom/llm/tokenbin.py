@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,9 @@ class Encoder:
 
     # U+0000 joins missing stretches: no merge of the vocabulary has it
     _JOIN = "\x00"
+    _MARKS = ".,;:!?#*$%&|"
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
@@ -64,29 +66,74 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.odd = re.compile(r"\s (?:\s|\Z)|<\||\x00").search
-        self.awkward = re.compile(r"\A'|\s\Z").search
+        # cheap signs that a text may be odd
+        self.signs = ("  ", "\n ", "\t ", "\r ", "<|", "\x00")
+        self.rare = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        # how a byte-level model writes bytes: printable ones as they are, the others from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.written = {b: 256 + k for k, b in enumerate(hidden)}
+        self.blank, self.model = chr(self.written[32]), self.tokenizer.model
+        self.code = "I" if self.wide else "H"
+        try:  # one word is one call of the model, if the model works on words as it should
+            self.by_word = all(
+                self._word(w) == self.tokenizer.encode(" " + w, add_special_tokens=False).ids
+                for w in ("the", "Zeitung", "niño", "éèö", "слово", "日本語", "qzvjxk")
+            )
+        except Exception:
+            self.by_word = False
         ids = self.tokenizer.encode(self._JOIN, add_special_tokens=False).ids
         joins = [t for t in self.tokenizer.get_vocab() if self.tokenizer.id_to_token(ids[0]) in t] if len(ids) == 1 else []
         self.joint = ids[0] if len(joins) == 1 else None  # else nothing is joined
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a blank and some letters."""
+        if word.isascii():
+            raw = self.blank + word
+        else:
+            raw = self.blank + word.encode("utf-8", "replace").decode("latin-1").translate(self.written)
+        return [t.id for t in self.model.tokenize(raw)]
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.known) + len(missing) > self.room:
-            self.known.clear()
-        alone = [s for s in missing if self.joint is None or self.awkward(s)]
-        joined = [s for s in missing if not (self.joint is None or self.awkward(s))]
-        self.known.update(zip(alone, self._plain(alone), strict=True))
+        """``missing`` are what stands between blanks; those that begin a text are marked by U+0000."""
+        size, known, words, ended = self.dtype.itemsize, self.known, {}, []
+        for s in missing:
+            word = s.rstrip(self._MARKS)
+            if len(word) < len(s) and word.isalpha():  # letters, then marks: two stretches that never merge
+                ended.append((s, word, s[len(word) :]))
+                words[word] = None
+            else:
+                words[s] = None
+        marks = {"\x00" + m for _, _, m in ended}
+        fresh = [s for s in (*words, *marks) if s not in known]
+        if len(known) + len(fresh) + len(ended) > self.room:
+            known.clear()
+            fresh = [*words, *marks]
+        alone, joined, word, code = [], [], self._word, self.code
+        for s in fresh:
+            if self.by_word and s.isalpha():
+                known[s] = array(code, word(s)).tobytes()
+                continue
+            stretch = s[1:] if s[:1] == self._JOIN else " " + s
+            # joined, a leading apostrophe or white space at the end would be cut otherwise
+            odd = self.joint is None or stretch[:1] == "'" or stretch[-1:].isspace()
+            (alone if odd else joined).append((s, stretch))
+        known.update(zip([s for s, _ in alone], self._plain([x for _, x in alone]), strict=True))
         for i in range(0, len(joined), 2000):
             part = joined[i : i + 2000]
-            found = self.tokenizer.encode_batch_fast([self._JOIN.join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(found, dtype=self.dtype)
-            pieces = np.split(ids, np.flatnonzero(ids == self.joint))
-            self.known[part[0]] = pieces[0].tobytes()
-            for s, piece in zip(part[1:], pieces[1:], strict=True):
-                self.known[s] = piece[1:].tobytes()
+            text = self._JOIN.join([x for _, x in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(ids == self.joint) * size).tolist()
+            raw, a = ids.tobytes(), 0
+            for (s, _), b in zip(part, [*ends, len(raw)], strict=True):
+                known[s] = raw[a:b]
+                a = b + size
+        for s, base, m in ended:
+            known[s] = known[base] + known["\x00" + m]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
@@ -94,23 +141,21 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 plain[i] = b""
-            elif self.odd(text):
+            elif (any(x in text for x in self.signs) or self.rare(text)) and self.odd(text):
                 plain[i] = self._plain([text])[0]
             else:
-                first, *rest = text.split(" ")
-                cut[i] = [first, *[" " + s for s in rest]] if first else [" " + s for s in rest]
+                cut[i] = text.split(" ")
+                cut[i][0] = self._JOIN + cut[i][0]
         wanted = set().union(*cut.values()) if cut else set()
-        missing = [s for s in wanted if s not in self.known]
-        if len(missing) > self.room:
-            return [plain[i] if i in plain else b"".join(self._plain([texts[i]])) for i in range(len(texts))]
-        if missing:
-            before = len(self.known)
-            self._learn(missing)
-            if len(self.known) < before:  # it was emptied: what this batch needs comes back
-                again = [s for s in wanted if s not in self.known]
-                if again:
-                    self._learn(again)
+        wanted.discard(self._JOIN)
+        if 3 * len(wanted) >= self.room:
+            return [plain[i] if i in plain else self._plain([texts[i]])[0] for i in range(len(texts))]
+        for _ in range(2):  # learning may empty the memory: what this batch needs then comes back
+            missing = [s for s in wanted if s not in self.known]
+            if missing:
+                self._learn(missing)
         known = self.known
+        known[self._JOIN] = b""  # a text that begins with a blank
         return [plain[i] if i in plain else b"".join([known[s] for s in cut[i]]) for i in range(len(texts))]
 
 
