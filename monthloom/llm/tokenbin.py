@@ -55,7 +55,7 @@ class Encoder:
     _JOIN = "\x00"
     _MARKS = ".,;:!?#*$%&|"
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 1_700_000):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
