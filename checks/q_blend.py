@@ -107,15 +107,14 @@ def q_top_models(spark, sf):
     return blending.top_models(levels(spark, sf), 3)
 
 
-@query("models_with_both", final(LEVELS + ", f AS (SELECT DISTINCT p_brand AS product, p_type AS model FROM part WHERE p_size > 45)", "(SELECT lv.* FROM lv JOIN f USING (product, model))", "product model mape:f"))
+@query("models_with_both", final(LEVELS + ", f AS (SELECT DISTINCT p_brand AS product, p_type AS model FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R')", "(SELECT lv.* FROM lv JOIN f USING (product, model))", "product model mape:f"))
 def q_models_with_both(spark, sf):
-    return joins.models_with_both(levels(spark, sf), brand_types(spark, sf))
-
-
-def brand_types(spark, sf):
+    """The right side: models of which something was returned."""
     from checks.tables import read
 
-    return read(spark, sf, "part").filter("p_size > 45").select(F.col("p_brand").alias("product"), F.col("p_type").alias("model"))
+    back = read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    j = read(spark, sf, "part").join(back, "p_partkey", "left_semi")
+    return joins.models_with_both(levels(spark, sf), j.select(F.col("p_brand").alias("product"), F.col("p_type").alias("model")))
 
 
 @query("complete_weights", final(LEVELS + "," + S.weights("lv", "w", threshold=0.4, cap=2) + ", t AS (SELECT lv.product, lv.model, coalesce(weight, 0.0) AS weight FROM lv LEFT JOIN w ON w.product = lv.product AND w.model = lv.model)", "t", "product model weight:f"))
@@ -233,8 +232,8 @@ def future_months(spark, sf):
     return [f"{(at + k) // 12}-{(at + k) % 12 + 1:02d}" for k in range(1, 13)]
 
 
-# the twelve months that follow the last full month of the tables
-MONTHS = [f"{2001 + (9 + k) // 12}-{(9 + k) % 12 + 1:02d}" for k in range(1, 13)]
+# the twelve months that follow the last month of the tables
+MONTHS = [f"{2001 + (10 + k) // 12}-{(10 + k) % 12 + 1:02d}" for k in range(1, 13)]
 PIVOT = ", ".join(f"max(CASE WHEN strftime(ds, '%Y-%m') = '{m}' THEN yhat END) AS \"{m}\"" for m in MONTHS)
 MONTH_COLS = " ".join(f"{m}:f" for m in MONTHS)
 

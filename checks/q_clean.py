@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlparts as S
 from checks.registry import final, query
-from checks.tables import NET, net
+from checks.tables import NET, NET_WHOLE, net, net_whole
 from monthloom.functions.expressions import neighbor_mean
 from monthloom.operators import cleaning, reports, screening
 from monthloom.operators.calendar import by_month
@@ -15,11 +15,11 @@ CLEAN = X + "," + S.cleaned("x", "cl")
 
 @query(
     "neighbor_mean",
-    final(X + f",\nb AS (SELECT product, ds, lag(y) OVER w AS p, lead(y) OVER w AS q FROM x WINDOW w AS (PARTITION BY product ORDER BY ds)), t AS (SELECT product, ds, {S.nm('p', 'q')} AS v FROM b)", "t", "product ds:d v:f"),
+    final(NET_WHOLE + "," + S.indexed("net_d", "x") + f",\nb AS (SELECT product, ds, lag(y) OVER w AS p, lead(y) OVER w AS q FROM x WINDOW w AS (PARTITION BY product ORDER BY ds)), t AS (SELECT product, ds, {S.nm('p', 'q')} AS v FROM b)", "t", "product ds:d v:f"),
 )
 def q_neighbor_mean(spark, sf):
     w = by_month()
-    return net(spark, sf).select("product", "ds", neighbor_mean(F.lag("y").over(w), F.lead("y").over(w)).alias("v"))
+    return net_whole(spark, sf).select("product", "ds", neighbor_mean(F.lag("y").over(w), F.lead("y").over(w)).alias("v"))
 
 
 @query("clean_negative", final(X + "," + S.negatives("x", "n1"), "(SELECT x.product, ds, y, v AS c1 FROM n1 JOIN x USING (product, i))", "product ds:d y:f c1:f"))

@@ -2,9 +2,7 @@
 
 from checks import sqlparts as S
 from checks.registry import final, query
-from pyspark.sql import functions as F
-
-from checks.tables import SUPPLIER, bounds, read, supplier_features, supplier_raw
+from checks.tables import SUPPLIER, bounds, supplier_features, supplier_raw
 from monthloom.plans.multivariate import run_cross, run_default, run_features
 from monthloom.plans.univariate import run_univariate
 from monthloom.settings import Settings
@@ -21,41 +19,40 @@ def outlook_univariate(spark, sf):
     return outlook(spark, sf).ensemble
 
 
-FEATURE_RUN = {"categorical": ["promo"], "numeric": ["discount", "price"], "tree_options": {"rounds": 8, "depth": 4}}
+FEATURE_RUN = {"categorical": ["promo"], "numeric": ["discount", "price"]}
+RUNS: dict = {}
+
+
+def feature_run(spark, sf):
+    """Both feature queries read one run: its trees are fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in RUNS:
+        RUNS[key] = run_features(supplier_raw(spark, sf), supplier_features(spark, sf), bounds=bounds(spark, sf), **FEATURE_RUN)
+    return RUNS[key]
 
 
 @query("outlook_features")
 def outlook_features(spark, sf):
-    o = run_features(supplier_raw(spark, sf), supplier_features(spark, sf), bounds=bounds(spark, sf), **FEATURE_RUN)
-    return o.ensemble
+    return feature_run(spark, sf).ensemble
 
 
 @query("outlook_features_importance")
 def outlook_features_importance(spark, sf):
-    o = run_features(supplier_raw(spark, sf), supplier_features(spark, sf), bounds=bounds(spark, sf), **FEATURE_RUN)
-    return o.extras["ensemble_importance"]
+    return feature_run(spark, sf).extras["ensemble_importance"]
 
 
 @query("outlook_cross")
 def outlook_cross(spark, sf):
-    """Nations as products: few enough that each can see all others."""
-    demand, features = nation_demand(spark, sf), nation_exog(spark, sf)
-    return run_cross(demand, features, [], ["discount"], bounds=bounds(spark, sf), lag=0, tree_options={"rounds": 8, "depth": 4}).ensemble
+    """Suppliers as products, each with two partners."""
+    from checks.q_windows import partners
+
+    o = run_cross(
+        supplier_raw(spark, sf), supplier_features(spark, sf), partners(spark, sf), [1, 2], [], ["discount"], bounds=bounds(spark, sf)
+    )
+    return o.ensemble
 
 
 @query("outlook_default")
 def outlook_default(spark, sf):
     o = run_default(supplier_raw(spark, sf), supplier_features(spark, sf), bounds=bounds(spark, sf), **FEATURE_RUN)
     return o.ensemble
-
-
-def nation_demand(spark, sf):
-    s = read(spark, sf, "supplier").select(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string")).alias("product"), "s_nationkey")
-    j = supplier_raw(spark, sf).join(s, "product")
-    return j.groupBy(F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("product"), "ds").agg(F.sum("y").alias("y"))
-
-
-def nation_exog(spark, sf):
-    from checks.q_sources import nation_features
-
-    return nation_features(spark, sf).select("product", "ds", "discount")

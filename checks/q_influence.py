@@ -109,7 +109,7 @@ def q_shapley_linear(spark, sf):
 # ---------------------------------------------------- importances spread over brands and types
 
 IMPS = LEVELS + """,
-imps AS (SELECT p_brand AS product, p_type AS model, ['builtin', 'shap', 'permutation', 'regressor_coefficients', 'covariates_used'][p_size % 5 + 1] AS imp_type, p_name AS feature, CAST(sum(p_size) AS DOUBLE) AS pct FROM part WHERE p_retailprice > 910 GROUP BY 1, 2, 3, 4),
+imps AS (SELECT p_brand AS product, p_type AS model, ['builtin', 'shap', 'permutation', 'regressor_coefficients', 'covariates_used'][p_size % 5 + 1] AS imp_type, p_name AS feature, CAST(sum(p_size) AS DOUBLE) AS pct FROM part GROUP BY 1, 2, 3, 4),
 pri AS (SELECT * EXCLUDE (rk) FROM (SELECT *, list_position(['builtin', 'shap', 'permutation', 'regressor_coefficients'], imp_type) AS rk FROM imps) WHERE rk > 0 QUALIFY rk = min(rk) OVER (PARTITION BY product, model)),
 """ + S.weights("lv", "w", threshold=0.4, cap=2) + """,
 tot AS (SELECT product, sum(weight) AS total FROM (SELECT DISTINCT product, model FROM pri) JOIN w USING (product, model) GROUP BY 1),
@@ -120,7 +120,7 @@ ei AS (SELECT product, feature, CASE WHEN sum(s) OVER (PARTITION BY product) > 0
 
 def importances(spark, sf):
     types = F.array(*[F.lit(t) for t in (*I.IMPORTANCE_ORDER, "covariates_used")])
-    p = read(spark, sf, "part").filter("p_retailprice > 910")
+    p = read(spark, sf, "part")
     return p.groupBy(
         F.col("p_brand").alias("product"),
         F.col("p_type").alias("model"),

@@ -14,7 +14,7 @@ from monthloom.operators import tuning
 from monthloom.operators.calendar import unpack
 from monthloom.operators.joins import join_features
 from monthloom.plans.common import prepare
-from monthloom.session import cut_lineage
+from monthloom.session import reuse
 from monthloom.settings import Settings
 
 
@@ -211,13 +211,17 @@ def q_recursive_linear(spark, sf):
     return boosted.recursive_fold(packed(spark, sf), score)
 
 
-SMALL_TREES = {"rounds": 8, "depth": 4}
+TRAINED: dict = {}
 
 
 def trained(spark, sf):
-    p = cut_lineage(packed(spark, sf))
-    table = cut_lineage(boosted.training_table(unpack(p).select("product", "ds", "y")))
-    return p, table, boosted.gbt_fit(table, **SMALL_TREES)
+    """Packed series, training rows and the trees with their default settings: fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in TRAINED:
+        p = reuse(packed(spark, sf))
+        table = reuse(boosted.training_table(unpack(p).select("product", "ds", "y")))
+        TRAINED[key] = (p, table, boosted.gbt_fit(table))
+    return TRAINED[key]
 
 
 @query("gbt_fit")

@@ -5,13 +5,11 @@ from pyspark.sql import functions as F
 from checks import sqlparts as S
 from checks.registry import final, query
 from checks.tables import (
-    BRAND,
-    NET,
+    NET_WHOLE,
     PART,
     SUPPLIER,
     SUPPLIER_FEATURES,
-    brand,
-    net,
+    net_whole,
     part,
     part_raw,
     supplier,
@@ -107,9 +105,9 @@ ROLL_COLS = " ".join(f"y_roll_{s}_{k}:f" for k in (3, 6, 12) for s in ("mean", "
 CAL_COLS = "month:i quarter:i year:i month_sin:f month_cos:f"
 
 
-@query("lag_features", final(NET + f",\nt AS (SELECT *, {LAGS} FROM net_d)", "t", "product ds:d y:f " + LAG_COLS))
+@query("lag_features", final(NET_WHOLE + f",\nt AS (SELECT *, {LAGS} FROM net_d)", "t", "product ds:d y:f " + LAG_COLS))
 def q_lags(spark, sf):
-    return temporal.lag_features(net(spark, sf))
+    return temporal.lag_features(net_whole(spark, sf))
 
 
 @query("rolling_features", final(SUPPLIER + f",\nt AS (SELECT *, {ROLLS} FROM supplier_d)", "t", "product ds:d y:f " + ROLL_COLS))
@@ -117,18 +115,18 @@ def q_rolling(spark, sf):
     return temporal.rolling_features(supplier(spark, sf))
 
 
-@query("calendar_features", final(NET + f",\nt AS (SELECT *, {CALENDAR} FROM net_d)", "t", "product ds:d y:f " + CAL_COLS))
+@query("calendar_features", final(NET_WHOLE + f",\nt AS (SELECT *, {CALENDAR} FROM net_d)", "t", "product ds:d y:f " + CAL_COLS))
 def q_calendar(spark, sf):
-    return temporal.calendar_features(net(spark, sf))
+    return temporal.calendar_features(net_whole(spark, sf))
 
 
 TEMPORAL = f"t AS (SELECT *, {LAGS}, {ROLLS}, {CALENDAR} FROM net_d)"
 TEMPORAL_COLS = f"product ds:d y:f {LAG_COLS} {ROLL_COLS} {CAL_COLS}"
 
 
-@query("temporal_features", final(NET + ",\n" + TEMPORAL, "t", TEMPORAL_COLS))
+@query("temporal_features", final(NET_WHOLE + ",\n" + TEMPORAL, "t", TEMPORAL_COLS))
 def q_temporal(spark, sf):
-    return temporal.temporal_features(net(spark, sf))
+    return temporal.temporal_features(net_whole(spark, sf))
 
 
 ALL_PRESENT = " AND ".join(c.split(":")[0] + " IS NOT NULL" for c in TEMPORAL_COLS.split())
@@ -139,9 +137,9 @@ def q_drop_na(spark, sf):
     return temporal.drop_na_rows(temporal.temporal_features(supplier(spark, sf)))
 
 
-@query("diffs", final(NET + f",\nt AS (SELECT *, y - lag(y) {W} AS d FROM net_d)", "t", "product ds:d y:f d:f"))
+@query("diffs", final(NET_WHOLE + f",\nt AS (SELECT *, y - lag(y) {W} AS d FROM net_d)", "t", "product ds:d y:f d:f"))
 def q_diffs(spark, sf):
-    return cleaning.diffs(net(spark, sf))
+    return cleaning.diffs(net_whole(spark, sf))
 
 
 @query(
@@ -177,12 +175,12 @@ def q_split_with_features(spark, sf):
     return joins.split_with_features(supplier(spark, sf), supplier_features(spark, sf))
 
 
-@query("target_and_exog", final(JOINED + ",\nm AS (SELECT product, max(y) AS top, sum(discount) AS all_discount, count(promo) AS n_promo FROM j GROUP BY 1)", "m", "product top:f all_discount:f n_promo:i"))
+# a price may lie half way between two roundings: both sides are moved off it
+@query("target_and_exog", final(JOINED, "(SELECT * REPLACE (price + 1e-7 AS price) FROM j)", JOINED_COLS))
 def q_target_and_exog(spark, sf):
     whole = joins.join_features(supplier(spark, sf), supplier_features(spark, sf)).withColumnRenamed("y", "demand")
     target, exog = temporal.target_and_exog(whole)
-    rest = exog.groupBy("product").agg(F.sum("discount").alias("all_discount"), F.count("promo").alias("n_promo"))
-    return target.groupBy("product").agg(F.max("y").alias("top")).join(rest, "product")
+    return target.join(exog, ["product", "ds"]).withColumn("price", F.col("price") + 1e-7)
 
 
 FUTURE = "(SELECT unnest(generate_series(1, 12)) AS step)"
@@ -205,37 +203,47 @@ def q_extrapolate_mean(spark, sf):
     return temporal.extrapolate_trailing_mean(whole, ["price"])
 
 
-BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+# two partners each: the supplier of half the number, and the first one
+PARTNERS = (
+    "\nk AS (SELECT DISTINCT l_suppkey AS k FROM lineitem), pairs AS (SELECT 'Supplier ' || k AS product, 1 AS slot, 'Supplier ' || (k // 2) AS other FROM k"
+    " UNION ALL SELECT 'Supplier ' || k, 2, 'Supplier 1' FROM k)"
+)
 
 
-def _cross_sql():
-    panel = ", ".join(f"max(CASE WHEN product = '{b}' THEN y END) AS \"{b}_demand\"" for b in BRANDS)
-    own = ", ".join(f"CASE WHEN d.product <> '{b}' THEN p.\"{b}_demand\" END AS \"{b}_demand\"" for b in BRANDS)
-    ctes = BRAND + f",\npanel AS (SELECT ds, {panel} FROM brand_d GROUP BY 1), t AS (SELECT d.product, d.ds, d.y, {own} FROM brand_d d LEFT JOIN panel p ON p.ds = d.ds)"
-    return final(ctes, "t", "product ds:d y:f " + " ".join(f"{b}_demand:f" for b in BRANDS))
+def partners(spark, sf):
+    k = supplier_raw(spark, sf).select("product").distinct()
+    number = F.regexp_extract("product", r"(\d+)$", 1).cast("int")
+    half = F.concat(F.lit("Supplier "), F.floor(number / 2).cast("string"))
+    slots = F.array(F.struct(F.lit(1).alias("slot"), half.alias("other")), F.struct(F.lit(2).alias("slot"), F.lit("Supplier 1").alias("other")))
+    return k.select("product", F.inline(slots))
 
 
-@query("cross_product", _cross_sql())
+@query(
+    "cross_product",
+    final(
+        SUPPLIER + "," + PARTNERS + """,
+o AS (SELECT d.product, d.ds, slot, x.y FROM supplier_d d JOIN pairs p ON p.product = d.product AND p.other <> d.product JOIN supplier_d x ON x.product = p.other AND x.ds = d.ds),
+w AS (SELECT product, ds, max(CASE WHEN slot = 1 THEN y END) AS other_1, max(CASE WHEN slot = 2 THEN y END) AS other_2 FROM o GROUP BY 1, 2),
+t AS (SELECT d.*, other_1, other_2 FROM supplier_d d LEFT JOIN w USING (product, ds))""",
+        "t",
+        "product ds:d y:f other_1:f other_2:f",
+    ),
+)
 def q_cross(spark, sf):
-    return joins.cross_product(brand(spark, sf), BRANDS)
+    return joins.cross_product(supplier(spark, sf), partners(spark, sf), [1, 2])
 
 
 @query(
     "partner_demand",
     final(
-        SUPPLIER + ",\nk AS (SELECT DISTINCT l_suppkey AS k FROM lineitem), pairs AS (SELECT 'Supplier ' || k AS product, 'Supplier ' || (k // 2) AS other FROM k UNION SELECT 'Supplier ' || k, 'Supplier 1' FROM k),"
-        " t AS (SELECT d.product, d.ds, p.other, o.y AS other_y FROM supplier_d d JOIN pairs p ON p.product = d.product AND p.other <> d.product LEFT JOIN supplier_d o ON o.product = p.other AND o.ds = CAST(d.ds - INTERVAL 1 MONTH AS DATE))",
+        SUPPLIER + "," + PARTNERS + ", few AS (SELECT DISTINCT product, other FROM pairs),"
+        " t AS (SELECT d.product, d.ds, p.other, o.y AS other_y FROM supplier_d d JOIN few p ON p.product = d.product AND p.other <> d.product LEFT JOIN supplier_d o ON o.product = p.other AND o.ds = CAST(d.ds - INTERVAL 1 MONTH AS DATE))",
         "t",
         "product ds:d other other_y:f",
     ),
 )
 def q_partner(spark, sf):
-    d = supplier(spark, sf)
-    k = supplier_raw(spark, sf).select("product").distinct()
-    number = F.regexp_extract("product", r"(\d+)$", 1).cast("int")
-    half = F.concat(F.lit("Supplier "), F.floor(number / 2).cast("string"))
-    pairs = k.select("product", half.alias("other")).union(k.select("product", F.lit("Supplier 1"))).distinct()
-    return joins.partner_demand(d, pairs, lag=1)
+    return joins.partner_demand(supplier(spark, sf), partners(spark, sf).select("product", "other").distinct(), lag=1)
 
 
 @query(

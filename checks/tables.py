@@ -4,9 +4,7 @@ Three demand tables, each derived from all of ``lineitem``:
 
 * suppliers: dense, and as many series as there are suppliers;
 * parts: sparse, as many series as there are parts;
-* net: parts with returns counted negative, on a 60-month grid with gaps.
-
-The last month of the data is partial and is left out.
+* net: parts with returns counted negative, on the grid with gaps, whole or its last 60 months.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def bounds(spark, sf):
-    return month_bounds(read(spark, sf, "lineitem"), "l_shipdate", drop_last=True)
+    return month_bounds(read(spark, sf, "lineitem"), "l_shipdate")
 
 
 def _labelled(df: DataFrame, prefix: str) -> DataFrame:
@@ -45,10 +43,15 @@ def part(spark, sf):
 
 
 def net(spark, sf):
+    """The last 60 months, as the cleaning steps get them."""
+    return last_n_window(net_whole(spark, sf), 60)
+
+
+def net_whole(spark, sf):
     signed = F.when(F.col("l_returnflag") == "R", -2 * F.col("l_quantity")).otherwise(F.col("l_quantity"))
     li = read(spark, sf, "lineitem").withColumn("q", signed)
     monthly = _labelled(to_monthly(li, "l_partkey", "l_shipdate", "q"), "Part ")
-    return last_n_window(reindex_calendar(monthly, bounds(spark, sf)), 60)
+    return reindex_calendar(monthly, bounds(spark, sf))
 
 
 def brand_raw(spark, sf):
@@ -88,7 +91,7 @@ def supplier_features(spark, sf):
 
 CAL = """
 cal AS (SELECT CAST(date_trunc('month', min(l_shipdate)) AS DATE) AS lo,
-               CAST(date_trunc('month', max(l_shipdate)) - INTERVAL 1 MONTH AS DATE) AS hi FROM lineitem),
+               CAST(date_trunc('month', max(l_shipdate)) AS DATE) AS hi FROM lineitem),
 months AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS ds FROM cal)"""
 
 
@@ -113,8 +116,10 @@ BRAND = _sql(
     "SELECT p_brand AS product, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds, sum(l_quantity) AS y"
     " FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
 )
+_SIGNED = _facts("'Part ' || l_partkey", "CASE WHEN l_returnflag = 'R' THEN -2 * l_quantity ELSE l_quantity END")
+NET_WHOLE = _sql("net_d", _SIGNED)
 NET = (
-    _sql("net_all", _facts("'Part ' || l_partkey", "CASE WHEN l_returnflag = 'R' THEN -2 * l_quantity ELSE l_quantity END"))
+    _sql("net_all", _SIGNED)
     + """,
 net_d AS (SELECT product, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ds DESC) rn FROM net_all) WHERE rn <= 60)"""
 )

@@ -20,7 +20,3 @@ def by_length(arrays: pd.Series, chunk: int = 1024):
         for k in range(0, len(at), chunk):
             part = at[k : k + chunk]
             yield part, np.array([arrays.iloc[j] for j in part], dtype=float).reshape(len(part), n)
-
-
-def frame(size: int, columns) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([None] * size, dtype=object) for c in columns})

@@ -6,8 +6,6 @@ the training rows, which identifies it to a tree without an unbounded category l
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -17,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthloom.functions.expressions import array_sum, uniform
-from monthloom.models.batch import by_length
 from monthloom.operators.temporal import temporal_features
 from monthloom.settings import LAGS, ROLLING_WINDOWS
 
@@ -112,108 +109,36 @@ def recursive_fold(packed: DataFrame, score, horizon: int = 12, lags=LAGS, windo
     )
 
 
-def _forest(model: PipelineModel) -> dict:
-    """The fitted trees as flat node arrays, read from the model's own description.
+def tree_path(
+    packed: DataFrame, model: PipelineModel, name: str, ys: Column, start: Column, horizon: Column, most: int,
+    ahead: Column | None = None, exog: int = 0, lags=LAGS, windows=ROLLING_WINDOWS,
+) -> DataFrame:
+    """Adds ``name ARRAY<DOUBLE>``: predict a month, append it, rebuild the features, repeat.
 
-    A node is a split (feature, threshold, the two children) or a leaf, which points to
-    itself; ``roots`` and ``weights`` have one entry per tree.
+    The model has been fitted on the temporal features, ``level`` and the ``exog`` columns of ``ahead
+    ARRAY<ARRAY<DOUBLE>>`` (one array per future month, the last one repeated), in that order; a
+    missing value counts as 0.  Every month is one ``transform`` of the fitted trees on the
+    product's own row, so the whole horizon is narrow.  ``most`` is the longest horizon in the table.
     """
-    feature, threshold, left, right, value, roots, weights = [], [], [], [], [], [], []
-    lines = iter(model.stages[-1].toDebugString.splitlines()[1:])
-
-    def grow(line):
-        at = len(feature)
-        for part, v in ((feature, 0), (threshold, 0.0), (left, at), (right, at), (value, 0.0)):
-            part.append(v)
-        if line.startswith("Predict:"):
-            value[at] = float(line.split(":")[1])
-            return at
-        name, limit = line.removeprefix("If (feature ").removesuffix(")").split(" <= ")
-        feature[at], threshold[at] = int(name), float(limit)
-        left[at] = grow(next(lines).strip())
-        next(lines)  # the matching Else repeats the condition
-        right[at] = grow(next(lines).strip())
-        return at
-
-    for line in lines:
-        text = line.strip()
-        if text.startswith("Tree"):
-            weights.append(float(text[text.index("weight ") + 7 : text.rindex(")")]))
-            roots.append(grow(next(lines).strip()))
-    parts = {"feature": feature, "threshold": threshold, "left": left, "right": right, "value": value}
-    return {k: np.array(v) for k, v in {**parts, "roots": roots, "weights": weights}.items()}
-
-
-def _score(forest: dict, X):
-    """Predictions for the rows of X: all trees descend one level at a time."""
-    node = np.repeat(forest["roots"][:, None], len(X), axis=1)
-    rows = np.arange(len(X))
-    while True:
-        low = X[rows, forest["feature"][node]] <= forest["threshold"][node]
-        below = np.where(low, forest["left"][node], forest["right"][node])
-        if (below == node).all():
-            return forest["weights"] @ forest["value"][node]
-        node = below
-
-
-def _month_features(values, month, lags, windows):
-    """The temporal features of the month after ``values`` (series, time), missing ones as 0."""
-    S, n = values.shape
-    zero = np.zeros(S)
-    cols = [values[:, n - k] if k <= n else zero for k in lags]
-    for k in windows:
-        last = values[:, n - k :] if k <= n else None
-        cols.append(zero if last is None else last.mean(axis=1))
-        cols.append(zero if last is None else last.std(axis=1, ddof=1))
-    number = month % 12 + 1
-    angle = 2 * np.pi * number / 12
-    return cols + [number, (number - 1) // 3 + 1, month // 12, np.sin(angle), np.cos(angle)]
-
-
-def tree_path(model: PipelineModel, ys: Column, start: Column, horizon: Column, most: int, ahead=None,
-              lags=LAGS, windows=ROLLING_WINDOWS) -> Column:
-    """ARRAY<DOUBLE>: predict a month, append it, rebuild the features, repeat.
-
-    The model has been fitted on the temporal features, ``level`` and the columns of
-    ``ahead ARRAY<ARRAY<DOUBLE>>`` (one array per future month), in that order.  Each
-    product's own row has all that is needed, so the whole horizon is one narrow pass;
-    all series of a batch advance together.  ``most`` is the longest horizon in the table.
-    """
-    forest = _forest(model)
-
-    @F.pandas_udf("array<double>")
-    def path(y: pd.Series, first: pd.Series, h: pd.Series, x: pd.Series) -> pd.Series:
-        out = [None] * len(y)
-        for at, values in by_length(y):
-            n = values.shape[1]
-            if not n:
-                continue
-            level = values.mean(axis=1)
-            month = first.to_numpy()[at] + n
-            for k in range(most):
-                exog = np.array([_row(x.iloc[j], k) for j in at], dtype=float).reshape(len(at), -1)
-                cols = _month_features(values, month + k, lags, windows)
-                X = np.column_stack([*cols, level, np.nan_to_num(exog)])
-                values = np.column_stack([values, _score(forest, X)])
-            for r, j in enumerate(at):
-                out[j] = values[r, n : n + int(h.iloc[j])].tolist()
-        return pd.Series(out)
-
-    ahead = F.array().cast("array<array<double>>") if ahead is None else ahead
-    return path(ys, F.year(start) * 12 + F.month(start) - 1, horizon, ahead)
-
-
-def _row(months, k):
-    """Values of future month ``k``; beyond the last one given, that one is repeated."""
-    if months is None or not len(months):
-        return []
-    return months[min(k, len(months) - 1)]
+    trees = model.stages[-1]
+    level = F.coalesce(array_sum(ys) / F.size(ys), F.lit(0.0))
+    df = packed.withColumns({"_hist": ys, "_level": level, "_start": start, "_ahead": F.lit(None) if ahead is None else ahead})
+    for k in range(most):
+        at = F.add_months("_start", F.size("_hist"))
+        cols = [F.coalesce(c.cast("double"), F.lit(0.0)) for c in _features_at(F.col("_hist"), at, lags, windows).values()]
+        given = F.get("_ahead", F.least(F.lit(k), F.size("_ahead") - 1)) if exog else None
+        cols += [F.col("_level"), *[F.coalesce(F.get(given, F.lit(j)).cast("double"), F.lit(0.0)) for j in range(exog)]]
+        df = trees.transform(df.withColumn(trees.getFeaturesCol(), array_to_vector(F.array(*cols))))
+        grown = F.array_append("_hist", F.col(trees.getPredictionCol()))
+        df = df.withColumn("_hist", grown).drop(trees.getFeaturesCol(), trees.getPredictionCol())
+    path = F.when(F.size(ys) > 0, F.slice("_hist", F.size(ys) + 1, horizon))
+    return df.withColumn(name, path).drop("_hist", "_level", "_start", "_ahead")
 
 
 def recursive_forecast(packed: DataFrame, model: PipelineModel, horizon: int = 12, **options) -> DataFrame:
     """``product, step, ds, yhat`` from :func:`tree_path`."""
-    path = tree_path(model, F.col("ys"), F.col("start"), F.lit(horizon), horizon, **options)
-    flat = packed.select("product", "start", "n", F.posexplode(path).alias("_k", "yhat"))
+    done = tree_path(packed, model, "_path", F.col("ys"), F.col("start"), F.lit(horizon), horizon, **options)
+    flat = done.select("product", "start", "n", F.posexplode("_path").alias("_k", "yhat"))
     return flat.select(
         "product",
         (F.col("_k") + 1).alias("step"),

@@ -55,12 +55,6 @@ def inverse_mape_weights(
     )
 
 
-def usable_weights(
-    metrics: DataFrame, predictions: DataFrame, threshold: float = 0.5, max_models=None, models=None
-) -> DataFrame:
-    return inverse_mape_weights(models_with_both(metrics, predictions), threshold, max_models, models)
-
-
 def ensemble_combine(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum by step.
 

@@ -36,8 +36,8 @@ def reindex_calendar(demand: DataFrame, bounds: DataFrame | None = None) -> Data
 
     Each row generates the months up to the product's next row, so the fill needs the
     one shuffle by product (which everything after it reuses) and no join against a
-    generated grid.  ``bounds`` (from
-    :func:`month_bounds`) is a single row and enters as a scalar subquery.
+    generated grid.  ``bounds`` (from :func:`month_bounds`) is a single row and enters as a scalar
+    subquery.  Of several rows for one product and month the one with the largest value stays.
     """
     if bounds is None:
         bounds = demand.agg(F.struct(F.min("ds").alias("lo"), F.max("ds").alias("hi")).alias("b"))
@@ -46,6 +46,8 @@ def reindex_calendar(demand: DataFrame, bounds: DataFrame | None = None) -> Data
     placed = spread(demand)
     framed = placed.select("product", "ds", "y", b.getField("lo").alias("_lo"), b.getField("hi").alias("_hi"))
     framed = framed.filter(F.col("ds").between(F.col("_lo"), F.col("_hi")))
+    later = F.lead("ds").over(W.partitionBy("product").orderBy("ds", "y"))
+    framed = framed.withColumn("_later", later).filter(F.col("_later").isNull() | (F.col("_later") != F.col("ds")))
     first = F.when(F.lag("ds").over(w).isNull(), F.col("_lo")).otherwise(F.col("ds"))
     until = F.coalesce(F.add_months(F.lead("ds").over(w), -1), F.col("_hi"))
     framed = framed.select("product", "ds", "y", F.sequence(first, until, F.expr("interval 1 month")).alias("_s"))

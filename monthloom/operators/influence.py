@@ -192,14 +192,11 @@ def importance_priority(importances: DataFrame, order=IMPORTANCE_ORDER) -> DataF
 
 def feature_union(importances: DataFrame) -> DataFrame:
     """Every feature named by any of a product's models, for each of these models; 0 if unnamed."""
-    w = W.partitionBy("product")
-    long = importances.groupBy("product", "feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "pct"))).alias("by_model")
-    )
-    # the models of a product are few; their list is the union of the map keys
-    models = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("by_model")).over(w))))
-    long = long.withColumn("_models", models).withColumn("model", F.explode("_models"))
-    return long.select("product", "model", "feature", F.coalesce(F.try_element_at("by_model", F.col("model")), F.lit(0.0)).alias("pct"))
+    models = importances.select("product", "model").distinct()
+    names = importances.select("product", "feature").distinct()
+    known = importances.groupBy("product", "model", "feature").agg(F.max("pct").alias("pct"))
+    every = models.join(names, "product").join(known, ["product", "model", "feature"], "left")
+    return every.select("product", "model", "feature", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
 def ensemble_importance(importances: DataFrame, weights: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from monthloom.functions.expressions import normalize_name, starts_with_any
 from monthloom.operators.screening import split_label
 
-MAX_WIDE_PRODUCTS = 2000
-
 
 def feature_prefix_match(columns: DataFrame, products: DataFrame) -> DataFrame:
     """Assign feature-store columns ``<product>_<feature>`` to products.
@@ -65,27 +63,23 @@ def split_with_features(demand: DataFrame, features: DataFrame, val: int = 12, t
     return split_label(join_features(demand, usable), val, test, window)
 
 
-def cross_product(demand: DataFrame, products=None, lag: int = 0, max_products: int = MAX_WIDE_PRODUCTS) -> DataFrame:
-    """For each row, every *other* product's demand of that month as ``<other>_demand``.
+def cross_product(demand: DataFrame, partners: DataFrame, slots, lag: int = 0) -> DataFrame:
+    """For each row, the demand of the product's partners in that month as ``other_<slot>``.
 
-    One row per month holds all products side by side; each target row picks it up with
-    an equi-join on the month and blanks its own column.  No pairs of products are formed:
-    the output has as many rows as ``demand``.  The width is the number of products, so
-    the shape only exists up to ``max_products``; for more, :func:`partner_demand` takes
-    an explicit table of partners.  ``lag`` shifts the others' demand back in time.
+    ``partners(product, slot, other)`` names who stands in which of the ``slots``; a product is no
+    partner of its own, and an empty slot is NULL.  The width is the number of slots, however many
+    products there are, and column names do not depend on labels.  ``lag`` shifts the others' demand back in time.
     """
-    if products is None:
-        found = demand.select("product").distinct().limit(max_products + 1).collect()
-        products = sorted(r[0] for r in found)
-    if len(products) > max_products:
-        raise ValueError(f"more than {max_products} products: use partner_demand with a partner table")
-    panel = (
-        demand.groupBy(F.add_months("ds", lag).alias("ds")).pivot("product", list(products)).agg(F.first("y"))
+    pairs = partners.select("product", "slot", "other").distinct()
+    theirs = partner_demand(demand, pairs.select("product", "other").distinct(), lag)
+    wide = (
+        theirs.join(pairs, ["product", "other"])
+        .groupBy("product", "ds")
+        .pivot("slot", list(slots))
+        .agg(F.max("other_y"))
+        .select("product", "ds", *[F.col(f"`{k}`").alias(f"other_{k}") for k in slots])
     )
-    names = {p: p.replace(" ", "_") + "_demand" for p in products}
-    renamed = panel.select("ds", *[F.col(f"`{p}`").alias(names[p]) for p in products])
-    own = [F.when(F.col("product") != p, F.col(f"`{names[p]}`")).alias(names[p]) for p in products]
-    return demand.join(renamed, "ds", "left").select("product", "ds", "y", *own)
+    return demand.join(wide, ["product", "ds"], "left").select("product", "ds", "y", *[f"other_{k}" for k in slots])
 
 
 def partner_demand(demand: DataFrame, partners: DataFrame, lag: int = 0) -> DataFrame:

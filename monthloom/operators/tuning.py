@@ -11,7 +11,7 @@ from monthloom.models.sarima import sarima_trial_scores
 from monthloom.models.smoothing import hw_trial_scores
 from monthloom.operators.metrics import mape_eps_of
 from monthloom.operators.screening import holdout_split
-from monthloom.session import cut_lineage
+from monthloom.session import reuse
 from monthloom.settings import SEARCH_SPACES
 
 
@@ -127,7 +127,7 @@ def tune_boosted(table: DataFrame, features, trials: int = 5, ratio: float = 0.2
     drawn: dict = {}
     for r in search_space(one, "XGBoost", trials).collect():
         drawn.setdefault(r["trial"], {})[r["param"]] = float(r["value"])
-    parts = cut_lineage(holdout_split(table, ratio))
+    parts = reuse(holdout_split(table, ratio))
     fit, held = parts.filter("part = 'fit'"), parts.filter("part = 'holdout'")
     results = []
     for trial, p in sorted(drawn.items()):

@@ -14,7 +14,7 @@ from monthloom.operators.influence import (
     importance_priority,
 )
 from monthloom.operators.joins import cross_product, split_with_features
-from monthloom.operators.screening import require_inputs
+from monthloom.operators.screening import require_inputs, require_nonempty
 from monthloom.plans.common import (
     Outlook,
     blend,
@@ -25,7 +25,7 @@ from monthloom.plans.common import (
     prepare,
     split_arrays,
 )
-from monthloom.session import cut_lineage
+from monthloom.session import reuse
 from monthloom.settings import Settings
 
 UNIVARIATE = ("SARIMA", "HoltWinters")
@@ -34,11 +34,13 @@ ALL_KINDS = (*UNIVARIATE, *MULTIVARIATE)
 
 
 def encoded_table(cleaned: DataFrame, features: DataFrame, categorical, numeric, s: Settings) -> DataFrame:
-    """``product, ds, y, i, n, split, <feature>...`` with codes and scaled values fitted on train."""
+    """``product, ds, y, i, n, split, <feature>...`` with codes and scaled values fitted on train.
+
+    What is missing stays missing: training leaves such rows out, scoring counts it as 0.
+    """
     labelled = split_with_features(cleaned, features, s.val_months, s.test_months, s.window_months)
     ready = encode_and_scale(labelled, categorical, numeric, s.scaler)
-    filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in (*categorical, *numeric)]
-    return ready.select("product", "ds", "y", "i", "n", "split", *filled)
+    return ready.select("product", "ds", "y", "i", "n", "split", *categorical, *numeric)
 
 
 def _packed_with_exog(table: DataFrame, names) -> DataFrame:
@@ -48,7 +50,7 @@ def _packed_with_exog(table: DataFrame, names) -> DataFrame:
 
 
 def _matrix(exog, names):
-    return F.transform(exog, lambda e: F.array(*[e[c] for c in names]))
+    return F.transform(exog, lambda e: F.array(*[F.coalesce(e[c].cast("double"), F.lit(0.0)) for c in names]))
 
 
 def _boosted(table, packed, names, s: Settings, tree_options):
@@ -59,21 +61,15 @@ def _boosted(table, packed, names, s: Settings, tree_options):
     inputs = (*TEMPORAL, "level", *names)
     known = table.filter("split <> 'test'").select("product", "ds", "y", *names)
     everything = table.select("product", "ds", "y", *names)
-    first = gbt_fit(cut_lineage(training_table(known)), inputs, **tree_options)
-    final = gbt_fit(cut_lineage(training_table(everything)), inputs, **tree_options)
+    first = gbt_fit(reuse(training_table(known)), inputs, **tree_options)
+    final = gbt_fit(reuse(training_table(everything)), inputs, **tree_options)
     xs = _matrix(F.col("exog"), names)
     test_months = F.slice(xs, F.size("head") + 1, F.greatest(F.col("n_test"), F.lit(1)))
     last_month = F.slice(xs, F.col("n"), 1)  # the future repeats it
-    return (
-        packed.withColumns(
-            {
-                "bt_XGBoost": tree_path(first, F.col("head"), F.col("start"), F.col("n_test"), s.test_months, test_months),
-                "fc_XGBoost": tree_path(final, F.col("ys"), F.col("start"), F.lit(s.horizon), s.horizon, last_month),
-            }
-        ),
-        final,
-        inputs,
-    )
+    start, width = F.col("start"), len(names)
+    packed = tree_path(packed, first, "bt_XGBoost", F.col("head"), start, F.col("n_test"), s.test_months, test_months, width)
+    packed = tree_path(packed, final, "fc_XGBoost", F.col("ys"), start, F.lit(s.horizon), s.horizon, last_month, width)
+    return packed, final, inputs
 
 
 def _regression(packed, names, s: Settings, **options):
@@ -102,14 +98,15 @@ def run_features(
     """
     require_inputs(demand, features, needs_features=True)
     s = settings
-    prepared = prepare(reindex_calendar(demand, bounds), s)
-    cleaned = cut_lineage(cleaned_long(prepared).select("product", "ds", "y"))
+    prepared = reuse(prepare(reindex_calendar(demand, bounds), s))
+    require_nonempty(prepared)
+    cleaned = cleaned_long(prepared).select("product", "ds", "y")
     numeric = list(numeric)
     if extra is not None:
         more, names = extra(cleaned)
         features = more.drop("y").join(features, ["product", "ds"], "left")
         numeric += names
-    table = cut_lineage(encoded_table(cleaned, features, list(categorical), numeric, s))
+    table = reuse(encoded_table(cleaned, features, list(categorical), numeric, s))
     names = [*categorical, *numeric]
     packed = split_arrays(_packed_with_exog(table, names), s)
     fitted, importances = packed, []
@@ -125,7 +122,7 @@ def run_features(
         kind = F.lit("regressor_coefficients").alias("imp_type")
         importances.append(shares.select("product", F.lit("Prophet").alias("model"), kind, "feature", "pct"))
     univariate = [m for m in s.models if m in UNIVARIATE]
-    fitted = cut_lineage(fit_packed(fitted, s, univariate))
+    fitted = reuse(fit_packed(fitted, s, univariate))
     every = combine_importances(*importances)
     out = blend(
         cleaned_report(prepared), model_rows(fitted, s.models), s, s.models, table=table, fitted=fitted, importances=every
@@ -134,12 +131,13 @@ def run_features(
     return out
 
 
-def run_cross(demand, features, categorical=(), numeric=(), settings=Settings(models=MULTIVARIATE), lag: int = 0, **options) -> Outlook:
-    """The feature run with the demand of all other products added as ``<other>_demand``."""
+def run_cross(
+    demand, features, partners, slots, categorical=(), numeric=(), settings=Settings(models=MULTIVARIATE), lag: int = 0, **options
+) -> Outlook:
+    """The feature run with the demand of each product's partners added as ``other_<slot>`` (see ``cross_product``)."""
 
     def others(cleaned):
-        wide = cross_product(cleaned, lag=lag)
-        return wide, [c for c in wide.columns if c not in ("product", "ds", "y")]
+        return cross_product(cleaned, partners, slots, lag), [f"other_{k}" for k in slots]
 
     return run_features(demand, features, categorical, numeric, settings, extra=others, **options)
 

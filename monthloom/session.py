@@ -1,7 +1,6 @@
 """Session helpers."""
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,27 +30,16 @@ def get_spark(app: str = "monthloom", master: str | None = None, **conf) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, a laptop) a local folder takes its place.
-    """
-    context = spark.sparkContext
+    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one, else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is not None:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(path)
-    else:
-        # one folder for the life of the session, on the machine that runs it
-        path = getattr(spark, "_monthloom_folder", None) or tempfile.mkdtemp(prefix="monthloom-")
-        spark._monthloom_folder = path
-        context.setCheckpointDir(path)
-    return path
+    if path is None:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_monthloom"
+    return path.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows live in the shared folder and outlast executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def reuse(df: DataFrame) -> DataFrame:
+    """Rows that several steps read; a part lost with its executor is computed again from its lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def partitions_for_work(spark: SparkSession) -> int:
@@ -60,10 +48,10 @@ def partitions_for_work(spark: SparkSession) -> int:
     ``spark.sql.shuffle.partitions`` where somebody set it; otherwise twice the cores,
     but never below Spark's own 200 on a cluster, whose cores may not all be there yet.
     """
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if asked != 200:
+    name, context = "spark.sql.shuffle.partitions", spark.sparkContext
+    asked = int(spark.conf.get(name))
+    if context.getConf().contains(name) or asked != 200:
         return asked
-    context = spark.sparkContext
     cores = 2 * context.defaultParallelism
     return cores if context.master.startswith("local") else max(asked, cores)
 

@@ -8,15 +8,6 @@ ROLLING_WINDOWS = (3, 6, 12)
 SEASON = 12
 EPS = 1e-8
 
-# Which configuration section belongs to which model.
-MODEL_CONFIG_KEYS = {
-    "SARIMA": "sarima",
-    "HoltWinters": "holt_winters",
-    "Chronos": "chronos",
-    "XGBoost": "xgboost",
-    "Prophet": "prophet",
-}
-
 # Search spaces as (kind, low, high) or (kind, choices).
 SEARCH_SPACES = {
     "SARIMA": {
@@ -34,8 +25,6 @@ SEARCH_SPACES = {
         "min_child_weight": ("int", 1, 10),
         "subsample": ("float", 0.6, 1.0),
         "colsample_bytree": ("float", 0.6, 1.0),
-        "reg_alpha": ("logfloat", 1e-8, 10.0),
-        "reg_lambda": ("logfloat", 1e-8, 10.0),
     },
     "Prophet": {
         "changepoint_prior_scale": ("logfloat", 0.001, 0.5),

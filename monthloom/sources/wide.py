@@ -25,18 +25,25 @@ def column_index(column: str | int) -> int:
 
 
 def wide_to_long(
-    wide: DataFrame, product_column="A", first_data_column="B", date_format: str = "M.yyyy", last_wins: bool = False
+    wide: DataFrame, product_column="A", first_data_column="B", date_format: str = "M.yyyy", last_wins: bool = True, row_number: str | None = None
 ) -> DataFrame:
     """``product, ds, y`` from one row per product and one column per month.
 
     Headers that are no dates are dropped with their values; rows without a label or
     without any number are dropped while still wide, which needs no shuffle.  The header
-    dates are constants, so the optimizer parses each once.  With ``last_wins`` only the
-    last of several rows with the same label is kept.
+    dates are constants, so the optimizer parses each once.  Of several rows with
+    one label the last is kept: by the column ``row_number`` where there is one, else by the
+    order in which one file is read.  ``last_wins=False`` keeps all of them.
     """
     cols = wide.columns
-    label = F.col(f"`{cols[column_index(product_column)]}`").cast("string")
-    months = cols[column_index(first_data_column) :]
+    name = cols[column_index(product_column)]
+    label = F.col(f"`{name}`").cast("string")
+    months = [c for c in cols[column_index(first_data_column) :] if c != row_number]
+    if last_wins:
+        place = F.monotonically_increasing_id() if row_number is None else F.col(f"`{row_number}`")
+        rows = wide.select(label.alias(name), *[F.col(f"`{h}`").cast("string") for h in months], place.alias("_at"))
+        whole = F.max_by(F.struct(*[F.col(f"`{h}`") for h in months]), "_at").alias("_row")
+        wide = rows.filter(F.trim(F.col(f"`{name}`")) != "").groupBy(F.col(f"`{name}`")).agg(whole).select(f"`{name}`", "_row.*")
     cells = F.array(
         *[
             F.struct(
@@ -49,9 +56,6 @@ def wide_to_long(
     rows = wide.select(label.alias("product"), cells.alias("_c")).filter(
         (F.trim("product") != "") & F.exists("_c", lambda c: c["ds"].isNotNull() & c["y"].isNotNull())
     )
-    if last_wins:
-        numbered = rows.withColumn("_at", F.monotonically_increasing_id())
-        rows = numbered.groupBy("product").agg(F.max_by("_c", "_at").alias("_c"))
     return rows.select("product", F.inline("_c")).filter(F.col("ds").isNotNull())
 
 

@@ -93,15 +93,23 @@ def test_feature_prefixes_do_not_collide(spark):
     assert got == {"A_price": ("A", "price"), "A_B_price": ("A B", "price"), "A_B_A_B_x": ("A B", "A_B_x")}
 
 
-def test_cross_product_refuses_too_many(long):
-    d = long({"a": [1, 2], "b": [3, 4], "c c": [5, 6]})
-    with pytest.raises(ValueError):
-        joins.cross_product(d, max_products=2)
-    got = by(joins.cross_product(d), "product", "ds")
-    row = got[("a", dt.date(2020, 2, 1))]
-    assert (row["a_demand"], row["b_demand"], row["c_c_demand"]) == (None, 4.0, 6.0)
-    lagged = by(joins.cross_product(d, lag=1), "product", "ds")[("a", dt.date(2020, 2, 1))]
-    assert lagged["b_demand"] == 3.0
+def test_cross_product_by_partner_table(spark, long):
+    d = long({"A B": [1, 2], "A_B": [3, 4], "ab": [5, 6], "AB": [7, 8]})
+    table = [("A B", 1, "A_B"), ("A B", 2, "ab"), ("ab", 1, "AB"), ("ab", 2, "ab"), ("AB", 2, "nobody"), ("ab", 1, "AB")]
+    partners = spark.createDataFrame(table, "product string, slot int, other string")
+    got = by(joins.cross_product(d, partners, [1, 2]), "product", "ds")
+    second = dt.date(2020, 2, 1)
+    assert len(got) == 8
+    assert [(got[(p, second)]["other_1"], got[(p, second)]["other_2"]) for p in ("A B", "A_B", "ab", "AB")] == [(4, 6), (None, None), (8, None), (None, None)]
+    lagged = by(joins.cross_product(d, partners, [1, 2], lag=1), "product", "ds")
+    assert lagged[("A B", second)]["other_1"] == 3 and lagged[("A B", dt.date(2020, 1, 1))]["other_1"] is None
+
+
+def test_repeated_months_keep_the_largest_value(spark):
+    months = [("p", "2020-01-01", 1.0), ("p", "2020-01-01", 3.0), ("p", "2020-03-01", None), ("p", "2020-03-01", 2.0), ("q", "2020-02-01", 5.0)]
+    d = spark.createDataFrame(months, "product string, ds string, y double").withColumn("ds", F.col("ds").cast("date"))
+    got = {(r["product"], r["ds"].month): r["y"] for r in reindex_calendar(d).collect()}
+    assert got == {("p", 1): 3.0, ("p", 2): None, ("p", 3): 2.0, ("q", 1): None, ("q", 2): 5.0, ("q", 3): None}
 
 
 def test_metric_edges(spark):

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from monthloom.plans.multivariate import run_cross, run_default, run_features
+from monthloom.models.boosted import training_table
+from monthloom.plans.multivariate import encoded_table, run_cross, run_default, run_features
 from monthloom.plans.univariate import run_univariate
 from monthloom.settings import Settings
 
@@ -62,10 +63,27 @@ def test_features(spark, long, patterns):
 
 def test_cross(spark, long, patterns):
     demand = long(patterns)
-    out = run_cross(demand, features_of(demand), ["promo"], ["price"], Settings(models=("Prophet",), **SHORT))
+    pairs = [("Trending", 1, "Seasonal"), ("Seasonal", 1, "Trending"), ("Seasonal", 2, "Declining")]
+    partners = spark.createDataFrame(pairs, "product string, slot int, other string")
+    s = Settings(models=("Prophet",), **SHORT)
+    out = run_cross(demand, features_of(demand), partners, [1, 2], ["promo"], ["price"], s)
     check(out, 4, ["Prophet"], 6)
     named = {r["feature"] for r in out.extras["importances"].select("feature").distinct().collect()}
-    assert {"Trending_demand", "Step_Change_demand", "price", "promo"} <= named
+    assert named == {"other_1", "other_2", "price", "promo"}
+
+
+def test_nothing_left_to_forecast(long):
+    with pytest.raises(ValueError, match="forecastable"):
+        run_features(long({"dead": [0] * 60}), features_of(long({"dead": [0] * 60})), ["promo"], ["price"])
+
+
+def test_missing_features_are_left_out_of_training(spark, long, patterns):
+    demand = long(patterns)
+    gaps = features_of(demand).withColumn("price", F.when(F.month("ds") % 2 == 0, F.col("price")))
+    table = encoded_table(demand, gaps, ["promo"], ["price"], Settings(**SHORT))
+    assert table.filter("price is null").count() == 4 * 30
+    known = training_table(table.select("product", "ds", "y", "promo", "price"))
+    assert known.count() > 0 and known.filter(F.month("ds") % 2 == 1).count() == 0
 
 
 def test_default(spark, long, patterns):
