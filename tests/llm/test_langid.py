@@ -48,7 +48,7 @@ def test_narrow_margin_is_rejected(spark, samples):
 
 
 def test_learning(spark):
-    rows = [("aa", f"word{i} text", "s") for i in range(50)] + [("bb", "Ünder 12 the", "s"), (None, "no", "s"), ("cc", None, "s"), ("dd", "123", "s")] * 3
+    rows = [("aa", f"word{chr(97 + i % 26)}{chr(97 + i // 26)} text", "s") for i in range(50)] + [("bb", "Ünder 12 the", "s"), (None, "no", "s"), ("cc", None, "s"), ("dd", "123", "s")] * 3
     labelled = spark.createDataFrame(rows, "lang string, text string, source string")
     found = langid.learn(labelled, sample_rows=10)
     assert set(found) == {"aa", "bb", "dd"} and found["bb"] == "ünder the".encode() and found["dd"] == b""
