@@ -13,7 +13,8 @@ What keeps this linear where a group is large:
 * a set with too many shingles that no other set has cannot be similar to any; these, nearly all
   of a normal corpus, are found from a quarter of the shingles and go before the index;
 * within an index entry only the links that matter for components are sought: all members are
-  compared with a central one, and those not linked to it with the members of other components.
+  compared with a central one, and those not linked to it with the members of other components that
+  size, place in the order and parity bits leave possible.
 
 Shingles and sets are told apart by 64-bit hashes.
 """
@@ -34,6 +35,8 @@ SCREENED_WHOLE = 256
 QUARTER = 3
 #: Bits of the filter of documents that passed the screen: 8 MB whatever the table's size.
 FILTER_BITS = 1 << 26
+#: Words of 64 parity bits that bound from below in how many shingles two sets differ.
+PARITY_WORDS = 8
 #: A shingle in more sets than this (of about equal size, after the screen) is frequent.
 FREQUENT = 256
 
@@ -76,6 +79,18 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(values.view(np.int64)))
 
 
+def _parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per row: for each of 64 * PARITY_WORDS classes of hashes whether the set has an odd number of them.
+
+    A shingle that only one of two sets has turns one bit, so sets differ in at least as many
+    shingles as their parities differ in bits.
+    """
+    at = (S.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+    out = np.zeros((len(n), PARITY_WORDS), np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(n)), n), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
 def sized(docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
     """``doc_id``, ``t`` (hash of the text), ``n``, ``dg`` and the shingles the screen uses, per row of ``docs``."""
     whole = SCREENED_WHOLE * 100 // rule.percent + 1  # sizes that can be similar to one screened whole
@@ -132,7 +147,7 @@ def _place(doc_id: Column) -> Column:
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
-    """``dg``, ``n`` and all shingles of the chosen classes.
+    """``dg``, ``n``, all ``shingles`` and their ``parity`` of the chosen classes.
 
     Documents pass a filter of fixed size by their id before they are read, then a join decides, so
     texts are not shuffled.
@@ -148,18 +163,24 @@ def full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
             for part, data, off in sliced([batch]):
                 h, n, dg = _sets(data, off, shingle)
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(dg.view(np.int64)), pa.array(n), _lists(h, n)],
-                    names=["id", "dg", "n", "shingles"],
+                    [
+                        part.column("doc_id"),
+                        pa.array(dg.view(np.int64)),
+                        pa.array(n),
+                        _lists(h, n),
+                        _lists(_parity(h, n).reshape(-1), np.full(len(n), PARITY_WORDS)),
+                    ],
+                    names=["id", "dg", "n", "shingles", "parity"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("p", _place(F.col("doc_id")))
-    found = rows.mapInArrow(run, "id long, dg long, n long, shingles array<long>")
+    found = rows.mapInArrow(run, "id long, dg long, n long, shingles array<long>, parity array<long>")
     c = chosen.select(F.col("dg").alias("dg2"), "rep")
     # rows that repeat id and text have one set
     return (
         found.join(c, (F.col("dg") == F.col("dg2")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
         .groupBy("dg")
-        .agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+        .agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
     )
 
 
@@ -232,6 +253,12 @@ def _may_match(x: str, y: str, percent: int) -> Column:
     )
 
 
+def _parity_allows(x: str, y: str, percent: int) -> Column:
+    """The sets differ in few enough shingles, as far as their parities tell."""
+    differ = " + ".join(f"bit_count({x}.p{k} ^ {y}.p{k})" for k in range(PARITY_WORDS))
+    return F.expr(f"{100 + percent} * ({x}.n + {y}.n - ({differ})) >= {2 * percent} * ({x}.n + {y}.n)")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) that are similar."""
     a = sets.select(F.col("dg").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -306,9 +333,14 @@ def links(entries: DataFrame, sets: DataFrame, rule: Rule, rounds: int = 2) -> t
     e = stored(_unsettled(entries, labels), "entries")
     if e.isEmpty():
         return found, labels
-    away = e.join(centres(e), "key").where("component <> c.component").select("key", F.struct("dg", "n", "largest", "component").alias("x"))
-    rest = away.join(e.select("key", F.struct("dg", "n", "largest", "component").alias("y")), "key").where(
-        (F.col("x.component") != F.col("y.component")) & _may_match("x", "y", rule.percent)
+    parity = sets.select(F.col("dg").alias("dg2"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)])
+    e = stored(e.join(parity, F.col("dg") == F.col("dg2")).drop("dg2"), "entries")
+    member = F.struct("dg", "n", "largest", "component", *[f"p{k}" for k in range(PARITY_WORDS)])
+    away = e.join(centres(e), "key").where("component <> c.component").select("key", member.alias("x"))
+    rest = away.join(e.select("key", member.alias("y")), "key").where(
+        (F.col("x.component") != F.col("y.component"))
+        & _may_match("x", "y", rule.percent)
+        & _parity_allows("x", "y", rule.percent)
     )
     settle(rest.select(F.col("x.dg").alias("a"), F.col("y.dg").alias("b")))
     return found, labels

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from monthloom.llm import jaccard
@@ -103,3 +104,14 @@ def test_components(spark):
     linked = {n for a, b in edges if a != b for n in (a, b)}
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: c for n, c in up.items() if n in linked}
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, 40 * i + 1).astype(np.uint64)) for i in range(12)]
+    sets += [np.union1d(s[: len(s) // 2], sets[0]) for s in sets]
+    p = jaccard._parity(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            bits = sum(int(x).bit_count() for x in p[i] ^ p[j])
+            assert bits <= len(np.setxor1d(sets[i], sets[j]))
