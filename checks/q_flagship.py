@@ -1,8 +1,10 @@
 """The runs end to end."""
 
+from pyspark.sql import functions as F
+
 from checks import sqlparts as S
 from checks.registry import final, query
-from checks.tables import SUPPLIER, bounds, supplier_features, supplier_raw
+from checks.tables import SUPPLIER, bounds, read, supplier_features, supplier_raw
 from monthloom.plans.multivariate import run_cross, run_default, run_features
 from monthloom.plans.univariate import run_univariate
 from monthloom.settings import Settings
@@ -19,6 +21,29 @@ def outlook_univariate(spark, sf):
     return outlook(spark, sf).ensemble
 
 
+# saved parameters for products that do not end in 1, defaults for the others
+GIVEN = SUPPLIER + "," + S.prepared("supplier_d") + """,
+whole AS (SELECT product, i, clean AS y FROM cl), last_row AS (SELECT product, max(ds) AS last FROM cl GROUP BY 1),
+own AS (SELECT 'Supplier ' || l_suppkey AS product, CASE WHEN l_suppkey % 10 <> 1 THEN 'saved' ELSE 'defaults' END AS origin,
+  CAST(CASE WHEN l_suppkey % 10 <> 1 THEN '0.' || (1 + count(*) % 8) ELSE '0.3' END AS DOUBLE) AS alpha, CAST(0.1 AS DOUBLE) AS beta, CAST(0.2 AS DOUBLE) AS gamma
+  FROM lineitem GROUP BY l_suppkey),""" + S.hw_run("whole", "own", "hw") + "," + S.hw_best("hw", "best") + "," + S.hw_path("best", "path") + """,
+t AS (SELECT p.product, origin, o.alpha, step, CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, y AS yhat FROM path p JOIN last_row USING (product) JOIN own o ON o.product = p.product)"""
+
+
+@query("run_params", final(GIVEN, "t", "product origin alpha:f step:i ds:d yhat:f", 4), 4)
+def run_params(spark, sf):
+    """A run on saved and configured parameters: where they came from, and the forecasts they give."""
+    k, rows = F.col("l_suppkey"), F.count(F.lit(1))
+    text = F.concat(F.lit('{"alpha":0.'), (1 + rows % 8).cast("string"), F.lit(',"beta":0.1,"gamma":0.2}')).alias("params_json")
+    per = read(spark, sf, "lineitem").filter("l_suppkey % 10 <> 1").groupBy(k).agg(text)
+    product = F.concat(F.lit("Supplier "), k.cast("string")).alias("product")
+    saved = per.select(product, F.lit("HoltWinters").alias("model"), "params_json")
+    config = spark.createDataFrame([("HoltWinters", False, '{"alpha":0.3,"beta":0.1,"gamma":0.2}')], "model string, optimize boolean, defaults_json string")
+    o = run_univariate(supplier_raw(spark, sf), Settings(models=("HoltWinters",)), bounds=bounds(spark, sf), params=saved, config=config)
+    used = o.params.select("product", "origin", F.get_json_object("params_json", "$.alpha").cast("double").alias("alpha"))
+    return o.forecasts.drop("model").join(used, "product")
+
+
 FEATURE_RUN = {"categorical": ["promo"], "numeric": ["discount", "price"]}
 RUNS: dict = {}
 

@@ -24,10 +24,12 @@ STATE = (
 def smooth(Y, a, b, g, trend="add", seasonal="add", m=SEASON):
     """Run the recursion; returns (sse, level, trend, season) with candidates on axis 1.
 
+    ``a, b, g`` hold the candidates of all series, or a row of them for each.
+
     The first season gives the starting level and shape, the second the starting slope.
     """
     S, n = Y.shape
-    G = len(a)
+    G = np.shape(a)[-1]
     ones = np.ones((S, G))
     if seasonal:
         first, second = Y[:, :m].mean(axis=1), Y[:, m : 2 * m].mean(axis=1)
@@ -124,6 +126,44 @@ def _fit_udf(grid, trend, seasonal, m):
     return fit
 
 
+def _given(Y, alpha, beta, gamma, m):
+    """State per series under parameters of its own; None where that fails."""
+    tr, se = _variant(Y.shape[1], "add", "add", m)
+    a, b, g = alpha[:, None], (beta if tr else 0 * beta)[:, None], (gamma if se else 0 * gamma)[:, None]
+    with np.errstate(all="ignore"):
+        sse, lv, sl, ss = smooth(Y, a, b, g, tr, se, m)
+    kind = f"{tr or 'none'}-{se or 'none'}"
+    rows = []
+    for r in range(len(Y)):
+        season = ss[r, 0].tolist() if ss is not None else None
+        row = (kind, a[r, 0], b[r, 0], g[r, 0], sse[r, 0], lv[r, 0], sl[r, 0], season)
+        rows.append(row if np.isfinite(sse[r, 0]) else None)
+    return rows
+
+
+def hw_resolved_column(ys: Column, given: Column, grid=GRID, m: int = SEASON) -> Column:
+    """Like ``hw_column``, but with the parameters of the struct ``given`` (alpha, beta, gamma) where there are any."""
+
+    @F.pandas_udf(STATE)
+    def fit(y: pd.Series, p: pd.DataFrame) -> pd.DataFrame:
+        rows, known = [None] * len(y), p[["alpha", "beta", "gamma"]].astype(float).to_numpy()
+        for at, Y in by_length(y):
+            if not Y.shape[1]:
+                continue
+            has = np.isfinite(known[at]).all(axis=1)
+            if has.any():
+                for j, r in zip(at[has], _given(Y[has], *known[at[has]].T, m)):
+                    rows[j] = r
+            rest = np.array([rows[j] is None for j in at])
+            if rest.any():
+                for j, r in zip(at[rest], _best(Y[rest], grid, "add", "add", m)):
+                    rows[j] = r
+        names = ["kind", "alpha", "beta", "gamma", "sse", "level", "trend", "season"]
+        return pd.DataFrame([r or (None,) * 8 for r in rows], columns=names)
+
+    return fit(ys, given)
+
+
 def hw_column(ys: Column, grid=GRID, trend="add", seasonal="add", m: int = SEASON) -> Column:
     """STRUCT with the chosen parameters and the final state."""
     return _fit_udf(grid, trend, seasonal, m)(ys)
@@ -179,20 +219,25 @@ def hw_trial_scores(ys: Column, trials: Column, ratio: float = 0.2, m: int = SEA
     @F.pandas_udf("array<double>")
     def score(y: pd.Series, t: pd.Series) -> pd.Series:
         out = [None] * len(y)
-        for j in range(len(y)):
-            full = np.asarray(y.iloc[j], dtype=float)
-            cand = np.array([[c["alpha"], c["beta"], c["gamma"]] for c in t.iloc[j]], dtype=float)
-            cut = int(len(full) * (1 - ratio))
-            head, tail = full[:cut], full[cut:]
-            tr, se = _variant(len(head), "add", "add", m)
-            if len(head) < 1 or not len(tail):
-                out[j] = [np.inf] * len(cand)
-                continue
-            with np.errstate(all="ignore"):
-                _, lv, sl, ss = smooth(head[None, :], cand[:, 0], cand[:, 1], cand[:, 2], tr, se, m)
-                path = project(lv[0], sl[0], None if ss is None else ss[0], len(tail), tr, se)
-                err = np.abs((tail - path) / (tail + EPS)).mean(axis=1)
-            out[j] = np.where(np.isfinite(err), err, np.inf).tolist()
+        tries = t.map(len).to_numpy()
+        for at, Y in by_length(y):  # series of one length advance together, each with its own trials
+            n = Y.shape[1]
+            cut = int(n * (1 - ratio))
+            for k in np.unique(tries[at]):
+                rows = np.flatnonzero(tries[at] == k)
+                if not cut or cut == n or not k:
+                    for r in rows:
+                        out[at[r]] = [np.inf] * int(k)
+                    continue
+                cand = np.array([[[c["alpha"], c["beta"], c["gamma"]] for c in t.iloc[at[r]]] for r in rows], dtype=float)
+                head, tail = Y[rows, :cut], Y[rows, cut:]
+                tr, se = _variant(cut, "add", "add", m)
+                with np.errstate(all="ignore"):
+                    _, lv, sl, ss = smooth(head, cand[..., 0], cand[..., 1], cand[..., 2], tr, se, m)
+                    path = project(lv, sl, ss, n - cut, tr, se)
+                    err = np.abs((tail[:, None, :] - path) / (tail[:, None, :] + EPS)).mean(axis=2)
+                for r, e in zip(rows, np.where(np.isfinite(err), err, np.inf)):
+                    out[at[r]] = e.tolist()
         return pd.Series(out)
 
     return score(ys, trials)

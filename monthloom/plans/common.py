@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from monthloom.models.autoreg import ar_column, ar_path
 from monthloom.models.regress import regress_column
 from monthloom.models.sarima import sarima_path
-from monthloom.models.smoothing import hw_column, hw_forecast_column
+from monthloom.models.smoothing import hw_column, hw_forecast_column, hw_resolved_column, hw_trial_scores
 from monthloom.operators.blending import inverse_mape_weights
 from monthloom.operators.calendar import last_n_window, unpack
 from monthloom.operators.cleaning import clean_packed, clean_rows
-from monthloom.operators.joins import complete_weights
+from monthloom.operators.joins import complete_weights, resolve_params
 from monthloom.operators.metrics import array_metrics
 from monthloom.operators.screening import classify_filter, split_sizes
+from monthloom.operators.tuning import smoothing_trials
 from monthloom.settings import Settings
+from monthloom.sources import store
 
 
 @dataclass
@@ -29,6 +31,7 @@ class Outlook:
     forecasts: DataFrame
     weights: DataFrame
     ensemble: DataFrame
+    params: DataFrame | None = None
     extras: dict = field(default_factory=dict)
 
     @property
@@ -83,6 +86,58 @@ def split_arrays(packed: DataFrame, s: Settings, fit_on: str = "train+val") -> D
     )
 
 
+# models whose parameters can be given: how to fit with a struct of them, and its fields
+GIVEN = {"HoltWinters": (hw_resolved_column, ("alpha", "beta", "gamma"))}
+
+
+def with_params(df: DataFrame, models, saved: DataFrame | None, config: DataFrame, trials: int = 5) -> DataFrame:
+    """Adds ``origin_<model>`` and the struct ``given_<model>`` for the models that take parameters.
+
+    ``config(model, optimize, defaults_json)`` and ``saved(product, model, params_json)`` are resolved
+    per product: searched on the history before the test months, else saved, else the
+    configured defaults, else none.  One join by product for all models.
+    """
+    names = [m for m in models if m in GIVEN]
+    if not names:
+        return df
+    wanted = df.select("product", F.explode(F.array(*[F.lit(m) for m in names])).alias("model"))
+    if saved is None:
+        saved = df.sparkSession.createDataFrame([], "product string, model string, params_json string")
+    resolved = resolve_params(wanted, saved.select("product", "model", "params_json"), config)
+    entry = F.struct("model", F.struct("origin", "params_json").alias("r"))
+    per = resolved.groupBy("product").agg(F.map_from_entries(F.collect_list(entry)).alias("_params"))
+    df = df.join(per, "product", "left")
+    for m in names:
+        r, fields = F.try_element_at("_params", F.lit(m)), GIVEN[m][1]
+        text = F.struct(*[F.get_json_object(r["params_json"], f"$.{f}").try_cast("double").alias(f) for f in fields])
+        df = smoothing_trials(df, trials).withColumn("_score", hw_trial_scores(F.col("head"), F.col("trials")))
+        best = F.array_min(F.arrays_zip(F.col("_score").alias("s"), F.col("trials").alias("t")))["t"]
+        found = F.struct(*[best[f].alias(f) for f in fields])
+        df = df.withColumns({f"origin_{m}": r["origin"], f"given_{m}": F.when(r["origin"] == "tune", found).otherwise(text)})
+        df = df.drop("trials", "_score")
+    return df.drop("_params")
+
+
+def params_used(fitted: DataFrame, models, trials: int) -> DataFrame:
+    """``product, model, origin, params_json, retrained, trials`` of the final fits."""
+    rows = [
+        F.struct(F.lit(m).alias("model"), F.col(f"origin_{m}").alias("origin"), F.to_json(F.col(f"used_{m}")).alias("params_json"))
+        for m in models
+        if m in GIVEN
+    ]
+    empty = "array<struct<model:string,origin:string,params_json:string>>"
+    long = fitted.select("product", F.inline(F.array(*rows) if rows else F.array().cast(empty)))
+    tuned = F.col("origin") == "tune"
+    return long.withColumns({"retrained": F.lit(True), "trials": F.when(tuned, trials).otherwise(0)})
+
+
+def record_run(out, folder: str, run_ts: str, project: str, run_date: str, config: dict | None = None) -> None:
+    """Appends the parameters of a run to ``<folder>/params`` and writes its record to ``<folder>/runs/<run_ts>``."""
+    store.param_store_save(out.params.filter("params_json is not null"), f"{folder}/params", run_ts)
+    summary = store.run_summary(out.metrics, project, run_ts, run_date, config, out.params)
+    store.run_summary_json(summary, f"{folder}/runs/{run_ts}")
+
+
 def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
     """Adds ``bt_<model>`` (test months) and ``fc_<model>`` (future) to each product's row.
 
@@ -94,7 +149,10 @@ def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
     for m in models:
         fit, path = FORECASTERS[m]
         for tag, history, h in (("bt", head, F.col("n_test")), ("fc", ys, F.lit(s.horizon))):
-            fits[f"_{tag}_{m}"] = fit(history, start, h, most)
+            given = f"given_{m}" in df.columns
+            fits[f"_{tag}_{m}"] = GIVEN[m][0](history, F.col(f"given_{m}")) if given else fit(history, start, h, most)
+            if given and tag == "fc":
+                paths[f"used_{m}"] = F.struct(*[F.col(f"_fc_{m}")[f].alias(f) for f in GIVEN[m][1]])
             paths[f"{tag}_{m}"] = path(F.col(f"_{tag}_{m}"), history, h)
     # two projections whatever the number of models: first all fits, then all paths
     return df.withColumns(fits).withColumns(paths).drop(*fits) if models else df
@@ -147,7 +205,7 @@ def blend(cleaned: DataFrame, rows: DataFrame, s: Settings, models, **extras) ->
         counted.filter(F.col("step") <= F.col("_want")).groupBy("product", "step", "ds").agg(F.sum(share).alias("yhat"))
     )
     return Outlook(
-        cleaned, backtest_pairs(rows), metrics, future_paths(rows), weighted.drop("fc", "future_at"), ensemble, extras
+        cleaned, backtest_pairs(rows), metrics, future_paths(rows), weighted.drop("fc", "future_at"), ensemble, extras=extras
     )
 
 

@@ -1,5 +1,7 @@
 """Whole runs on the four synthetic patterns."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,26 @@ def test_default(spark, long, patterns):
     out = run_default(demand, features_of(demand), ["promo"], ["price"], Settings(models=models, **SHORT), tree_options=TREES)
     check(out, 4, models, 6)
     assert out.weights.groupBy("product").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_parameters_are_searched_saved_and_used_again(spark, long, patterns):
+    from monthloom.plans.common import record_run
+    from monthloom.session import shared_folder
+    from monthloom.sources import store
+
+    demand, s = long(patterns), Settings(models=("HoltWinters", "ARI1"), **SHORT)
+    kind = "model string, optimize boolean, defaults_json string"
+    first = run_univariate(demand, s, config=spark.createDataFrame([("HoltWinters", True, None)], kind))
+    used = {r["product"]: r for r in first.params.collect()}
+    assert len(used) == 4 and {r["origin"] for r in used.values()} == {"tune"} and {r["trials"] for r in used.values()} == {5}
+    folder = f"{shared_folder(spark)}/params-{uuid.uuid4().hex}"
+    record_run(first, folder, "20200101_000000", "tests", "2020-01-01")
+    saved = store.param_store_latest(store.param_store_read(spark, f"{folder}/params"))
+    again = run_univariate(demand, s, params=saved, config=spark.createDataFrame([("HoltWinters", False, None)], kind))
+    assert {r["origin"] for r in again.params.collect()} == {"saved"}
+    path = lambda o: {(r["product"], r["model"], r["step"]): r["yhat"] for r in o.forecasts.collect()}
+    assert path(again) == pytest.approx(path(first))
+    assert store.run_summary_read(spark, f"{folder}/runs/20200101_000000").count() == 4
+    plain = run_univariate(demand, s, config=spark.createDataFrame([("HoltWinters", False, None)], kind))
+    assert {r["origin"] for r in plain.params.collect()} == {"none"}
+    assert path(plain) == pytest.approx(path(run_univariate(demand, s)))
