@@ -75,6 +75,13 @@ class Templates:
         self.bands = 1 if least >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - least**rows)))
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(0, 2**63, self.bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+        # by words of a shingle: all shingles of the templates, and a coarse filter of them
+        self.known = {}
+        for k in {e[5] for e in self.entries}:
+            every = np.unique(np.concatenate([e[1] for e in self.entries if e[5] == k]))
+            coarse = np.zeros(1 << 16, bool)
+            coarse[(every >> np.uint64(48)).astype(np.int64)] = True
+            self.known[k] = (every, coarse)
         # by (class, words of a shingle): sorted band keys, their templates, and a coarse filter of the keys
         self.index = {}
         for c, k in sorted({(e[4], e[5]) for e in self.entries}):
@@ -98,33 +105,37 @@ class Templates:
             key = key ^ (key >> np.uint64(28))
         return key * np.uint64(0xD6E8FEB86659FD93)
 
-    def candidates(self, h: np.ndarray, row: np.ndarray, rows: int, c: int, k: int):
-        """(first shingle of a window, template) that agree in some band; shingles come in order of rows."""
+    def candidates(self, h: np.ndarray, row: np.ndarray, rows: int, held: np.ndarray, c: int, k: int):
+        """(first shingle of a window, template) that agree in some band; shingles come in order of rows.
+
+        Values of a band can only agree where a window holds a shingle of some template, so the
+        windows around the places ``held`` of such shingles are the ones that get values.
+        """
         stride, blocks = geometry(c)
-        n = np.bincount(row, minlength=rows)
-        first = np.cumsum(n) - n
-        per_row = -(-n // stride)
-        block_row = np.repeat(np.arange(rows), per_row)
-        inside = np.arange(len(block_row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        at = first[block_row] + inside * stride
-        last_block = np.repeat(np.cumsum(per_row), per_row)
+        width = stride * blocks
+        stop = np.cumsum(np.bincount(row, minlength=rows))
+        first = np.concatenate([[0], stop[:-1]])
+        inside = held - first[row[held]]
+        low, high = np.maximum(0, -(-(inside - width + 1) // stride)), inside // stride
+        n = high - low + 1
+        number = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        starts = np.unique(np.repeat(first[row[held]], n) + number * stride)
         found = []
-        if not len(at):
-            return np.zeros((0, 2), np.int64)
-        for b, (keys, mine, coarse) in enumerate(self.index[c, k]):
-            minima = []
-            for f in self._of(b):
-                low = np.minimum.reduceat(h * f, at)
-                window = low.copy()
-                for j in range(1, blocks):
-                    here = np.arange(len(low) - j) + j < last_block[: len(low) - j]
-                    np.minimum(window[: len(low) - j], low[j:], out=window[: len(low) - j], where=here)
-                minima.append(window)
-            key = self._key(b, minima)
-            near = np.flatnonzero(coarse[(key >> np.uint64(48)).astype(np.int64)])
-            for x in near:
-                lo, hi = np.searchsorted(keys, key[x], "left"), np.searchsorted(keys, key[x], "right")
-                found.extend((at[x], t) for t in mine[lo:hi])
+        for a in range(0, len(starts), 20_000):
+            at = starts[a : a + 20_000]
+            place = at[:, None] + np.arange(width)
+            beyond = place >= stop[row[at]][:, None]
+            values = h[np.minimum(place, len(h) - 1)]
+            for b, (keys, mine, coarse) in enumerate(self.index[c, k]):
+                minima = []
+                for f in self._of(b):
+                    hashed = values * f
+                    hashed[beyond] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                    minima.append(hashed.min(axis=1))
+                key = self._key(b, minima)
+                for x in np.flatnonzero(coarse[(key >> np.uint64(48)).astype(np.int64)]):
+                    lo, hi = np.searchsorted(keys, key[x], "left"), np.searchsorted(keys, key[x], "right")
+                    found.extend((at[x], t) for t in mine[lo:hi])
         return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
 
     def scan(self, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, int, int]]:
@@ -137,21 +148,26 @@ class Templates:
             at = np.flatnonzero(np.arange(len(words)) + k <= np.repeat(ends, counts))
             row = np.repeat(np.arange(rows), counts)[at]
             h = S.folded(words, at, k)
+            known, coarse = self.known[k]
+            held = np.flatnonzero(coarse[(h >> np.uint64(48)).astype(np.int64)])
+            held = held[np.isin(h[held], known)]
+            if not len(held):
+                continue
             stop = np.cumsum(np.bincount(row, minlength=rows))
             for c, kk in self.index:
                 if kk != k:
                     continue
                 stride, blocks = geometry(c)
-                for s, t in self.candidates(h, row, rows, c, k).tolist():
+                for s, t in self.candidates(h, row, rows, held, c, k).tolist():
                     window = h[s : min(s + stride * blocks, stop[row[s]])]
                     _, shingles, m, need, _, _ = self.entries[t]
                     here = np.isin(window, shingles)
-                    held = len(np.unique(window[here]))
-                    if held >= need:
+                    share = len(np.unique(window[here]))
+                    if share >= need:
                         r = int(row[s])
                         word = int(at[s + int(np.argmax(here))] - begin[r])
                         old = best.get((r, t), (0.0, word, 0))
-                        best[r, t] = (max(old[0], held / m), min(old[1], word), old[2] + 1)
+                        best[r, t] = (max(old[0], share / m), min(old[1], word), old[2] + 1)
         return [(r, t, *v) for (r, t), v in sorted(best.items())]
 
 
