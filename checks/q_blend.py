@@ -286,12 +286,26 @@ def q_report_forecast(spark, sf):
     return reports.report_forecast(history, o.forecasts, o.ensemble, o.weights)
 
 
-@query("run_summary_json")
+SUMMARY_JSON = RUN + ",\nt AS (SELECT product, model, round(mape, 9) AS mape, 'supply' AS project, '12' AS horizon, '1' AS d, 'true' AS retrained, '3' AS trials FROM met)"
+
+
+@query("run_summary_json", final(SUMMARY_JSON, "t", "product model mape:f project horizon d retrained trials"))
 def q_run_summary(spark, sf):
+    """The record's JSON, taken apart again."""
     o = two(spark, sf)
-    params = o.metrics.select("product", "model", F.lit('{"d":1}').alias("params_json"), F.lit(True).alias("retrained"), F.lit(0).alias("trials"))
+    params = o.metrics.select("product", "model", F.lit('{"d":1}').alias("params_json"), F.lit(True).alias("retrained"), F.lit(3).alias("trials"))
     s = store.run_summary(o.metrics, "supply", "20011101_000000", "2001-11-01T00:00:00", {"horizon": 12}, params)
-    return s.select("product", F.to_json("run_info").alias("run_info"), F.to_json("config").alias("config"), F.to_json("models").alias("models"))
+    part = {"project": F.to_json("run_info").alias("info"), "horizon": F.to_json("config").alias("config")}
+    flat = s.select("product", *part.values(), F.explode("models").alias("model", "record"))
+    field = {"d": "$.params.d", "retrained": "$.retrained", "trials": "$.optuna_trials_used"}
+    return flat.select(
+        "product",
+        "model",
+        F.get_json_object("record", "$.metrics.backtest.mape").cast("double").alias("mape"),
+        F.get_json_object("info", "$.project_name").alias("project"),
+        F.get_json_object("config", "$.horizon").alias("horizon"),
+        *[F.get_json_object("record", path).alias(name) for name, path in field.items()],
+    )
 
 
 SUMMARY_READ = RUN + ",\nt AS (SELECT product, model, round(mape, 9) AS mape, 'supply' AS project FROM met)"

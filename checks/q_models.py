@@ -57,7 +57,23 @@ def q_hw_short(spark, sf):
     return f.select("product", "fit.kind", "fit.alpha", "fit.beta", "fit.sse", "fit.level", "fit.trend")
 
 
-@query("hw_multiplicative")
+MUL = WHOLE + "," + S.GRID + """,
+up AS (SELECT product, list(y + 1.0 ORDER BY i) AS ys FROM whole GROUP BY 1),
+up_0 AS (SELECT product, ys, list_avg(ys[1:12]) AS l0, list_avg(ys[13:24]) AS l1 FROM up),
+hm AS (
+  SELECT s.product, g.alpha, g.beta, g.gamma, 12 AS i, len(ys) AS n, l0 AS level, pow(l1 / l0, 1.0::DOUBLE / 12) AS trend,
+         list_transform(ys[1:12], lambda v: v / l0) AS season, CAST(0.0 AS DOUBLE) AS sse
+  FROM up_0 s, hw_grid g
+  UNION ALL
+  SELECT product, alpha, beta, gamma, i + 1, n, lv, beta * (lv / level) + (1 - beta) * trend,
+         list_append(season[2:12], gamma * (y / (level * trend)) + (1 - gamma) * season[1]), sse + (y - level * trend * season[1]) ** 2
+  FROM (SELECT r.*, o.ys[r.i + 1] AS y, r.alpha * (o.ys[r.i + 1] / r.season[1]) + (1 - r.alpha) * (r.level * r.trend) AS lv
+        FROM hm r JOIN up_0 o ON o.product = r.product WHERE r.i < r.n)),""" + S.hw_best("hm", "mb") + f""",
+t AS (SELECT product, step, {DATED}, level * pow(trend, step) * season[(step - 1) % 12 + 1] AS yhat
+  FROM mb JOIN last_row USING (product), (SELECT unnest(generate_series(1, 12)) AS step) k)"""
+
+
+@query("hw_multiplicative", final(MUL, "t", "product step:i ds:d yhat:f", 3), 3)
 def q_hw_mul(spark, sf):
     p = packed(spark, sf).withColumn("ys", F.transform("ys", lambda v: v + 1.0))
     return smoothing.hw_forecast(smoothing.hw_fit(p, trend="mul", seasonal="mul"))
@@ -224,22 +240,33 @@ def trained(spark, sf):
     return TRAINED[key]
 
 
-@query("gbt_fit")
+# values of trees have no SQL text; what must hold of them is compared instead
+def finite(c):
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)
+
+
+@query("gbt_fit", final(WHOLE, "(SELECT product, ds, clean AS y, TRUE AS near FROM cl WHERE i >= 12)", "product ds:d y:f near"))
 def q_gbt(spark, sf):
+    """The training rows; the trees miss them by less than their mean does."""
     _, table, model = trained(spark, sf)
-    return model.transform(table).select("product", "ds", "y", F.col("prediction").alias("fitted"))
+    scored = model.transform(table)
+    fit = scored.agg((F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)) < F.stddev_pop("y")).alias("near")).scalar()
+    return scored.select("product", "ds", "y", (finite(F.col("prediction")) & fit).alias("near"))
 
 
-@query("recursive_forecast")
+@query("recursive_forecast", final(WHOLE, f"(SELECT product, step, {DATED}, TRUE AS valid FROM last_row, (SELECT unnest(generate_series(1, 12)) AS step) k)", "product step:i ds:d valid"))
 def q_recursive(spark, sf):
     p, _, model = trained(spark, sf)
-    return boosted.recursive_forecast(p, model, 12)
+    return boosted.recursive_forecast(p, model, 12).withColumn("valid", finite(F.col("yhat"))).drop("yhat")
 
 
-@query("tree_importance")
+@query("tree_importance", f"SELECT unnest({[*boosted.TEMPORAL, 'level']}) AS feature, TRUE AS valid")
 def q_tree_importance(spark, sf):
+    """A share from 0 to 100 for every feature, 100 together but for rounding."""
     _, _, model = trained(spark, sf)
-    return boosted.tree_importance(spark, model)
+    t = boosted.tree_importance(spark, model)
+    whole = t.agg((F.abs(F.sum("pct") - 100) < 0.2).alias("whole")).scalar()
+    return t.select("feature", (F.col("pct").between(0, 100) & whole).alias("valid"))
 
 
 @query("shapley_importance")
@@ -263,33 +290,59 @@ def with_regressors(spark, sf):
     return pack(j.withColumn("xs", xs), "xs")
 
 
-@query("trend_season_regress")
+# the regression iterates, so what must hold of its results is compared
+@query("trend_season_regress", final(WHOLE, "(SELECT product, count(*) AS n, count(*) + 12 AS n_all, 2 AS n_coef, TRUE AS near FROM cl GROUP BY 1)", "product n:i n_all:i n_coef:i near"))
 def q_regress(spark, sf):
+    """Lengths, and that the fit misses the history by less than its mean does."""
     f = regress.trend_season_regress(with_regressors(spark, sf), 12, "xs")
-    return f.select("product", "n", F.size("fit.yhat").alias("n_all"), F.col("fit.coef")[0].alias("b_discount"), F.col("fit.coef")[1].alias("b_price"))
+    pairs = F.arrays_zip(F.col("ys").alias("y"), F.slice("fit.yhat", F.lit(1), F.col("n")).alias("f"))
+    mean = F.aggregate("ys", F.lit(0.0), lambda s, v: s + v) / F.col("n")
+    missed = F.aggregate(pairs, F.lit(0.0), lambda s, z: s + (z["y"] - z["f"]) * (z["y"] - z["f"]))
+    spread = F.aggregate("ys", F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+    return f.select("product", "n", F.size("fit.yhat").alias("n_all"), F.size("fit.coef").alias("n_coef"), (missed < spread).alias("near"))
 
 
-@query("regress_forecast")
+@query("regress_forecast", final(WHOLE, f"(SELECT product, step, {DATED}, TRUE AS valid FROM last_row, (SELECT unnest(generate_series(1, 12)) AS step) k)", "product step:i ds:d valid"))
 def q_regress_forecast(spark, sf):
-    return regress.regress_forecast(regress.trend_season_regress(with_regressors(spark, sf), 12, "xs"))
+    f = regress.regress_forecast(regress.trend_season_regress(with_regressors(spark, sf), 12, "xs"))
+    return f.withColumn("valid", finite(F.col("yhat"))).drop("yhat")
 
 
-@query("components")
+ADDS_UP = final(WHOLE, "(SELECT product, ds, 6 AS parts, TRUE AS adds_up FROM cl)", "product ds:d parts:i adds_up")
+
+
+def adding_up(rows, terms, mode):
+    """Per product and month: how many components there are, and whether they make up the fit."""
+    wide = rows.groupBy("product", "ds").pivot("component", ["trend", "yearly", *REGRESSORS, terms, "yhat"]).agg(F.first("value"))
+    inner = F.abs(F.col("yearly") + F.col("discount") + F.col("price") - F.col(terms)) < 1e-6
+    total = F.col("trend") + F.col(terms) if mode == "additive" else F.col("trend") * (1 + F.col(terms))
+    outer = F.abs(total - F.col("yhat")) <= 1e-6 * (1 + F.abs("yhat"))
+    counted = rows.groupBy("product", "ds").agg(F.count("value").alias("parts"))
+    return wide.select("product", "ds", (inner & outer).alias("adds_up")).join(counted, ["product", "ds"])
+
+
+@query("components", ADDS_UP)
 def q_components(spark, sf):
-    return regress.components(regress.trend_season_regress(with_regressors(spark, sf), 0, "xs"), REGRESSORS)
+    f = regress.trend_season_regress(with_regressors(spark, sf), 0, "xs")
+    return adding_up(regress.components(f, REGRESSORS), "additive_terms", "additive")
 
 
-@query("components_multiplicative")
+@query("components_multiplicative", ADDS_UP)
 def q_components_mul(spark, sf):
     f = regress.trend_season_regress(with_regressors(spark, sf), 0, "xs", mode="multiplicative")
-    return regress.components(f, REGRESSORS, "multiplicative")
+    return adding_up(regress.components(f, REGRESSORS, "multiplicative"), "multiplicative_terms", "multiplicative")
 
 
-@query("coef_importance")
+@query("coef_importance", final(WHOLE, "(SELECT product, feature, TRUE AS valid FROM last_row, (SELECT unnest(['discount', 'price']) AS feature) f)", "product feature valid"))
 def q_coef(spark, sf):
+    """A share from 0 to 100 of each regressor, 100 together but for rounding."""
+    from pyspark.sql import Window
+
     from monthloom.operators.influence import coef_importance
 
-    return coef_importance(regress.trend_season_regress(with_regressors(spark, sf), 0, "xs"), REGRESSORS)
+    c = coef_importance(regress.trend_season_regress(with_regressors(spark, sf), 0, "xs"), REGRESSORS)
+    whole = F.abs(F.sum("pct").over(Window.partitionBy("product")) - 100) < 0.05
+    return c.select("product", "feature", (F.col("pct").between(0, 100) & whole).alias("valid"))
 
 
 @query(
