@@ -40,8 +40,11 @@ def _repeated_starts(h8: Column) -> Column:
     return F.array_sort(F.filter(starts, lambda i: i.isNotNull()))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
+
+
 def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
-    """``docs`` with a struct ``__q`` of the counts of each whole text.
+    """``docs`` with the counts of each whole text, names with two leading underscores.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_lines`` (with a word),
     ``n_dup_lines`` (equal to an earlier one) and, if asked for, ``n_repeat_words`` (words in windows of
@@ -54,40 +57,41 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
     words = F.array_remove(F.split(text, SPACE + "+"), "")
     d = docs.select(*keep, lines.alias("__lines"), words.alias("__w"))
     base = [
-        F.size("__w").cast("long").alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.size("__w").cast("long").alias("__n_words"),
+        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("__word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("__n_symbols"),
+        F.size("__lines").cast("long").alias("__n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
     ]
     if not repeats:
-        return d.select(*keep, F.struct(*base).alias("__q"))
+        return d.select(*keep, *base)
+    keep += [F.col(f"__{c}") for c in BASE]
 
-    def joined(name: str, step: int, less: int) -> Column:
-        size = F.greatest(F.size("__w") - less, F.lit(0))
-        a, b = F.slice(name, F.lit(1), size), F.slice(name, F.lit(1 + step), size)
+    def joined(step: int, less: int) -> Column:
+        size = F.greatest(F.col("__n_words") - less, F.lit(0)).cast("int")
+        a, b = F.slice("__h", F.lit(1), size), F.slice("__h", F.lit(1 + step), size)
         return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
 
     # windows of 2, 4 and 8 words from pairs of shorter ones
-    d = d.select(*keep, F.struct(*base).alias("__q"), "__w", F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"))
+    d = d.select("*", *base).select(*keep, F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"))
     for step, less in ((1, 1), (2, 3), (4, 7)):
-        d = d.select(*keep, "__q", "__w", joined("__h", step, less).alias("__h"))
+        d = d.select(*keep, joined(step, less).alias("__h"))
     some = F.size("__h") > F.size(F.array_distinct("__h"))
-    d = d.select(*keep, "__q", F.when(some, F.col("__h")).alias("__h"))
-    d = d.select(*keep, "__q", F.when(F.col("__h").isNotNull(), _repeated_starts(F.col("__h"))).alias("__s"))
+    d = d.select(*keep, F.when(some, F.col("__h")).alias("__h"))
+    d = d.select(*keep, F.when(F.col("__h").isNotNull(), _repeated_starts(F.col("__h"))).alias("__s"))
     gaps = F.zip_with(F.slice("__s", F.lit(2), F.size("__s") - 1), F.slice("__s", F.lit(1), F.size("__s") - 1), lambda b, a: F.least(b - a, F.lit(8)))
     covered = F.when(F.col("__s").isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(8), lambda x, y: x + y))
-    return d.select(*keep, F.struct("__q.*", covered.cast("long").alias("n_repeat_words")).alias("__q"))
+    return d.select(*keep, covered.cast("long").alias("__n_repeat_words"))
 
 
-def _measures(q: str) -> list[Column]:
+def _measures() -> list[Column]:
     """Integers: word length in hundredths, symbols per thousand words, repeated lines per thousand lines."""
     values = (
-        F.expr(f"100 * {q}.word_chars div greatest({q}.n_words, 1)"),
-        F.expr(f"1000 * {q}.n_symbols div greatest({q}.n_words, 1)"),
-        F.expr(f"1000 * {q}.n_dup_lines div greatest({q}.n_lines, 1)"),
+        F.expr("100 * __word_chars div greatest(__n_words, 1)"),
+        F.expr("1000 * __n_symbols div greatest(__n_words, 1)"),
+        F.expr("1000 * __n_dup_lines div greatest(__n_lines, 1)"),
     )
-    return [v.cast("long").alias(m) for v, m in zip(values, MEASURES, strict=True)]
+    return [v.cast("long").alias(f"__{m}") for v, m in zip(values, MEASURES, strict=True)]
 
 
 def bin_of(v: Column) -> Column:
@@ -105,11 +109,11 @@ def bin_bounds(b: Column) -> tuple[Column, Column]:
 def sketch(docs: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``measure``, ``bin``, ``c``: of all texts of ``MIN_WORDS`` words or more."""
     rows = measured(docs.select("text", "lang", "source"), repeats=False)
-    rows = rows.where(F.col("__q.n_words") >= MIN_WORDS).select("lang", "source", *_measures("__q"))
+    rows = rows.where(F.col("__n_words") >= MIN_WORDS).select("lang", "source", *_measures())
     long = rows.select(
         "lang",
         "source",
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in MEASURES])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(f"__{m}")).alias("bin")) for m in MEASURES])).alias("x"),
     )
     return long.groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("c"))
 
@@ -178,18 +182,22 @@ def judged(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     if limits.count() <= broadcast_rows:
         limits = F.broadcast(limits)
     m = measured(docs)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     j = m.join(limits, m["lang"].eqNullSafe(F.col("__lang")) & m["source"].eqNullSafe(F.col("__source")), "left")
-    failed = (F.col("__q.n_words") < MIN_WORDS) | (100 * F.col("__q.n_repeat_words") > MAX_REPEATED * F.col("__q.n_words"))
-    j = j.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("__q.*", *_measures("__q"), failed.alias("base_failed")).alias("__q"), "__t")
-    inside = F.lit(True)
+    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEATED * F.col("__n_words"))
+    counts = [*BASE, "n_repeat_words"]
+    j = j.select(*own, *[f"__{c}" for c in counts], *_measures(), failed.alias("__base_failed"), "__t")
+    inside = ~F.col("__base_failed")
     for x in MEASURES:
-        v = F.col(f"__q.{x}")
-        inside &= F.coalesce(v.between(F.col(f"__t.{x}_low"), F.col(f"__t.{x}_high")), F.lit(True))
-    return j.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.struct("__q.*", (~F.col("__q.base_failed") & inside).alias("kept")).alias("__q")
-    )
+        inside &= F.coalesce(F.col(f"__{x}").between(F.col(f"__t.{x}_low"), F.col(f"__t.{x}_high")), F.lit(True))
+    verdict = [F.col(f"__{c}").alias(c) for c in (*counts, *MEASURES, "base_failed")]
+    return j.select(*own, F.struct(*verdict, inside.alias("kept")).alias("__q"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs).where("__q.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # a filter that sank below the steps of `measured` would repeat each of them several times:
+    # the row number, which it cannot pass, keeps it above
+    numbered = judged(docs).select(*own, F.col("__q.kept").alias("__kept"), F.monotonically_increasing_id().alias("__row"))
+    return numbered.where(F.col("__kept") & (F.col("__row") >= 0)).select(*own)
