@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.expressions import array_sum, uniform
 from monthloom.operators.temporal import temporal_features
+from monthloom.session import reuse
 from monthloom.settings import LAGS, ROLLING_WINDOWS
 
 TEMPORAL = (
@@ -45,8 +46,14 @@ def gbt_fit(
     subsample: float = 1.0,
     colsample: float = 1.0,
     seed: int = 42,
+    rows_per_task: int = 50_000,
 ) -> PipelineModel:
-    """One gradient-boosted model; distributed over rows, statistics aggregated per split."""
+    """One gradient-boosted model; distributed over rows, statistics aggregated per split.
+
+    Every level of every tree is a pass over the rows, so a table of few rows is read in few
+    tasks (``rows_per_task``): their overhead would outweigh the work.
+    """
+    table = table.coalesce(max(1, -(-table.count() // rows_per_task)))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     trees = GBTRegressor(
         labelCol="y",
@@ -137,7 +144,8 @@ def tree_path(
 
 def recursive_forecast(packed: DataFrame, model: PipelineModel, horizon: int = 12, **options) -> DataFrame:
     """``product, step, ds, yhat`` from :func:`tree_path`."""
-    done = tree_path(packed, model, "_path", F.col("ys"), F.col("start"), F.lit(horizon), horizon, **options)
+    # kept, so that no filter sinks into the chain of months and repeats each of them
+    done = reuse(tree_path(packed, model, "_path", F.col("ys"), F.col("start"), F.lit(horizon), horizon, **options))
     flat = done.select("product", "start", "n", F.posexplode("_path").alias("_k", "yhat"))
     return flat.select(
         "product",
