@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from monthloom.llm import decontaminate, htmltext, jaccard, langid, licenses, packing, quality, tokenbin, tokencounts, urlrules
+from monthloom.llm.common import stored
 from monthloom.llm.oracles import SQL
 from monthloom.llm.registry import ORACLES, QUERIES, query, table
 
@@ -54,8 +55,8 @@ def op5(spark, sf_dir):
 
 
 def with_length(docs):
-    """Words and an end mark: the length that is packed."""
-    return docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).alias("length"))
+    """Tokens and the end id, as op2 writes them: the length that is packed; stored, as packing reads it several times."""
+    return stored(tokenbin.token_lengths(docs, tokenizer_file("byte_bpe_50k.json")), "lengths")
 
 
 @query("op6_best_fit")

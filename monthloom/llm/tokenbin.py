@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm.common import scratch
+from monthloom.llm.common import scratch, sliced
 
 _MANIFEST = "part int, first_doc long, path string, n_rows long, n_docs long, n_ids long"
 
@@ -169,6 +169,24 @@ def encoder_of_worker(path: str) -> Encoder:
     return kept[path]
 
 
+def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per row of ``docs`` (``doc_id``, ``text``) its ``doc_id`` and ``length``: the ids that
+    ``write_corpus`` writes for it, with the end id.
+
+    A null or empty text has length 1.  Nothing is shuffled; who reads the lengths several times
+    stores them, as every reading encodes the texts.
+    """
+
+    def count(batches):
+        for part, _, _ in sliced(batches):
+            encode = encoder_of_worker(tokenizer)
+            size = encode.dtype.itemsize
+            lengths = [len(ids) // size + 1 for ids in encode(part.column("text").to_pylist())]
+            yield pa.record_batch([part.column("doc_id"), pa.array(lengths, pa.int64())], names=["doc_id", "length"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, length long")
+
+
 class _Writer:
     """Cuts a stream of documents into rows and writes them in batches."""
 
