@@ -10,7 +10,9 @@ missing one has at most the probability ``miss``.
 
 from __future__ import annotations
 
+import json
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ NOTICES = {
 }
 
 
+def registered() -> dict[str, str]:
+    """The notices above and the whole texts, standard headers and notices of ``license_texts.json``."""
+    with open(os.path.join(os.path.dirname(__file__), "license_texts.json"), encoding="utf-8") as f:
+        return {**NOTICES, **json.load(f)}
+
+
 def ladder(m: int) -> int:
     """The length class of a template of ``m`` shingles: 1, 2, 3, 4, 6, 8, 12, 16, 24, ..."""
     c = 1
@@ -82,7 +90,7 @@ class Templates:
             coarse = np.zeros(1 << 16, bool)
             coarse[(every >> np.uint64(48)).astype(np.int64)] = True
             self.known[k] = (every, coarse)
-        # by (class, words of a shingle): sorted band keys, their templates, and a coarse filter of the keys
+        # by (class, words of a shingle): sorted band keys and their templates (the index travels: nothing larger than them)
         self.index = {}
         for c, k in sorted({(e[4], e[5]) for e in self.entries}):
             mine = [i for i, e in enumerate(self.entries) if (e[4], e[5]) == (c, k)]
@@ -90,10 +98,10 @@ class Templates:
             for b in range(self.bands):
                 keys = self._key(b, [np.array([(self.entries[i][1] * f).min() for i in mine]) for f in self._of(b)])
                 order = np.argsort(keys)
-                coarse = np.zeros(1 << 16, bool)
-                coarse[(keys >> np.uint64(48)).astype(np.int64)] = True
-                per_band.append((keys[order], np.array(mine)[order], coarse))
+                per_band.append((keys[order], np.array(mine)[order]))
             self.index[c, k] = per_band
+        # by the same: the fewest shingles that make a find
+        self.least = {x: min(e[3] for e in self.entries if (e[4], e[5]) == x) for x in self.index}
 
     def _of(self, band):
         return self.factors[band * self.rows : (band + 1) * self.rows]
@@ -108,8 +116,8 @@ class Templates:
     def candidates(self, h: np.ndarray, row: np.ndarray, rows: int, held: np.ndarray, c: int, k: int):
         """(first shingle of a window, template) that agree in some band; shingles come in order of rows.
 
-        Values of a band can only agree where a window holds a shingle of some template, so the
-        windows around the places ``held`` of such shingles are the ones that get values.
+        Only windows that hold as many shingles of templates as the least find of the class takes,
+        counted by the places ``held`` of such shingles, can hold a template: these get values.
         """
         stride, blocks = geometry(c)
         width = stride * blocks
@@ -120,20 +128,23 @@ class Templates:
         n = high - low + 1
         number = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         starts = np.unique(np.repeat(first[row[held]], n) + number * stride)
+        inside = np.searchsorted(held, np.minimum(starts + width, stop[row[starts]])) - np.searchsorted(held, starts)
+        starts = starts[inside >= self.least[c, k]]
         found = []
-        for a in range(0, len(starts), 20_000):
-            at = starts[a : a + 20_000]
+        step = max(1, 1_000_000 // width)  # bounds the arrays of long windows
+        for a in range(0, len(starts), step):
+            at = starts[a : a + step]
             place = at[:, None] + np.arange(width)
             beyond = place >= stop[row[at]][:, None]
             values = h[np.minimum(place, len(h) - 1)]
-            for b, (keys, mine, coarse) in enumerate(self.index[c, k]):
+            for b, (keys, mine) in enumerate(self.index[c, k]):
                 minima = []
                 for f in self._of(b):
                     hashed = values * f
                     hashed[beyond] = np.uint64(0xFFFFFFFFFFFFFFFF)
                     minima.append(hashed.min(axis=1))
                 key = self._key(b, minima)
-                for x in np.flatnonzero(coarse[(key >> np.uint64(48)).astype(np.int64)]):
+                for x in np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key):
                     lo, hi = np.searchsorted(keys, key[x], "left"), np.searchsorted(keys, key[x], "right")
                     found.extend((at[x], t) for t in mine[lo:hi])
         return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
@@ -183,14 +194,16 @@ def scan(
 ) -> DataFrame:
     """A row per document and template it holds: ``doc_id``, ``license_id``, ``containment`` (largest
     share of the template's shingles in one window), ``first_word`` (where the first of them
-    begins) and ``n_windows`` (windows that hold enough).
+    begins) and ``n_windows`` (windows that hold enough).  Without ``templates`` those of ``registered``
+    are looked for.  Versions of a license that share most of their words are each found where one
+    stands; the largest containment names it.
 
     A template of fewer than ``shingle`` words is one shingle as a whole; one without words is
     never found.  Null and empty texts hold nothing.  Rows with equal or null ids are judged each by
     itself.  Templates travel to the tasks: more than ``template_bytes`` of them is an error, scan them
     in several calls.  Documents are not shuffled.
     """
-    templates = NOTICES if templates is None else templates
+    templates = registered() if templates is None else templates
     if sum(len(t.encode()) for t in templates.values() if t) > template_bytes:
         raise ValueError(f"templates exceed {template_bytes} bytes")
     names = sorted(templates)
