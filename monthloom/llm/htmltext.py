@@ -24,6 +24,45 @@ STOP_WORDS = frozenset(
     le la les de des du et un une en que qui dans pour pas sur au est avec par il elle ce
     el los las y del se no por para con su lo como más una o pero""".split()
 )
+# The same of further languages, each judged for itself.
+MORE_STOP_WORDS = {
+    "it": "il lo la i gli le di del della dei che e è un una in per non con si da al sono come ma anche nel più questo alla dal",
+    "pt": "o a os as de do da dos das que e é um uma em no na para não com se por mais como mas foi ao pelo pela são ser também",
+    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als maar bij door naar dan uit die worden werd heeft",
+    "sv": "och i att det som en på är av för med den till inte om ett har de var men så från kan vid eller efter hade sin",
+    "da": "og i at det som en på er af for med den til ikke om et har de var men så fra kan ved eller efter havde sin der blev",
+    "no": "og i å at det som en på er av for med den til ikke om et har de var men så fra kan ved eller etter hadde sin ble",
+    "fi": "ja on ei se että oli hän mutta ovat kun joka myös sen mukaan tai kuin vuonna sekä niin ole jo hänen vain nyt olla",
+    "pl": "i w na z do nie że się to jest o jak po co ale od przez za dla był są oraz tym przy jego który która ma już lub",
+    "cs": "a v na se je že s z do o to i ve k za jako by pro ale po byl jeho které který si od jsou při nebo také už",
+    "sk": "a v na sa je že s z do o to i vo k za ako by pre ale po bol jeho ktoré ktorý si od sú pri alebo tiež už",
+    "hu": "a az és hogy nem is egy ez volt meg de ha csak mint vagy már még el ki azt amely lehet után minden között majd",
+    "ro": "și în de la a cu pe nu că o un este din care se pentru mai fi ca sau dar au fost al ale prin lui sunt după",
+    "hr": "i u je na se da su za od s a o kao što koji nije ne bi ili iz do koja ali te biti bio po sa kako to",
+    "lt": "ir į yra kad su iš o tai bet ar buvo kaip ne už nuo jis apie jo per dėl po prie taip tik šis",
+    "lv": "un ir no ar uz ka par bet kā tas bija pēc vai gada lai to pie kas arī tika ko nav līdz savu",
+    "et": "ja on ei et see oli ka aga kui ning oma ta mis või seda nii ole välja kes pärast mille sest üle",
+    "tr": "ve bir bu da de için ile olarak daha çok olan gibi en ne kadar sonra ki ya ama o her olduğu değil veya ise",
+    "id": "yang dan di ini itu dengan untuk dari pada dalam tidak adalah ke akan oleh juga sebagai atau ada telah mereka bisa karena",
+    "vi": "và của là có trong được cho không với các một những này để người khi đã từ đến như cũng về ra tại năm",
+    "sw": "na ya wa kwa ni katika la za cha kuwa hii au kama lakini yake huo wake pia hiyo alikuwa hivyo moja sana",
+    "tl": "ang ng sa na at mga ay ito si para hindi ni kung may isang siya nang ko mo kay o rin dahil",
+    "ca": "el la els les de del que i en un una per amb no és al es com més són va ser o dels se",
+    "eu": "eta da ez bat du izan zen dira baina hau ere edo den dute bere egin ditu zuen horrek arte",
+    "ru": "и в не на что с по а как это он к из но за у от о для то же его так был все бы или при только мы они",
+    "uk": "і в не на що з до як це та у за але від для про він був його або при які так також є",
+    "bg": "и на в за да се от е не с по като са това но че или при до ще има което само след",
+    "sr": "и у је на се да су за од с а о као што који није не би или из до која али",
+    "el": "και το η ο να του της την τα με για από που είναι στο σε δεν οι των τον ένα στην μια αλλά ότι θα ή",
+    "he": "של את על לא זה הוא עם כי גם היא או אל אם כל היה אני מה יש רק אך בין לפי אשר",
+    "ar": "في من على إلى أن هذا التي ما لا مع عن كان هذه الذي أو بعد قد كما هو كل بين ثم لم و",
+    "fa": "و در به از که این را با است برای آن یک تا بود شد می خود هم نیز بر یا اما",
+    "ko": "이 그 저 수 것 등 및 더 또 한 있다 있는 그는 대한 위해 했다 하는 그리고 있었다 통해 때 할",
+}
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _language, _words in MORE_STOP_WORDS.items():
+    for _word in set(_words.split()):
+        _LANGUAGES_OF.setdefault(_word, []).append(_language)
 
 _BLOCK = frozenset(
     """address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset
@@ -52,6 +91,8 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _WORDS = re.compile(r"[^\W_]+")
 _CLASS_WORDS = re.compile(r"[a-z]+")
+# scripts that write a syllable or a word per character
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
 class _Block:
@@ -195,20 +236,50 @@ def blocks_of(html: str) -> list[_Block]:
 GOOD, BAD, OPEN = 1, 0, -1
 
 
+def size_of(text: str) -> int:
+    """Length in letters; a character of a script that writes syllables or words counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def stop_share_of(words: list[str], enough: float) -> float:
+    """The largest share of stop words that some language's list gives; no further list is asked once one gives enough."""
+    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if share < enough and words:
+        counts: dict[str, int] = {}
+        for w in words:
+            for language in _LANGUAGES_OF.get(w, ()):
+                counts[language] = counts.get(language, 0) + 1
+        share = max([share, *(n / len(words) for n in counts.values())])
+    return share
+
+
+def is_prose(words: list[str], text: str) -> bool:
+    """Whether a text is mostly letters and digits, in whatever language."""
+    return sum(map(len, words)) >= 0.4 * len(text)
+
+
 def first_pass(text: str, linked: int, block: _Block, has_main: bool, short: int, long: int, stop_share: float, link_share: float) -> int:
-    """A block by itself: GOOD, BAD, or OPEN where it is too short or too plain to say."""
+    """A block by itself: GOOD, BAD, or OPEN where it is too short or too plain to say.
+
+    Long text that is explained by no list of stop words is GOOD without links and OPEN with some.
+    """
     if block.out or (has_main and not block.main):
         return BAD
     density = linked / max(1, len(text))
     if density > (0.9 if block.main else link_share) and not (block.main and len(text) >= short):
         return BAD
-    if len(text) < short:
+    size = size_of(text)
+    if size < short:
         return OPEN
     words = _WORDS.findall(text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if share >= stop_share:
+    if stop_share_of(words, stop_share) >= stop_share:
         return GOOD
-    return OPEN if block.main or len(text) < long else BAD
+    if block.main or size < long:
+        return OPEN
+    # no list explains it: another language, code, a table
+    if not is_prose(words, text):
+        return BAD
+    return OPEN if block.linked else GOOD
 
 
 def second_pass(labels: list[int], blocks: list[_Block]) -> list[int]:
@@ -261,6 +332,10 @@ def main_text(
     labels = [
         first_pass(t, b.linked, b, has_main, short, long, stop_share, link_share) for t, b in zip(texts, blocks, strict=True)
     ]
+    if GOOD not in labels and not has_main:  # nothing is sure: paragraphs without links are the text
+        for i, (t, b) in enumerate(zip(texts, blocks, strict=True)):
+            if labels[i] == OPEN and not b.linked and size_of(t) >= short and is_prose(_WORDS.findall(t), t):
+                labels[i] = GOOD
     final = second_pass(labels, blocks)
     return "\n".join(t for t, x in zip(texts, final, strict=True) if x == GOOD)
 
@@ -273,6 +348,8 @@ def extract(pages: DataFrame, **rules) -> DataFrame:
     block becomes one space, blocks are joined by one line feed.  Null or empty html has no text.
     Where a page marks its article (``article``, ``main``), blocks outside are not part of it, and
     blocks inside are kept unless they are links or stand in a container for something else.
+    Elsewhere stop words of some 36 languages tell prose; in other languages, and for code and tables,
+    length and links decide alone, so that long boilerplate outside of any container is kept there.
     Nothing is shuffled.  ``rules`` are the limits of ``main_text``.
     """
 
