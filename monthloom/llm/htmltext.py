@@ -72,7 +72,9 @@ _BLOCK = frozenset(
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_TEXT = frozenset("head script style template noscript svg math object canvas audio video map title textarea iframe".split())
-_NOT_MAIN = frozenset("nav footer aside form menu select button dialog label input fieldset datalist".split())
+_NOT_MAIN = frozenset("nav footer aside menu select button dialog label input datalist".split())
+# Often not the article, but some sites put a whole page into one
+_MAYBE_NOT_MAIN = frozenset("form fieldset".split())
 _NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 # Words in class or id that name something other than the article
 _NOT_MAIN_WORDS = frozenset(
@@ -84,6 +86,14 @@ _NOT_MAIN_WORDS = frozenset(
     comment comments commentlist disqus reply replies respond discussion
     footer copyright masthead topbar""".split()
 )
+# Those of them that are no part of the article however much they hold
+_NEVER_MAIN_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion
+    cookie cookies consent gdpr popup modal related recommended recommendations trending
+    comment comments commentlist disqus reply replies respond discussion""".split()
+)
+# Class names that say something about an element's neighbours or state, not what it is
+_MODIFIER = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show)(?:[-_]|$)")
 _MAIN = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -95,11 +105,20 @@ _CLASS_WORDS = re.compile(r"[a-z]+")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
+class _Maybe:
+    """An element whose class, id or kind says that it is not part of the article, which its contents may refute."""
+
+    __slots__ = ("holds_main", "never", "refuted")
+
+    def __init__(self, never: bool):
+        self.never, self.holds_main, self.refuted = never, False, False
+
+
 class _Block:
-    __slots__ = ("heading", "linked", "main", "out", "parts")
+    __slots__ = ("heading", "linked", "main", "maybe", "out", "parts")
 
-    def __init__(self, main: bool, out: bool, heading: bool):
-        self.parts, self.linked, self.main, self.out, self.heading = [], 0, main, out, heading
+    def __init__(self, main: bool, out: bool, heading: bool, maybe: tuple[_Maybe, ...] = ()):
+        self.parts, self.linked, self.main, self.out, self.heading, self.maybe = [], 0, main, out, heading, maybe
 
 
 def _events(html: str):
@@ -140,35 +159,42 @@ def _events(html: str):
             at = end if stop is None else stop.start()
 
 
-def _names_other(attributes: str, name: str) -> bool:
-    """Whether class, id, role or visibility say that an element is not part of the article."""
+def _names_other(attributes: str, name: str) -> tuple[bool, frozenset[str]]:
+    """Whether role or visibility say that an element is not part of the article, and words of its class and id that do."""
+    words: set[str] = set()
     if not attributes.strip():
-        return False
+        return False, frozenset()
     for found in _ATTRIBUTE.finditer(attributes):
         key = (found[1] or found[5] or "").lower()
         value = (found[2] or found[3] or found[4] or "").lower()
         if key in ("class", "id") and name not in ("html", "body"):
-            if not _NOT_MAIN_WORDS.isdisjoint(_CLASS_WORDS.findall(value)):
-                return True
+            for token in value.split():
+                if not _MODIFIER.match(token):
+                    # of an article's compound names, as comment-status-open, no part says what it is
+                    parts = [token] if name in _MAIN else _CLASS_WORDS.findall(token)
+                    words.update(_NOT_MAIN_WORDS.intersection(parts))
         elif (key == "role" and value in _NOT_MAIN_ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, frozenset()
         elif key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, frozenset()
+    return False, frozenset(words)
 
 
 def blocks_of(html: str) -> list[_Block]:
     """Blocks of a page in order, with their text so far undecoded."""
     blocks: list[_Block] = []
-    # of every open element: name, whether it holds no text, is not part of the article, is the article
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # of every open element: name, whether it holds no text, is not part of the article, is the article, may not be part of it
+    stack: list[tuple[str, bool, bool, bool, _Maybe | None]] = []
+    maybe: list[_Maybe] = []
     silent = out = main = links = breaks = 0
     block = None
 
     def leave(k):
         nonlocal silent, out, main, links
-        for name, s, o, m in stack[k:]:
+        for name, s, o, m, x in stack[k:]:
             silent, out, main, links = silent - s, out - o, main - m, links - (name == "a")
+            if x is not None:
+                maybe.pop()
         del stack[k:]
 
     for kind, name, rest in _events(html):
@@ -178,7 +204,7 @@ def blocks_of(html: str) -> list[_Block]:
             if block is None:
                 if not rest.strip():
                     continue
-                block = _Block(main > 0, out > 0, any(x[0] in _HEADINGS for x in stack))
+                block = _Block(main > 0, out > 0, any(x[0] in _HEADINGS for x in stack), tuple(maybe))
                 blocks.append(block)
             block.parts.append(rest)
             if links:
@@ -212,16 +238,23 @@ def blocks_of(html: str) -> list[_Block]:
             if rest.rstrip().endswith("/") and name in ("svg", "path"):
                 continue
             s = name in _NOT_TEXT
-            o = name in _NOT_MAIN or (name == "header" and not main) or _names_other(rest, name)
+            other, words = _names_other(rest, name)
+            o = name in _NOT_MAIN or (name == "header" and not main) or other
             m = name in _MAIN and not out and not o
-            if o != 0 and block is not None and not out:
+            x = _Maybe(not _NEVER_MAIN_WORDS.isdisjoint(words)) if not o and (words or name in _MAYBE_NOT_MAIN) else None
+            if x is not None:
+                maybe.append(x)
+            if m and not main:
+                for y in maybe:
+                    y.holds_main = True
+            if (o or x is not None) and block is not None and not out:
                 block = None
-            stack.append((name, s, o, m))
+            stack.append((name, s, o, m, x))
             silent, out, main, links = silent + s, out + o, main + m, links + (name == "a")
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if any(x[2] for x in stack[k:]):
+                    if any(x[2] or x[4] is not None for x in stack[k:]):
                         block = None
                     leave(k)
                     break
@@ -233,6 +266,40 @@ def blocks_of(html: str) -> list[_Block]:
     return blocks
 
 
+def refute(blocks: list[_Block], texts: list[str], short: int, link_share: float) -> None:
+    """Marks blocks ``out`` that stand in elements named as something else, but for elements that hold the article.
+
+    An element holds it if it is or contains the page's only ``article`` or ``main`` and at least as much
+    text as stands outside of all such elements, or more text than stands there (words for advertising,
+    comments and the like excepted).  From the outside in, the largest first.
+    """
+    if not any(b.maybe for b in blocks):
+        return
+    weights = [
+        0 if b.out or size_of(t) < short or b.linked > link_share * len(t) else size_of(t)
+        for t, b in zip(texts, blocks, strict=True)
+    ]
+    while True:
+        rest, marked, inside = 0, False, {}
+        for w, b in zip(weights, blocks, strict=True):
+            first = next((x for x in b.maybe if not x.refuted), None)  # the outermost
+            if first is None:
+                rest += w
+                marked |= b.main and not b.out
+            elif not b.out:
+                inside[first] = inside.get(first, 0) + w
+        found = [
+            (x.holds_main, n, -i, x)
+            for i, (x, n) in enumerate(inside.items())
+            if (x.holds_main and not marked and n >= rest) or (n > rest and not x.never)
+        ]
+        if not found:
+            break
+        max(found, key=lambda f: f[:3])[3].refuted = True
+    for b in blocks:
+        b.out = b.out or not all(x.refuted for x in b.maybe)
+
+
 GOOD, BAD, OPEN = 1, 0, -1
 
 
@@ -265,8 +332,7 @@ def first_pass(text: str, linked: int, block: _Block, has_main: bool, short: int
     """
     if block.out or (has_main and not block.main):
         return BAD
-    density = linked / max(1, len(text))
-    if density > (0.9 if block.main else link_share) and not (block.main and len(text) >= short):
+    if not block.main and linked / max(1, len(text)) > link_share:
         return BAD
     size = size_of(text)
     if size < short:
@@ -328,6 +394,7 @@ def main_text(
         if text:
             blocks.append(block)
             texts.append(text)
+    refute(blocks, texts, short, link_share)
     has_main = any(b.main and not b.out for b in blocks)
     labels = [
         first_pass(t, b.linked, b, has_main, short, long, stop_share, link_share) for t, b in zip(texts, blocks, strict=True)
@@ -347,7 +414,8 @@ def extract(pages: DataFrame, **rules) -> DataFrame:
     off in the middle ends there.  Character references are decoded, white space inside a
     block becomes one space, blocks are joined by one line feed.  Null or empty html has no text.
     Where a page marks its article (``article``, ``main``), blocks outside are not part of it, and
-    blocks inside are kept unless they are links or stand in a container for something else.
+    blocks inside are kept, linked or not, unless they stand in a container for something else.  A
+    class, an id or a form makes no such container of an element that holds the article, see ``refute``.
     Elsewhere stop words of some 36 languages tell prose; in other languages, and for code and tables,
     length and links decide alone, so that long boilerplate outside of any container is kept there.
     Nothing is shuffled.  ``rules`` are the limits of ``main_text``.
