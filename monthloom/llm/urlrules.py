@@ -13,7 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BAD = "label=bad"
+#: Marks a bad page in a basket; every token of a URL has a ``=``, so none can be equal to it.
+BAD = "bad"
 
 
 def url_host(url: Column) -> Column:
