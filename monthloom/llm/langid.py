@@ -29,8 +29,9 @@ def learn(
 
     The sample is bounded by the parameters: ``sample_rows`` rows per language, in the order of
     a hash of the text, give ``piece_chars`` characters each, from a place that the same hash
-    names, up to ``sample_bytes``.  The row limit is applied before anything is shuffled.  Rows
-    without text or language teach nothing; repeated texts are used once.
+    names, up to ``sample_bytes``.  Repeated texts are used once: copies become one row, by a partial
+    aggregate, before the row limit, which is applied to every part before it is shuffled on.  Rows
+    without text or language teach nothing.
     """
     # only a short piece of each text takes part in the ranking
     room = F.greatest(F.length("text") - F.lit(piece_chars), F.lit(0)) + 1
@@ -42,6 +43,8 @@ def learn(
             F.xxhash64("text").alias("__h"),
             F.substr(F.col("text"), place, F.lit(piece_chars)).alias("__p"),
         )
+        .groupBy("__l", "__h")
+        .agg(F.min("__p").alias("__p"))
         .withColumn("__r", F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__p")))
         .where(F.col("__r") <= sample_rows)
         .withColumn("__p", F.trim(F.regexp_replace(F.lower("__p"), r"[^\p{L}]+", " ")))
