@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthloom.llm import decontaminate, htmltext, jaccard, langid, licenses, packing, quality, tokenbin, tokencounts, urlrules
+from monthloom.llm import (
+    conversations,
+    decontaminate,
+    htmltext,
+    jaccard,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    quality,
+    spelling,
+    tokenbin,
+    tokencounts,
+    urlrules,
+)
 from monthloom.llm.common import stored
 from monthloom.llm.oracles import SQL
 from monthloom.llm.registry import ORACLES, QUERIES, query, table
@@ -90,5 +104,21 @@ def op10(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op11_line_dedup", SQL["op11"])
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.digest(linededup.kept(docs, linededup.build(docs)))
+
+
+@query("op12_conversations", SQL["op12"])
+def op12(spark, sf_dir):
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_spelling", SQL["op13"])
+def op13(spark, sf_dir):
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), misspell_every=97))
+
+
 def load():
     return QUERIES, ORACLES
