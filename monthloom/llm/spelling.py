@@ -33,9 +33,11 @@ TILE = 1024
 #: Bytes of counted words that a task holds before it hands them on.
 HELD_BYTES = 24_000_000
 #: Bytes of the letter counts and distances of blocks that are multiplied together.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
+#: Pairs at most two apart that are verified together.
+PAIRS = 100_000
 #: Bytes of rows after which a task begins to compare.
-ROW_BYTES = 1_500_000
+ROW_BYTES = 500_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _COUNTED = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -186,7 +188,9 @@ def _near_in_blocks(edges, side, tile, cross, length, counts):
             x, y = index[b, i], index[b, j]
             # Two words of the shorter length meet twice in a product; words of one tile are compared where it is alone.
             keep = ((side[y] == 1) | (x < y)) & ((cross[x] == 0) | (tile[x] != tile[y]))
-            yield x[keep], y[keep]
+            x, y = x[keep], y[keep]
+            for k in range(0, len(x), PAIRS):
+                yield x[k : k + PAIRS], y[k : k + PAIRS]
 
 
 def _compare(batches, part):
