@@ -5,16 +5,19 @@ from pyspark.sql import functions as F
 
 from checks import sqlparts as S
 from checks.q_flagship import outlook
+from checks.q_windows import CALENDAR, LAGS, ROLLS
 from checks.registry import final, query
-from checks.tables import SUPPLIER, supplier, supplier_features, supplier_raw
-from monthloom.models import autoreg, boosted, regress, sarima, smoothing
+from checks.sqltrees import DEEP_TWO, leaf_of
+from checks.sqltrees import boosted as boosted_sql
+from checks.tables import SUPPLIER, SUPPLIER_FEATURES, supplier, supplier_features, supplier_raw
+from monthloom.models import autoreg, boosted, grown, regress, sarima, smoothing
 from monthloom.models.catalog import model_select, model_table
 from monthloom.models.custom import plug_forecaster
-from monthloom.operators import tuning
+from monthloom.operators import influence, tuning
 from monthloom.operators.calendar import unpack
 from monthloom.operators.joins import join_features
+from monthloom.operators.temporal import temporal_features
 from monthloom.plans.common import prepare
-from monthloom.session import reuse
 from monthloom.settings import Settings
 
 
@@ -227,55 +230,174 @@ def q_recursive_linear(spark, sf):
     return boosted.recursive_fold(packed(spark, sf), score)
 
 
-TRAINED: dict = {}
+# Trees are compared with their definition: few rounds of small trees, as chained histograms in SQL.
+FEW = {"rounds": 3, "depth": 2, "rate": 0.3}
+TEMPORAL_X = ", ".join(f"round({c}, 6)" for c in boosted.TEMPORAL)
+TREES = (
+    WHOLE
+    + f""",
+lagged AS (SELECT * FROM (SELECT product, ds, y, {LAGS}, {ROLLS}, {CALENDAR} FROM (SELECT product, ds, clean AS y FROM cl)) WHERE y_lag_12 IS NOT NULL AND y_roll_std_12 IS NOT NULL),
+seen AS MATERIALIZED (SELECT product, ds, y, row_number() OVER (PARTITION BY product ORDER BY ds) - 1 AS r, [{TEMPORAL_X}] AS x FROM lagged),
+"""
+    + boosted_sql("seen", len(boosted.TEMPORAL), FEW["rounds"], FEW["depth"], FEW["rate"])
+)
+
 
+def tree_table(spark, sf):
+    """Packed training rows of every supplier; features rounded, so that equal ones are equal in both engines."""
+    table = temporal_features(unpack(packed(spark, sf)).select("product", "ds", "y"))
+    rounded = [F.round(F.col(c).cast("double"), 6).alias(c) for c in boosted.TEMPORAL]
+    return grown.pack_rows(table.select("product", "ds", "y", *rounded), boosted.TEMPORAL)
 
-def trained(spark, sf):
-    """Packed series, training rows and the trees with their default settings: fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in TRAINED:
-        p = reuse(packed(spark, sf))
-        table = reuse(boosted.training_table(unpack(p).select("product", "ds", "y")))
-        TRAINED[key] = (p, table, boosted.gbt_fit(table))
-    return TRAINED[key]
 
+def grown_few(spark, sf):
+    return grown.grow_trees(tree_table(spark, sf), len(boosted.TEMPORAL), {"trees": F.size("target")}, **FEW)
 
-# values of trees have no SQL text; what must hold of them is compared instead
-def finite(c):
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)
 
+def fitted_rows(df):
+    z = F.arrays_zip(F.col("target").alias("y"), F.transform("x", lambda v: grown.tree_score(F.col("trees"), v)).alias("yhat"))
+    return df.select("product", F.posexplode(z).alias("r", "z")).select("product", "r", "z.y", "z.yhat")
 
-@query("gbt_fit", final(WHOLE, "(SELECT product, ds, clean AS y, TRUE AS near FROM cl WHERE i >= 12)", "product ds:d y:f near"))
+
+@query("gbt_fit", final(TREES, "(SELECT f.product, f.r, y, yhat FROM fitted f JOIN seen USING (product, r))", "product r:i y:f yhat:f", 5), 5)
 def q_gbt(spark, sf):
-    """The training rows; the trees miss them by less than their mean does."""
-    _, table, model = trained(spark, sf)
-    scored = model.transform(table)
-    fit = scored.agg((F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)) < F.stddev_pop("y")).alias("near")).scalar()
-    return scored.select("product", "ds", "y", (finite(F.col("prediction")) & fit).alias("near"))
+    """Trees of each product: the fitted value of every training row."""
+    return fitted_rows(grown_few(spark, sf))
+
+
+@query("gbt_fit_full")
+def q_gbt_full(spark, sf):
+    """The same with the default 100 rounds of depth 6."""
+    return fitted_rows(grown.grow_trees(tree_table(spark, sf), len(boosted.TEMPORAL), {"trees": F.size("target")}))
+
+
+@query(
+    "gbt_nodes",
+    final(
+        TREES,
+        """(SELECT s.product, s.t AS tree, count(*) AS splits, sum(gain) AS gain, sum(cut) AS mid, any_value(w.value) AS leaf_mass
+  FROM splits s JOIN (SELECT product, t, sum(cover * value) AS value FROM leaves GROUP BY ALL) w ON w.product = s.product AND w.t = s.t GROUP BY 1, 2)""",
+        "product tree:i splits:i gain:f mid:f leaf_mass:f",
+        5,
+    ),
+    5,
+)
+def q_gbt_nodes(spark, sf):
+    """The fitted trees as a table of nodes, summed up per tree."""
+    rows = grown.tree_rows(grown_few(spark, sf), "trees", "product")
+    leaf = F.col("left").isNull()
+    return rows.groupBy("product", "tree").agg(
+        F.count("left").alias("splits"), F.sum(F.when(~leaf, F.col("gain"))).alias("gain"), F.sum("at").alias("mid"),
+        F.sum(F.when(leaf, F.col("cover") * F.col("value"))).alias("leaf_mass"),
+    ).filter("splits > 0")
+
+
+# twelve months ahead with the trees as a list per product, rebuilding the features each month
+AHEAD = (
+    TREES
+    + "," + DEEP_TWO
+    + f""",
+h0 AS (SELECT product, list(y ORDER BY i)[49:60] AS hist FROM whole GROUP BY 1),
+p AS (
+  SELECT product, 0 AS step, hist, CAST(NULL AS DOUBLE) AS yhat FROM h0
+  UNION ALL
+  SELECT product, step + 1, list_append(hist[2:12], v), v FROM (
+    SELECT product, step, hist, base + list_sum(list_transform(trees, lambda t: {leaf_of("t", "x")})) AS v FROM (
+      SELECT p.product, step, hist, base, trees, [{", ".join(f"hist[{13 - k}]" for k in (1, 2, 3, 6, 12))},
+        {", ".join(f"list_avg(hist[{13 - k}:12]), list_stddev_samp(hist[{13 - k}:12])" for k in (3, 6, 12))},
+        month(d), quarter(d), year(d), sin(2 * pi() * month(d) / 12), cos(2 * pi() * month(d) / 12)] AS x
+      FROM (SELECT p.*, CAST(last + to_months(CAST(step + 1 AS INTEGER)) AS DATE) AS d FROM p JOIN last_row l ON l.product = p.product) p
+      JOIN forest f ON f.product = p.product JOIN base b ON b.product = p.product WHERE step < 12))),
+t AS (SELECT p.product, step, CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, yhat FROM p JOIN last_row l ON l.product = p.product WHERE step > 0)"""
+)
 
 
-@query("recursive_forecast", final(WHOLE, f"(SELECT product, step, {DATED}, TRUE AS valid FROM last_row, (SELECT unnest(generate_series(1, 12)) AS step) k)", "product step:i ds:d valid"))
+def ahead_rows(df):
+    path = grown.grown_path(F.col("trees"), F.col("ys"), F.col("start"), F.lit(12))
+    flat = df.select("product", "start", "n", F.posexplode(path).alias("k", "yhat"))
+    return flat.select("product", (F.col("k") + 1).alias("step"), F.add_months("start", F.col("n") + F.col("k")).alias("ds"), "yhat")
+
+
+@query("recursive_forecast", final(AHEAD, "t", "product step:i ds:d yhat:f", 5), 5)
 def q_recursive(spark, sf):
-    p, _, model = trained(spark, sf)
-    return boosted.recursive_forecast(p, model, 12).withColumn("valid", finite(F.col("yhat"))).drop("yhat")
+    return ahead_rows(grown_few(spark, sf))
+
+
+@query("recursive_forecast_full")
+def q_recursive_full(spark, sf):
+    """Default trees, fitted and followed for twelve months."""
+    return ahead_rows(grown.grow_trees(tree_table(spark, sf), len(boosted.TEMPORAL), {"trees": F.size("target")}))
 
 
-@query("tree_importance", f"SELECT unnest({[*boosted.TEMPORAL, 'level']}) AS feature, TRUE AS valid")
+FEATURE_NAMES = f"(SELECT unnest({list(boosted.TEMPORAL)}) AS feature, unnest(range(0, {len(boosted.TEMPORAL)})) AS j)"
+
+
+@query(
+    "tree_importance",
+    final(
+        TREES + f",\ng AS (SELECT product, j, sum(gain) AS g FROM splits GROUP BY ALL), t AS (SELECT b.product, f.feature, coalesce(round(100 * g / sum(g) OVER (PARTITION BY b.product), 2), 0) AS pct FROM base b CROSS JOIN {FEATURE_NAMES} f LEFT JOIN g ON g.product = b.product AND g.j = f.j)",
+        "t",
+        "product feature pct:f",
+        2,
+    ),
+    2,
+)
 def q_tree_importance(spark, sf):
-    """A share from 0 to 100 for every feature, 100 together but for rounding."""
-    _, _, model = trained(spark, sf)
-    t = boosted.tree_importance(spark, model)
-    whole = t.agg((F.abs(F.sum("pct") - 100) < 0.2).alias("whole")).scalar()
-    return t.select("feature", (F.col("pct").between(0, 100) & whole).alias("valid"))
+    """Share of the gains of each product's trees."""
+    return grown.gain_importance(grown_few(spark, sf), "trees", boosted.TEMPORAL)
+
+
+# a leaf of a tree of depth two has at most two players; with both, a player's share is the mean over the two orders
+SHAPLEY = (
+    TREES
+    + """,
+paths AS (SELECT l.product, l.t, l.node, l.value, a.j AS ja, a.cut AS aa, l.node IN (2, 4, 5) AS wa, CASE WHEN l.node IN (2, 4, 5) THEN a.cl ELSE a.ca - a.cl END / a.ca AS ra,
+    b.j AS jb, b.cut AS ab, l.node IN (4, 6) AS wb, CASE WHEN l.node IN (4, 6) THEN b.cl ELSE b.ca - b.cl END / b.ca AS rb
+  FROM leaves l JOIN splits a ON a.product = l.product AND a.t = l.t AND a.node = 1 LEFT JOIN splits b ON b.product = l.product AND b.t = l.t AND b.node = l.node // 2 AND l.node > 3),
+met AS (SELECT s.product, s.r, value, ja, jb, CAST((x[ja + 1] <= aa) = wa AS INTEGER) AS oa, ra, CAST((x[jb + 1] <= ab) = wb AS INTEGER) AS ob, rb FROM seen s JOIN paths p ON p.product = s.product),
+phi AS (
+  SELECT product, r, ja AS j, value * (oa - ra) AS v FROM met WHERE jb IS NULL
+  UNION ALL SELECT product, r, ja, value * (oa * ob - ra * rb) FROM met WHERE ja = jb
+  UNION ALL SELECT product, r, ja, value * (oa - ra) * (rb + ob) / 2 FROM met WHERE ja <> jb
+  UNION ALL SELECT product, r, jb, value * (ob - rb) * (ra + oa) / 2 FROM met WHERE ja <> jb),
+each AS (SELECT product, r, j, sum(v) AS v FROM phi GROUP BY ALL)"""
+)
 
 
-@query("shapley_importance")
+@query(
+    "shapley_importance",
+    final(
+        SHAPLEY + f",\ng AS (SELECT product, j, sum(abs(v)) AS g FROM each GROUP BY ALL), t AS (SELECT b.product, f.feature, coalesce(round(100 * g / sum(g) OVER (PARTITION BY b.product), 2), 0) AS pct FROM base b CROSS JOIN {FEATURE_NAMES} f LEFT JOIN g ON g.product = b.product AND g.j = f.j)",
+        "t",
+        "product feature pct:f",
+        2,
+    ),
+    2,
+)
 def q_shapley(spark, sf):
-    from monthloom.operators.influence import pct_normalize
+    """Exact attribution: share of each feature in the mean absolute value."""
+    return grown.shapley_importance(grown_few(spark, sf), "trees", FEW["depth"], boosted.TEMPORAL)
 
-    _, table, model = trained(spark, sf)
-    s = boosted.sampled_shapley(table, ["product", "ds"], model, (*boosted.TEMPORAL, "level"), 2)
-    return pct_normalize(s.withColumn("product", F.lit("all"))).select("feature", "pct")
+
+@query(
+    "shapley_sums",
+    final(
+        TREES
+        + """,
+means AS (SELECT product, any_value(base) + sum(v) AS mean FROM (SELECT b.product, base, t, sum(cover * value) / sum(cover) AS v FROM base b JOIN leaves l ON l.product = b.product GROUP BY ALL) GROUP BY 1),
+t AS (SELECT f.product, f.r AS row, yhat - mean AS total FROM fitted f JOIN means m ON m.product = f.product)""",
+        "t",
+        "product row:i total:f",
+        5,
+    ),
+    5,
+)
+def q_shapley_sums(spark, sf):
+    """The shares of a row sum to its prediction minus the mean prediction of the trees."""
+    df = grown_few(spark, sf)
+    rows = df.select("product", F.posexplode("x").alias("row", "_x")).drop("_x")
+    sums = grown.tree_shapley(df, "trees", FEW["depth"]).groupBy("product", "row").agg(F.sum("phi").alias("total"))
+    return rows.join(sums, ["product", "row"], "left").select("product", "row", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 REGRESSORS = ["discount", "price"]
@@ -290,59 +412,122 @@ def with_regressors(spark, sf):
     return pack(j.withColumn("xs", xs), "xs")
 
 
-# the regression iterates, so what must hold of its results is compared
-@query("trend_season_regress", final(WHOLE, "(SELECT product, count(*) AS n, count(*) + 12 AS n_all, 2 AS n_coef, TRUE AS near FROM cl GROUP BY 1)", "product n:i n_all:i n_coef:i near"))
-def q_regress(spark, sf):
-    """Lengths, and that the fit misses the history by less than its mean does."""
-    f = regress.trend_season_regress(with_regressors(spark, sf), 12, "xs")
-    pairs = F.arrays_zip(F.col("ys").alias("y"), F.slice("fit.yhat", F.lit(1), F.col("n")).alias("f"))
-    mean = F.aggregate("ys", F.lit(0.0), lambda s, v: s + v) / F.col("n")
-    missed = F.aggregate(pairs, F.lit(0.0), lambda s, z: s + (z["y"] - z["f"]) * (z["y"] - z["f"]))
-    spread = F.aggregate("ys", F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    return f.select("product", "n", F.size("fit.yhat").alias("n_all"), F.size("fit.coef").alias("n_coef"), (missed < spread).alias("near"))
+# the ridge regression from its definition: the design as rows, its cross products, elimination and substitution
+REGRESSION = (
+    WHOLE
+    + ", " + SUPPLIER_FEATURES.strip()
+    + """,
+known AS MATERIALIZED (SELECT c.product, c.i, c.ds, c.clean AS y, coalesce(discount, 0.0) AS d, coalesce(price, 0.0) AS p FROM cl c LEFT JOIN feats f ON f.product = c.product AND f.ds = c.ds),
+dims AS MATERIALIZED (SELECT product, count(*) AS n, max(abs(y)) AS size, month(min(ds)) AS m, CAST(least(25, greatest(floor(count(*) * 0.8) - 1, 0)) AS INTEGER) AS k, avg(d) AS md, avg(p) AS mp,
+   stddev_pop(d) AS sd, stddev_pop(p) AS sp, arg_max(d, i) AS ld, arg_max(p, i) AS lp FROM known GROUP BY 1),
+span AS MATERIALIZED (SELECT s.*, (coalesce(d, ld) - md) / CASE WHEN sd > 1e-9 * abs(md) THEN sd ELSE 1 END AS xd, (coalesce(p, lp) - mp) / CASE WHEN sp > 1e-9 * abs(mp) THEN sp ELSE 1 END AS xp, y / size AS ys
+   FROM (SELECT *, unnest(range(0, n + 12)) AS i FROM dims) s LEFT JOIN known ON known.product = s.product AND known.i = s.i),
+design AS MATERIALIZED (
+   SELECT product, i, ys, n, size, 1 AS c, CAST(1.0 AS DOUBLE) AS v, CAST(1e-6 AS DOUBLE) AS pen, 'trend' AS part FROM span
+   UNION ALL SELECT product, i, ys, n, size, 2, i / greatest(n - 1, 1), 1e-6, 'trend' FROM span
+   UNION ALL SELECT product, i, ys, n, size, 2 + j, greatest(i / greatest(n - 1, 1) - CAST(0.8 AS DOUBLE) * j / k, 0), 4.0, 'trend' FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM span)
+   UNION ALL SELECT product, i, ys, n, size, k + 1 + 2 * j + o, CASE o WHEN 0 THEN sin(j * 2 * pi() * ((i + m - 1) % 12) / 12) ELSE cos(j * 2 * pi() * ((i + m - 1) % 12) / 12) END, CAST(1e-4 AS DOUBLE) + CAST(1e-8 AS DOUBLE), 'yearly'
+     FROM (SELECT *, unnest(range(1, 6)) AS j FROM span), (VALUES (0), (1)) v(o)
+   UNION ALL SELECT product, i, ys, n, size, k + 13, xd, CAST(1e-4 AS DOUBLE) + CAST(1e-8 AS DOUBLE), 'discount' FROM span
+   UNION ALL SELECT product, i, ys, n, size, k + 14, xp, CAST(1e-4 AS DOUBLE) + CAST(1e-8 AS DOUBLE), 'price' FROM span),
+past AS MATERIALIZED (SELECT product, i, c, v, pen, ys FROM design WHERE i < n),
+gram AS (SELECT a.product, a.c AS c1, b.c AS c2, sum(a.v * b.v) + CASE WHEN a.c = b.c THEN any_value(a.pen) ELSE 0 END AS g FROM past a JOIN past b ON a.product = b.product AND a.i = b.i GROUP BY 1, 2, 3
+   UNION ALL SELECT product, c, 1000, sum(v * ys) FROM past GROUP BY 1, 2),
+matrix AS (SELECT product, list(r ORDER BY c1) AS rows FROM (SELECT product, c1, list(g ORDER BY c2) AS r FROM gram GROUP BY 1, 2) GROUP BY 1),
+elim AS (SELECT product, CAST([] AS DOUBLE[][]) AS done, rows AS rest FROM matrix
+   UNION ALL SELECT product, list_append(done, rest[1]),
+     list_transform(rest[2:], lambda r: list_transform(range(2, len(r) + 1), lambda z: r[z] - r[1] / rest[1][1] * rest[1][z])) FROM elim WHERE len(rest) > 0),
+back AS (SELECT product, done, len(done) AS q, CAST([] AS DOUBLE[]) AS beta FROM elim WHERE len(rest) = 0
+   UNION ALL SELECT product, done, q - 1,
+     list_prepend((done[q][len(done[q])] - coalesce(list_sum(list_transform(range(1, len(beta) + 1), lambda z: done[q][z + 1] * beta[z])), 0)) / done[q][1], beta) FROM back WHERE q > 0),
+coefs AS MATERIALIZED (SELECT product, beta FROM back WHERE q = 0),
+parts AS MATERIALIZED (SELECT d.product, d.i, d.n, part, sum(v * beta[c]) * any_value(size) AS value FROM design d JOIN coefs ON coefs.product = d.product GROUP BY 1, 2, 3, 4),
+made AS (SELECT product, i, n, sum(value) AS yhat, sum(value) FILTER (WHERE part <> 'trend') AS terms FROM parts GROUP BY 1, 2, 3)"""
+)
 
 
-@query("regress_forecast", final(WHOLE, f"(SELECT product, step, {DATED}, TRUE AS valid FROM last_row, (SELECT unnest(generate_series(1, 12)) AS step) k)", "product step:i ds:d valid"))
-def q_regress_forecast(spark, sf):
-    f = regress.regress_forecast(regress.trend_season_regress(with_regressors(spark, sf), 12, "xs"))
-    return f.withColumn("valid", finite(F.col("yhat"))).drop("yhat")
+def regression(spark, sf, horizon=12, **options):
+    return regress.trend_season_regress(with_regressors(spark, sf), horizon, "xs", **options)
 
 
-ADDS_UP = final(WHOLE, "(SELECT product, ds, 6 AS parts, TRUE AS adds_up FROM cl)", "product ds:d parts:i adds_up")
+@query(
+    "trend_season_regress",
+    final(REGRESSION, "(SELECT product, n, beta[1] AS intercept, beta[2] AS slope, beta[3] AS change, beta[k + 13] AS c_discount, beta[k + 14] AS c_price FROM dims JOIN coefs USING (product))", "product n:i intercept:f slope:f change:f c_discount:f c_price:f", 5),
+    5,
+)
+def q_regress(spark, sf):
+    """Coefficients of the scaled history."""
+    trend = [F.get("fit.trend_coef", F.lit(k)).alias(c) for k, c in enumerate(("intercept", "slope", "change"))]
+    own = [F.get("fit.coef", F.lit(k)).alias(c) for k, c in enumerate(("c_discount", "c_price"))]
+    return regression(spark, sf).select("product", "n", *trend, *own)
 
 
-def adding_up(rows, terms, mode):
-    """Per product and month: how many components there are, and whether they make up the fit."""
-    wide = rows.groupBy("product", "ds").pivot("component", ["trend", "yearly", *REGRESSORS, terms, "yhat"]).agg(F.first("value"))
-    inner = F.abs(F.col("yearly") + F.col("discount") + F.col("price") - F.col(terms)) < 1e-6
-    total = F.col("trend") + F.col(terms) if mode == "additive" else F.col("trend") * (1 + F.col(terms))
-    outer = F.abs(total - F.col("yhat")) <= 1e-6 * (1 + F.abs("yhat"))
-    counted = rows.groupBy("product", "ds").agg(F.count("value").alias("parts"))
-    return wide.select("product", "ds", (inner & outer).alias("adds_up")).join(counted, ["product", "ds"])
+@query("regress_forecast", final(REGRESSION, f"(SELECT product, i - n + 1 AS step, CAST(last + to_months(CAST(i - n + 1 AS INTEGER)) AS DATE) AS ds, yhat FROM made JOIN last_row USING (product) WHERE i >= n)", "product step:i ds:d yhat:f", 4), 4)
+def q_regress_forecast(spark, sf):
+    return regress.regress_forecast(regression(spark, sf))
 
 
-@query("components", ADDS_UP)
+@query(
+    "components",
+    final(
+        REGRESSION
+        + """,
+t AS (SELECT a.product, ds, part AS component, value FROM parts a JOIN known USING (product, i)
+  UNION ALL SELECT m.product, ds, 'additive_terms', terms FROM made m JOIN known USING (product, i)
+  UNION ALL SELECT m.product, ds, 'yhat', yhat FROM made m JOIN known USING (product, i))""",
+        "t",
+        "product ds:d component value:f",
+        4,
+    ),
+    4,
+)
 def q_components(spark, sf):
-    f = regress.trend_season_regress(with_regressors(spark, sf), 0, "xs")
-    return adding_up(regress.components(f, REGRESSORS), "additive_terms", "additive")
+    return regress.components(regression(spark, sf, 0), REGRESSORS)
+
+
+# the multiplicative form alternates; compared is that its parts make up the fit and that it came to rest
+ADDS_UP = final(WHOLE, "(SELECT product, ds, 6 AS parts, TRUE AS adds_up FROM cl)", "product ds:d parts:i adds_up")
 
 
 @query("components_multiplicative", ADDS_UP)
 def q_components_mul(spark, sf):
-    f = regress.trend_season_regress(with_regressors(spark, sf), 0, "xs", mode="multiplicative")
-    return adding_up(regress.components(f, REGRESSORS, "multiplicative"), "multiplicative_terms", "multiplicative")
+    f = regression(spark, sf, 0, mode="multiplicative")
+    rows = regress.components(f, REGRESSORS, "multiplicative")
+    wide = rows.groupBy("product", "ds").pivot("component", ["trend", "yearly", *REGRESSORS, "multiplicative_terms", "yhat"]).agg(F.first("value"))
+    inner = F.abs(F.col("yearly") + F.col("discount") + F.col("price") - F.col("multiplicative_terms")) < 1e-6
+    outer = F.abs(F.col("trend") * (1 + F.col("multiplicative_terms")) - F.col("yhat")) <= 1e-6 * (1 + F.abs("yhat"))
+    counted = rows.groupBy("product", "ds").agg(F.count("value").alias("parts"))
+    wide = wide.join(f.select("product", "fit.converged"), "product")
+    return wide.select("product", "ds", (inner & outer & F.col("converged")).alias("adds_up")).join(counted, ["product", "ds"])
 
 
-@query("coef_importance", final(WHOLE, "(SELECT product, feature, TRUE AS valid FROM last_row, (SELECT unnest(['discount', 'price']) AS feature) f)", "product feature valid"))
+COEFFICIENTS = ",\nco AS (SELECT product, unnest(['discount', 'price']) AS feature, abs(unnest([beta[k + 13], beta[k + 14]])) AS s FROM dims JOIN coefs USING (product))"
+SHARES = "SELECT product, feature, CASE WHEN sum(s) OVER (PARTITION BY product) > 0 THEN round(100 * s / sum(s) OVER (PARTITION BY product), 2) ELSE s END AS pct FROM"
+
+
+@query("coef_importance", final(REGRESSION + COEFFICIENTS + f", t AS ({SHARES} co)", "t", "product feature pct:f", 2), 2)
 def q_coef(spark, sf):
-    """A share from 0 to 100 of each regressor, 100 together but for rounding."""
-    from pyspark.sql import Window
+    """Share of each regressor's absolute coefficient."""
+    return influence.coef_importance(regression(spark, sf, 0), REGRESSORS)
+
+
+EFFECTS = (
+    REGRESSION
+    + f""",
+reps AS (SELECT unnest(generate_series(1, 5)) AS rep),
+effects AS (SELECT product, i, part AS feature, value AS e FROM parts WHERE part IN ('discount', 'price') AND i < n),
+moved AS (SELECT product, feature, rep, e, row_number() OVER (PARTITION BY product, feature, rep ORDER BY md5(product || '|' || i || '|' || feature || '|' || rep)) - 1 AS i FROM effects, reps),
+errors AS (SELECT f.product, f.feature, m.rep, avg(abs((y - (yhat - f.e + m.e)) / (y + 1e-8))) AS err FROM effects f JOIN moved m ON m.product = f.product AND m.feature = f.feature AND m.i = f.i
+   JOIN made ON made.product = f.product AND made.i = f.i JOIN known ON known.product = f.product AND known.i = f.i GROUP BY 1, 2, 3),
+plain AS (SELECT made.product, avg(abs((y - yhat) / (y + 1e-8))) AS err FROM made JOIN known USING (product, i) GROUP BY 1),
+sc AS (SELECT e.product, feature, greatest(0, avg(e.err) - any_value(plain.err)) AS s FROM errors e JOIN plain ON plain.product = e.product GROUP BY 1, 2)"""
+)
 
-    from monthloom.operators.influence import coef_importance
 
-    c = coef_importance(regress.trend_season_regress(with_regressors(spark, sf), 0, "xs"), REGRESSORS)
-    whole = F.abs(F.sum("pct").over(Window.partitionBy("product")) - 100) < 0.05
-    return c.select("product", "feature", (F.col("pct").between(0, 100) & whole).alias("valid"))
+@query("effect_importance", final(EFFECTS + f", t AS ({SHARES} sc)", "t", "product feature pct:f", 2), 2)
+def q_effects(spark, sf):
+    """Permutation of the fitted effects: for models whose coefficients say nothing by themselves."""
+    return influence.effect_importance(regression(spark, sf, 0), REGRESSORS)
 
 
 @query(

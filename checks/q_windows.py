@@ -175,12 +175,11 @@ def q_split_with_features(spark, sf):
     return joins.split_with_features(supplier(spark, sf), supplier_features(spark, sf))
 
 
-# a price may lie half way between two roundings: both sides are moved off it
-@query("target_and_exog", final(JOINED, "(SELECT * REPLACE (price + 1e-7 AS price) FROM j)", JOINED_COLS))
+@query("target_and_exog", final(JOINED, "j", JOINED_COLS))
 def q_target_and_exog(spark, sf):
     whole = joins.join_features(supplier(spark, sf), supplier_features(spark, sf)).withColumnRenamed("y", "demand")
     target, exog = temporal.target_and_exog(whole)
-    return target.join(exog, ["product", "ds"]).withColumn("price", F.col("price") + 1e-7)
+    return target.join(exog, ["product", "ds"])
 
 
 FUTURE = "(SELECT unnest(generate_series(1, 12)) AS step)"

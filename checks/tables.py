@@ -67,17 +67,24 @@ def brand(spark, sf):
 
 
 def supplier_features(spark, sf):
-    """Monthly mean discount and unit price, and the most frequent order priority as ``promo``."""
+    """Monthly mean discount and unit price, and the most frequent order priority as ``promo``.
+
+    Means are taken over whole millionths, so they do not depend on the order of the rows.
+    """
     li = read(spark, sf, "lineitem")
     o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     keyed = li.select(
         "l_orderkey",
         F.col("l_suppkey").alias("k"),
         F.trunc("l_shipdate", "month").alias("ds"),
-        "l_discount",
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
+        (F.round(F.col("l_discount") * 100).cast("long") * 10_000).alias("discount"),
+        F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 1e6).cast("long").alias("unit"),
     )
-    prices = keyed.groupBy("k", "ds").agg(F.avg("l_discount").alias("discount"), F.avg("unit").alias("price"))
+
+    def mean(c):
+        return F.expr(f"sum({c}) div count({c})") / 1e6
+
+    prices = keyed.groupBy("k", "ds").agg(mean("discount").alias("discount"), mean("unit").alias("price"))
     tally = keyed.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("k", "ds", "o_orderpriority").count()
     promo = tally.groupBy("k", "ds").agg(
         F.min_by("o_orderpriority", F.struct(-F.col("count"), F.col("o_orderpriority"))).alias("promo")
@@ -125,9 +132,9 @@ net_d AS (SELECT product, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY
 )
 SUPPLIER_FEATURES = """
 feats AS (
- WITH keyed AS (SELECT l_orderkey, l_suppkey AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds, l_discount,
-                       l_extendedprice / l_quantity AS unit FROM lineitem),
- prices AS (SELECT k, ds, avg(l_discount) AS discount, avg(unit) AS price FROM keyed GROUP BY 1, 2),
+ WITH keyed AS (SELECT l_orderkey, l_suppkey AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds, CAST(round(l_discount * 100) AS BIGINT) * 10000 AS discount,
+                       CAST(floor(l_extendedprice / l_quantity * 1e6) AS BIGINT) AS unit FROM lineitem),
+ prices AS (SELECT k, ds, (sum(discount) // count(*)) / CAST(1e6 AS DOUBLE) AS discount, (sum(unit) // count(*)) / CAST(1e6 AS DOUBLE) AS price FROM keyed GROUP BY 1, 2),
  tally AS (SELECT k, ds, o_orderpriority, count(*) AS c FROM keyed JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
  promo AS (SELECT k, ds, o_orderpriority AS promo FROM tally
            QUALIFY row_number() OVER (PARTITION BY k, ds ORDER BY c DESC, o_orderpriority) = 1)

@@ -155,50 +155,13 @@ def recursive_forecast(packed: DataFrame, model: PipelineModel, horizon: int = 1
     )
 
 
-def tree_importance(spark, model: PipelineModel, features=(*TEMPORAL, "level")) -> DataFrame:
-    """Gain importance in percent: one row per feature of the model."""
+def tree_gains(model: PipelineModel, features=(*TEMPORAL, "level")) -> Column:
+    """Gain importance in percent, as a constant ``ARRAY<STRUCT<feature, pct>>`` of as many entries as the model has features."""
     gains = model.stages[-1].featureImportances.toArray()
     total = float(gains.sum()) or 1.0
-    rows = [(f, round(100.0 * float(v) / total, 2)) for f, v in zip(features, gains)]
-    return spark.createDataFrame(rows, "feature string, pct double")
-
+    return F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(round(100.0 * float(v) / total, 2)).alias("pct")) for f, v in zip(features, gains)])
 
-def sampled_shapley(table: DataFrame, key, model: PipelineModel, features, orderings: int = 4) -> DataFrame:
-    """Mean absolute attribution per feature, from random feature orderings against the mean row.
 
-    Along one ordering the features switch from their mean to their own value one by one;
-    the change of the score at a switch is that feature's share.  Each score counts once
-    for the feature switched last and once against the feature switched next, so a row's
-    scores never have to be paired up: everything up to the sums is narrow.
-    """
-    names = list(features)
-    x = F.array(*[F.col(c).cast("double") for c in names])
-    base = table.agg(F.array(*[F.avg(c) for c in names]).alias("b")).scalar()
-    who = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-    rows = table.select(who.alias("row"), x.alias("x"), base.alias("b"))
-    rows = rows.withColumn("ordering", F.explode(F.sequence(F.lit(1), F.lit(orderings))))
-    shuffled = F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(len(names) - 1)),
-                lambda f: F.struct(uniform(F.col("row"), F.col("ordering"), f).alias("u"), f.alias("f")),
-            )
-        ),
-        lambda s: s["f"],
-    )
-    rows = rows.withColumn("order", shuffled)
-    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
-    switched = F.slice("order", 1, F.col("s"))
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)),
-        lambda f: F.when(F.array_contains(switched, f), F.get("x", f)).otherwise(F.get("b", f)),
-    )
-    scored = model.stages[-1].transform(rows.withColumn("features", array_to_vector(mixed)))
-    parts = F.array(
-        F.struct(F.get("order", F.col("s") - 1).alias("f"), F.col("prediction").alias("v")),
-        F.struct(F.get("order", F.col("s")).alias("f"), (-F.col("prediction")).alias("v")),
-    )
-    each = scored.select("row", F.explode(parts).alias("p")).select("row", "p.f", "p.v").filter(F.col("f").isNotNull())
-    phi = each.groupBy("row", "f").agg((F.sum("v") / orderings).alias("phi"))
-    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("f"))
-    return phi.groupBy("f").agg(F.avg(F.abs("phi")).alias("score")).select(label.alias("feature"), "score")
+def tree_importance(spark, model: PipelineModel, features=(*TEMPORAL, "level")) -> DataFrame:
+    """Gain importance in percent: one row per feature of the model."""
+    return spark.range(1).select(F.inline(tree_gains(model, features)))

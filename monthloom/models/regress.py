@@ -1,154 +1,219 @@
 """Piecewise-linear trend + yearly Fourier terms + regressors, as a ridge regression.
 
 Prior scales act as shrinkage: a coefficient with prior scale s is penalised by
-(noise / s)^2.  The systems of a whole batch are solved in one numpy call.
+(noise / s)^2.  Design, normal equations and their solution are expressions over the arrays of
+a product's row (see ``functions.linear``), so a fit moves no row and leaves the JVM nowhere.
 """
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from monthloom.functions.expressions import array_sum
+from monthloom.functions.linear import combine, let, ridge
 from monthloom.settings import EPS
 
 NOISE = 0.1
 FOURIER = 5
 CHANGEPOINTS = 25
 REGRESSOR_SCALE = 10.0
-RESULT = (
-    "trend array<double>, yearly array<double>, effects array<array<double>>,"
-    " yhat array<double>, coef array<double>"
-)
+#: Alternations of the multiplicative form, and the change of the scaled fit at which they end.
+ROUNDS = 100
+TOLERANCE = 1e-6
+
 
+def _upto(last: Column) -> Column:
+    """0, 1, ... ``last``; empty below 0."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-def _trend_design(n, total):
+
+def _trend_columns(n: Column, total: Column) -> Column:
     """Intercept, slope and hinges spread over the first 80% of the history."""
-    t = np.arange(total) / max(n - 1, 1)
-    k = min(CHANGEPOINTS, max(int(n * 0.8) - 1, 0))
-    knots = np.linspace(0, 0.8, k + 1)[1:]
-    return np.column_stack([np.ones(total), t, *[np.maximum(t - c, 0) for c in knots]]), k
-
-
-def _season_design(first_month, total):
-    angle = 2 * np.pi * ((np.arange(total) + first_month - 1) % 12) / 12
-    return np.column_stack([f(j * angle) for j in range(1, FOURIER + 1) for f in (np.sin, np.cos)])
-
-
-def _ridge(X, y, penalty):
-    """Batched ridge; X is (S, n, k), y is (S, n)."""
-    A = np.einsum("snk,snl->skl", X, X) + np.diag(penalty)
-    b = np.einsum("snk,sn->sk", X, y)
-    return np.linalg.solve(A, b[..., None])[..., 0]
-
-
-def solve(Y, X, first_month, total, cps=0.05, sps=10.0, mode="additive"):
-    """Fit a batch; returns trend, yearly, effects (S, F, total), yhat and raw coefficients."""
-    S, n = Y.shape
-    f = X.shape[2]
-    size = np.maximum(np.abs(Y).max(axis=1, keepdims=True), 1e-9)
-    y = Y / size
-    T, k = _trend_design(n, total)
-    Z = _season_design(first_month, total)
-    mean, sd = X[:, :n].mean(axis=1, keepdims=True), X[:, :n].std(axis=1, keepdims=True)
-    sd = np.where(sd > 0, sd, 1.0)
-    R = (X - mean) / sd
-    pen_t = np.array([1e-6, 1e-6] + [(NOISE / cps) ** 2] * k)
-    pen_s = np.array([(NOISE / sps) ** 2] * Z.shape[1] + [(NOISE / REGRESSOR_SCALE) ** 2] * f) + 1e-8
-    TT = np.broadcast_to(T, (S, *T.shape))
-    ZZ = np.concatenate([np.broadcast_to(Z, (S, *Z.shape)), R], axis=2)
-    nt = T.shape[1]
-    if mode == "additive":
-        full = np.concatenate([TT, ZZ], axis=2)
-        beta = _ridge(full[:, :n], y, np.concatenate([pen_t, pen_s]))
-        bt, bs = beta[:, :nt], beta[:, nt:]
-    else:  # trend * (1 + terms): alternate between the two linear problems
-        bt, bs = _ridge(TT[:, :n], y, pen_t), np.zeros((S, ZZ.shape[2]))
-        for _ in range(4):
-            tr = np.einsum("snk,sk->sn", TT[:, :n], bt)
-            bs = _ridge(ZZ[:, :n] * tr[..., None], y - tr, pen_s)
-            factor = 1 + np.einsum("snk,sk->sn", ZZ[:, :n], bs)
-            bt = _ridge(TT[:, :n] * factor[..., None], y, pen_t)
-    trend = np.einsum("snk,sk->sn", TT, bt) * size
-    terms = ZZ * bs[:, None, :]
-    yearly, effects = terms[..., : Z.shape[1]].sum(axis=2), terms[..., Z.shape[1] :].transpose(0, 2, 1)
-    if mode == "additive":
-        yearly, effects = yearly * size, effects * size[..., None]
-        yhat = trend + yearly + effects.sum(axis=1)
-    else:
-        yhat = trend * (1 + yearly + effects.sum(axis=1))
-    return trend, yearly, effects, yhat, bs[:, Z.shape[1] :]
-
-
-def regress_column(ys: Column, start: Column, horizon: int = 0, xs: Column | None = None, **options) -> Column:
-    """STRUCT of component arrays over the history and ``horizon`` further months.
+    t = F.transform(_upto(total - 1), lambda i: i / F.greatest(n - 1, F.lit(1)))
+    k = F.least(F.lit(CHANGEPOINTS), F.greatest(F.floor(n * 0.8).cast("int") - 1, F.lit(0)))
 
-    ``xs ARRAY<ARRAY<DOUBLE>>`` holds one array of regressor values per month.  Where it is
-    shorter than history plus horizon, its last row is repeated.
-    """
+    def columns(t):
+        hinges = F.transform(_upto(k - 1), lambda j: F.transform(t, lambda v: F.greatest(v - (j + 1) * 0.8 / k, F.lit(0.0))))
+        return F.concat(F.array(F.transform(t, lambda v: v * 0.0 + 1.0), t), hinges)
 
-    @F.pandas_udf(RESULT)
-    def run(y: pd.Series, month: pd.Series, x: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 5] * len(y)
-        widths = x.map(lambda a: 0 if a is None or not len(a) else len(a[0]))
-        keys = pd.DataFrame({"n": y.map(lambda a: 0 if a is None else len(a)), "m": month, "f": widths})
-        for (n, m, f), part in keys.groupby(["n", "m", "f"]):
-            if n < 3:
-                continue
-            for k in range(0, len(part), 256):
-                at = part.index[k : k + 256]
-                total = n + horizon
-                Y = np.array([y[j] for j in at], dtype=float)
-                X = np.zeros((len(at), total, f))
-                for r, j in enumerate(at):
-                    if f:
-                        v = np.array([list(q) for q in x[j]], dtype=float)[:total]
-                        X[r, : len(v)] = v
-                        X[r, len(v) :] = v[-1]
-                X = np.where(np.isfinite(X), X, 0.0)
-                parts = solve(Y, X, int(m), total, **options)
-                for r, j in enumerate(at):
-                    trend, yearly, effects, yhat, coef = (a[r].tolist() for a in parts)
-                    rows[j] = (trend, yearly, effects, yhat, coef)
-        return pd.DataFrame(rows, columns=["trend", "yearly", "effects", "yhat", "coef"])
+    return let(t, columns)
 
-    xs = F.array().cast("array<array<double>>") if xs is None else xs
-    return run(ys, F.month(start), xs)
 
+def _season_columns(first_month: Column, total: Column) -> Column:
+    angle = F.transform(_upto(total - 1), lambda i: (i + first_month - 1) % 12 * F.lit(2 * math.pi) / 12)
 
-def regress_trial_scores(ys: Column, start: Column, trials: Column, ratio: float = 0.2, xs: Column | None = None) -> Column:
-    """Holdout error of each ``cps, sps, mode`` in ``trials`` for its own series; infinity on failure.
+    def wave(a, j, f):
+        return F.transform(a, lambda v: f(v * j))
 
-    Regressor values of the held-out months are known to the forecast, as in a backtest.
-    """
+    return let(angle, lambda a: F.array(*[wave(a, j, f) for j in range(1, FOURIER + 1) for f in (F.sin, F.cos)]))
+
+
+def _raw_regressors(xs: Column, total: Column) -> Column:
+    """One array per regressor over the whole span; the last month repeats, what is not finite counts as 0."""
+    width = F.coalesce(F.size(F.get(xs, 0)), F.lit(0))
+
+    def finite(v):
+        return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(0.0)
+
+    def column(c):
+        return F.transform(_upto(total - 1), lambda i: finite(F.get(F.get(xs, F.least(i, F.size(xs) - 1)), c).cast("double")))
+
+    return F.transform(_upto(width - 1), column)
+
+
+def _scaled_regressors(raw: Column, n: Column) -> Column:
+    """Less the mean of the history, divided by its deviation."""
+
+    def column(values):
+        past = F.slice(values, F.lit(1), n)
+        square = F.aggregate(past, F.lit(0.0), lambda s, v: s + v * v) / n
 
-    @F.pandas_udf("array<double>")
-    def score(y: pd.Series, month: pd.Series, t: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for j in range(len(y)):
-            full = np.asarray(y.iloc[j], dtype=float)
-            cut = int(len(full) * (1 - ratio))
-            rows = [list(q) for q in x.iloc[j]]
-            X = np.nan_to_num(np.array(rows, dtype=float).reshape(1, len(full), -1)) if rows else np.zeros((1, len(full), 0))
-            errors = []
-            for q in t.iloc[j]:
-                error = np.inf
-                if cut >= 3 and cut < len(full):
-                    with np.errstate(all="ignore"):
-                        parts = solve(full[None, :cut], X, int(month.iloc[j]), len(full), q["cps"], q["sps"], q["mode"])
-                        error = np.abs((full[cut:] - parts[3][0, cut:]) / (full[cut:] + EPS)).mean()
-                errors.append(float(error) if np.isfinite(error) else np.inf)
-            out.append(errors)
-        return pd.Series(out)
+        def with_mean(mean):
+            return let(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), lambda sd: F.transform(values, lambda v: (v - mean) / F.when(sd > 1e-9 * F.abs(mean), sd).otherwise(1.0)))
 
+        return let(array_sum(past) / n, with_mean)
+
+    return F.transform(raw, column)
+
+
+def _first(columns: Column, n: Column) -> Column:
+    return F.transform(columns, lambda c: F.slice(c, F.lit(1), n))
+
+
+def _times(columns: Column, by: Column) -> Column:
+    return F.transform(columns, lambda c: F.zip_with(c, by, lambda x, f: x * f))
+
+
+def _alternated(trend: Column, terms: Column, y: Column, pen_trend: Column, pen_terms: Column) -> Column:
+    """STRUCT of the multiplicative form, trend * (1 + terms): each is linear with the other held, in turn until the fit stands still.
+
+    An alternation is five small steps, so that each uses values the one before has left.
+    """
+    none = F.array().cast("array<double>")
+    start = {
+        "trend": none, "terms": none, "line": none, "factor": F.transform(y, lambda v: v * 0.0 + 1.0), "fit": none,
+        "rounds": F.lit(0), "settled": F.lit(False),
+    }
+
+    def shape(**now):
+        return F.struct(*[now[c].alias(c) for c in start])
+
+    def step(state, k):
+        have = {c: state[c] for c in start}
+        change = F.aggregate(
+            F.zip_with(state["fit"], F.zip_with(state["line"], state["factor"], lambda a, b: a * b), lambda a, b: F.abs(a - b)),
+            F.lit(0.0), lambda m, v: F.greatest(m, v),
+        )
+        fitted = F.zip_with(state["line"], state["factor"], lambda a, b: a * b)
+        rest = F.zip_with(y, state["line"], lambda v, t: v - t)
+        turns = [
+            have | {"trend": ridge(_times(trend, state["factor"]), y, pen_trend)},
+            have | {"line": combine(trend, state["trend"])},
+            have | {"settled": (F.size(state["fit"]) > 0) & (change <= TOLERANCE), "fit": fitted, "rounds": state["rounds"] + 1},
+            have | {"terms": ridge(_times(terms, state["line"]), rest, pen_terms)},
+            have | {"factor": F.transform(combine(terms, state["terms"]), lambda v: v + 1.0)},
+        ]
+        out = F.when(state["settled"], state)
+        for m, turn in enumerate(turns):
+            out = out.when(k % len(turns) == m, shape(**turn))
+        return out.otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(5 * ROUNDS - 1)), shape(**start), step)
+
+
+def _as_column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def with_regression(df: DataFrame, name: str, ys: Column, start: Column, horizon=0, xs: Column | None = None, cps=0.05, sps=10.0, mode="additive") -> DataFrame:
+    """Adds ``name``: STRUCT of component arrays over the history and ``horizon`` further months; null below three months.
+
+    ``xs ARRAY<ARRAY<DOUBLE>>`` holds one array of regressor values per month.  Where it is
+    shorter than history plus horizon, its last row is repeated.  Prior scales and mode may be columns.  ``coef`` are the
+    coefficients of the scaled regressors, ``trend_coef`` those of intercept, slope and changes; ``converged`` says
+    whether the multiplicative form stood still, after ``rounds`` alternations (the additive one is solved at once).
+    """
     xs = F.array().cast("array<array<double>>") if xs is None else xs
-    return score(ys, F.month(start), trials, xs)
+    cps, sps = _as_column(cps).cast("double"), _as_column(sps).cast("double")
+    additive, waves, n = _as_column(mode) == "additive", 2 * FOURIER, F.size("_ys")
+    mode = mode if isinstance(mode, str) else None
+    knots = F.least(F.lit(CHANGEPOINTS), F.greatest(F.floor(n * 0.8).cast("int") - 1, F.lit(0)))
+    size = F.greatest(F.aggregate("_ys", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v))), F.lit(1e-9))
+    wave, own = F.pow(NOISE / F.col("_sps"), F.lit(2)) + 1e-8, F.lit((NOISE / REGRESSOR_SCALE) ** 2 + 1e-8)
+    history, total = F.col("_ys"), F.col("_total")
+    flat = lambda columns: F.aggregate(columns, F.transform("_line", lambda v: v * 0.0), lambda s, c: F.zip_with(s, c, lambda a, b: a + b))
+    # the two forms; one that a given mode rules out is not in the plan at all
+    both = ridge(F.concat("_trend_n", "_terms_n"), F.col("_y"), F.concat("_pen", "_pen_terms")) if mode != "multiplicative" else F.lit(None).cast("array<double>")
+    none = "struct<trend:array<double>,terms:array<double>,rounds:int,settled:boolean>"
+    turns = F.lit(None).cast(none) if mode == "additive" else _alternated(F.col("_trend_n"), F.col("_terms_n"), F.col("_y"), F.col("_pen"), F.col("_pen_terms"))
+    forms = {"_both": F.when(F.col("_add"), both), "_turns": F.when(~F.col("_add"), turns)}
+    # every step is a column of its own, read several times by the next and worked out once
+    steps = [
+        {"_ys": F.when(F.size(ys) >= 3, ys), "_m": F.month(start), "_cps": cps, "_sps": sps, "_add": additive, "_xs": xs, "_h": _as_column(horizon)},
+        {"_total": n + F.col("_h"), "_size": size},
+        {"_y": F.transform(history, lambda v: v / F.col("_size")), "_raw": _raw_regressors(F.col("_xs"), total), "_trend": _trend_columns(n, total)},
+        {"_terms": F.concat(_season_columns(F.col("_m"), total), _scaled_regressors(F.col("_raw"), n))},
+        {
+            "_trend_n": _first(F.col("_trend"), n), "_terms_n": _first(F.col("_terms"), n),
+            "_pen": F.concat(F.array(F.lit(1e-6), F.lit(1e-6)), F.array_repeat(F.pow(NOISE / F.col("_cps"), F.lit(2)), knots)),
+            "_pen_terms": F.concat(F.array_repeat(wave, waves), F.array_repeat(own, F.size("_terms") - waves)),
+        },
+        forms,
+        {
+            "_b": F.when(F.col("_add"), F.slice("_both", F.lit(1), F.size("_trend"))).otherwise(F.col("_turns.trend")),
+            "_c": F.when(F.col("_add"), F.slice("_both", F.size("_trend") + 1, F.size("_both"))).otherwise(F.col("_turns.terms")),
+        },
+        {
+            "_line": F.transform(combine(F.col("_trend"), F.col("_b")), lambda v: v * F.col("_size")),
+            "_each": F.zip_with("_terms", "_c", lambda c, b: F.transform(c, lambda v: v * b * F.when(F.col("_add"), F.col("_size")).otherwise(1.0))),
+        },
+        {"_sum": flat(F.col("_each")), "_yearly": flat(F.slice("_each", 1, waves))},
+        {
+            # always true, but not known to be: a later filter must not sink below and repeat every step above it
+            name: F.when(
+                F.col("_ys").isNotNull() & (F.monotonically_increasing_id() >= 0),
+                F.struct(
+                    F.col("_line").alias("trend"), F.col("_yearly").alias("yearly"),
+                    F.slice("_each", waves + 1, F.greatest(F.size("_each") - waves, F.lit(0))).alias("effects"),
+                    F.when(F.col("_add"), F.zip_with("_line", "_sum", lambda t, s: t + s)).otherwise(F.zip_with("_line", "_sum", lambda t, s: t * (s + 1.0))).alias("yhat"),
+                    F.slice("_c", waves + 1, F.greatest(F.size("_c") - waves, F.lit(0))).alias("coef"), F.col("_b").alias("trend_coef"),
+                    F.coalesce("_turns.rounds", F.lit(1)).alias("rounds"), F.coalesce("_turns.settled", F.lit(True)).alias("converged"),
+                ),
+            )
+        },
+    ]
+    made = [c for step in steps for c in step if c != name]
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*made)
+
+
+def with_trial_scores(df: DataFrame, name: str, ys: Column, start: Column, trials: str, count: int, ratio: float = 0.2, xs: Column | None = None) -> DataFrame:
+    """Adds ``name``: holdout error of each of the ``count`` structs ``cps, sps, mode`` in the column ``trials``; infinity on failure.
+
+    Regressor values of the held-out months are known to the forecast, as in a backtest.
+    """
+    n = F.size(ys)
+    cut = F.floor(n * (1 - ratio)).cast("int")
+    held = F.slice(ys, cut + 1, n)
+    scores = []
+    for k in range(count):
+        t = F.get(trials, F.lit(k))
+        df = with_regression(df, "_trial", F.slice(ys, F.lit(1), cut), start, n - cut, xs, t["cps"], t["sps"], t["mode"])
+        errors = F.zip_with(held, F.slice("_trial.yhat", cut + 1, n), lambda y, p: F.abs((y - p) / (y + EPS)))
+        error = array_sum(errors) / F.size(held)
+        good = (cut >= 3) & (cut < n) & error.isNotNull() & ~F.isnan(error) & (error < float("inf"))
+        df = df.withColumn(f"_score_{k}", F.when(good, error).otherwise(float("inf"))).drop("_trial")
+        scores.append(f"_score_{k}")
+    return df.withColumn(name, F.array(*scores)).drop(*scores)
 
 
 def trend_season_regress(packed: DataFrame, horizon: int = 0, xs: str | None = None, **options) -> DataFrame:
     """Adds the struct ``fit``; options: ``cps``, ``sps`` (prior scales) and ``mode``."""
     col = F.col(xs) if xs else None
-    return packed.withColumn("fit", regress_column(F.col("ys"), F.col("start"), horizon, col, **options))
+    return with_regression(packed, "fit", F.col("ys"), F.col("start"), horizon, col, **options)
 
 
 def regress_forecast(fitted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.expressions import uniform
 from monthloom.models.boosted import gbt_fit
-from monthloom.models.regress import regress_trial_scores
+from monthloom.models.regress import with_trial_scores
 from monthloom.models.sarima import sarima_trial_scores
 from monthloom.models.smoothing import hw_trial_scores
 from monthloom.operators.metrics import mape_eps_of
@@ -111,8 +111,8 @@ def tune_regression(packed: DataFrame, trials: int = 5, ratio: float = 0.2, xs:
     """Best prior scales and mode per series, likewise."""
     space = {name: SEARCH_SPACES["Prophet"][k] for k, (name, _) in _TREND_SEASON.items()}
     drawn = _draw_trials(packed, space, dict(_TREND_SEASON.values()), trials)
-    score = regress_trial_scores(F.col("ys"), F.col("start"), F.col("trials"), ratio, F.col(xs) if xs else None)
-    return _choose(drawn.withColumn("_s", score), direction)
+    scored = with_trial_scores(drawn, "_s", F.col("ys"), F.col("start"), "trials", trials, ratio, F.col(xs) if xs else None)
+    return _choose(scored, direction)
 
 
 def tune_boosted(table: DataFrame, features, trials: int = 5, ratio: float = 0.2, direction: str = "minimize") -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthloom.models.autoreg import ar_column, ar_path
-from monthloom.models.regress import regress_column
+from monthloom.models.regress import with_regression
 from monthloom.models.sarima import sarima_path
 from monthloom.models.smoothing import hw_column, hw_forecast_column, hw_resolved_column, hw_trial_scores
 from monthloom.operators.blending import inverse_mape_weights
@@ -21,6 +21,16 @@ from monthloom.settings import Settings
 from monthloom.sources import store
 
 
+class Extras(dict):
+    """Further tables of a run.  One given as a function is put together when it is asked for, and then kept."""
+
+    def __getitem__(self, name):
+        value = super().__getitem__(name)
+        if callable(value):
+            value = self[name] = value()
+        return value
+
+
 @dataclass
 class Outlook:
     """The tables a run produces; all of them are lazy."""
@@ -32,7 +42,7 @@ class Outlook:
     weights: DataFrame
     ensemble: DataFrame
     params: DataFrame | None = None
-    extras: dict = field(default_factory=dict)
+    extras: Extras = field(default_factory=Extras)
 
     @property
     def complete_weights(self) -> DataFrame:
@@ -57,17 +67,15 @@ def _autoreg(order: int):
     return (lambda ys, start, h, most: ar_column(ys, order)), (lambda fit, ys, h: ar_path(h, order, fit))
 
 
-# name -> (fitted column from history, start, horizon and the longest horizon asked for;
+# name -> (fitted column from history, start, horizon and the longest horizon asked for,
+#          or None for the regression, which is several columns;
 #          ARRAY<DOUBLE> of forecasts from that column)
 FORECASTERS = {
     "SARIMA": ((lambda ys, start, h, most: sarima_path(ys, h)), (lambda fit, ys, h: fit)),
     "HoltWinters": ((lambda ys, start, h, most: hw_column(ys)), (lambda fit, ys, h: hw_forecast_column(h, fit))),
     "AR1": _autoreg(0),
     "ARI1": _autoreg(1),
-    "Prophet": (
-        (lambda ys, start, h, most: regress_column(ys, start, most)),
-        (lambda fit, ys, h: F.slice(fit["yhat"], F.size(ys) + 1, h)),
-    ),
+    "Prophet": (None, (lambda fit, ys, h: F.slice(fit["yhat"], F.size(ys) + 1, h))),
 }
 
 
@@ -145,17 +153,23 @@ def fit_packed(df: DataFrame, s: Settings, models) -> DataFrame:
     models need no shuffle.
     """
     head, ys, start = F.col("head"), F.col("ys"), F.col("start")
-    fits, paths, most = {}, {}, max(s.horizon, s.test_months)
+    fits, paths, done, most = {}, {}, [], max(s.horizon, s.test_months)
     for m in models:
         fit, path = FORECASTERS[m]
         for tag, history, h in (("bt", head, F.col("n_test")), ("fc", ys, F.lit(s.horizon))):
             given = f"given_{m}" in df.columns
-            fits[f"_{tag}_{m}"] = GIVEN[m][0](history, F.col(f"given_{m}")) if given else fit(history, start, h, most)
+            if fit is None:
+                df = with_regression(df, f"_{tag}_{m}", history, start, most)
+                done.append(f"_{tag}_{m}")
+            else:
+                fits[f"_{tag}_{m}"] = GIVEN[m][0](history, F.col(f"given_{m}")) if given else fit(history, start, h, most)
             if given and tag == "fc":
                 paths[f"used_{m}"] = F.struct(*[F.col(f"_fc_{m}")[f].alias(f) for f in GIVEN[m][1]])
             paths[f"{tag}_{m}"] = path(F.col(f"_{tag}_{m}"), history, h)
     # two projections whatever the number of models: first all fits, then all paths
-    return df.withColumns(fits).withColumns(paths).drop(*fits) if models else df
+    if fits:
+        df = df.withColumns(fits)
+    return df.withColumns(paths).drop(*fits, *done) if models else df
 
 
 def model_rows(fitted: DataFrame, models) -> DataFrame:
@@ -205,7 +219,7 @@ def blend(cleaned: DataFrame, rows: DataFrame, s: Settings, models, **extras) ->
         counted.filter(F.col("step") <= F.col("_want")).groupBy("product", "step", "ds").agg(F.sum(share).alias("yhat"))
     )
     return Outlook(
-        cleaned, backtest_pairs(rows), metrics, future_paths(rows), weighted.drop("fc", "future_at"), ensemble, extras=extras
+        cleaned, backtest_pairs(rows), metrics, future_paths(rows), weighted.drop("fc", "future_at"), ensemble, extras=Extras(extras)
     )
 
 

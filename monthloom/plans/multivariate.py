@@ -3,17 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.models.boosted import TEMPORAL, gbt_fit, training_table, tree_importance, tree_path
-from monthloom.models.regress import regress_column
+from monthloom.models.boosted import TEMPORAL, gbt_fit, training_table, tree_gains, tree_path
+from monthloom.models.grown import gain_shares, grow_trees, grown_path, pack_rows, shapley_importance
+from monthloom.models.regress import with_regression
 from monthloom.operators.calendar import pack, reindex_calendar
 from monthloom.operators.encoding import encode_and_scale
 from monthloom.operators.influence import (
     coef_importance,
     combine_importances,
+    effect_importance,
     ensemble_importance,
     importance_priority,
+    importance_router,
 )
 from monthloom.operators.joins import cross_product, split_with_features
+from monthloom.operators.temporal import temporal_features
 from monthloom.operators.screening import require_inputs, require_nonempty
 from monthloom.plans.common import (
     Outlook,
@@ -26,7 +30,7 @@ from monthloom.plans.common import (
     split_arrays,
 )
 from monthloom.session import reuse
-from monthloom.settings import Settings
+from monthloom.settings import IMPORTANCE_ORDER, IMPORTANCE_ORDER_DEFAULT_RUN, Settings
 
 UNIVARIATE = ("SARIMA", "HoltWinters")
 MULTIVARIATE = ("XGBoost", "Prophet")
@@ -43,41 +47,62 @@ def encoded_table(cleaned: DataFrame, features: DataFrame, categorical, numeric,
     return ready.select("product", "ds", "y", "i", "n", "split", *categorical, *numeric)
 
 
-def _packed_with_exog(table: DataFrame, names) -> DataFrame:
-    """Packed rows with ``exog ARRAY<STRUCT>``: one struct of feature values per month."""
-    shaped = table.select("product", "ds", "y", F.struct(*names).alias("exog"))
-    return pack(shaped, "exog")
+def _packed_rows(table: DataFrame, names, inputs) -> DataFrame:
+    """Packed rows: ``exog`` (a struct of feature values per month), and ``x``, ``target``, ``n_known`` as trees read them."""
+    shaped = temporal_features(table.select("product", "ds", "y", "split", *names)).withColumn("exog", F.struct(*names))
+    return pack_rows(shaped, inputs, F.col("split") != "test", "exog")
 
 
 def _matrix(exog, names):
     return F.transform(exog, lambda e: F.array(*[F.coalesce(e[c].cast("double"), F.lit(0.0)) for c in names]))
 
 
-def _boosted(table, packed, names, s: Settings, tree_options):
-    """Adds ``bt_XGBoost`` and ``fc_XGBoost``; two distributed fits over all products.
+def _ahead(names, s: Settings):
+    """Feature values of the test months, and of the future, which repeats the last month."""
+    xs = _matrix(F.col("exog"), names)
+    return F.slice(xs, F.size("head") + 1, F.greatest(F.col("n_test"), F.lit(1))), F.slice(xs, F.col("n"), 1)
+
+
+def _grown(packed, names, inputs, s: Settings, tree_options):
+    """Adds ``bt_XGBoost``, ``fc_XGBoost`` and ``gain_XGBoost``: trees of the product's own, grown in its row.
+
+    The backtest's trees and the final ones are grown in one pass, and nothing is shuffled.
+    """
+    test_months, last_month = _ahead(names, s)
+    fits = {"_first": F.col("n_known"), "_final": F.size("target")}
+    df = grow_trees(packed, len(inputs), fits, **tree_options)
+    start, width = F.col("start"), len(names)
+    df = df.withColumns(
+        {
+            "bt_XGBoost": grown_path(F.col("_first"), F.col("head"), start, F.col("n_test"), test_months, width),
+            "fc_XGBoost": grown_path(F.col("_final"), F.col("ys"), start, F.lit(s.horizon), last_month, width),
+            "gain_XGBoost": gain_shares(F.col("_final"), inputs),
+        }
+    )
+    return df.drop("_first", "_final")
+
+
+def _boosted(table, packed, names, inputs, s: Settings, tree_options):
+    """The same columns from one model for all products: two distributed fits.
 
     Scoring is narrow: both paths are computed in the product's own row.
     """
-    inputs = (*TEMPORAL, "level", *names)
     known = table.filter("split <> 'test'").select("product", "ds", "y", *names)
     everything = table.select("product", "ds", "y", *names)
     first = gbt_fit(reuse(training_table(known)), inputs, **tree_options)
     final = gbt_fit(reuse(training_table(everything)), inputs, **tree_options)
-    xs = _matrix(F.col("exog"), names)
-    test_months = F.slice(xs, F.size("head") + 1, F.greatest(F.col("n_test"), F.lit(1)))
-    last_month = F.slice(xs, F.col("n"), 1)  # the future repeats it
+    test_months, last_month = _ahead(names, s)
     start, width = F.col("start"), len(names)
     packed = tree_path(packed, first, "bt_XGBoost", F.col("head"), start, F.col("n_test"), s.test_months, test_months, width)
     packed = tree_path(packed, final, "fc_XGBoost", F.col("ys"), start, F.lit(s.horizon), s.horizon, last_month, width)
-    return packed, final, inputs
+    return packed.withColumn("gain_XGBoost", tree_gains(final, inputs))
 
 
 def _regression(packed, names, s: Settings, **options):
     """Adds ``bt_Prophet``, ``fc_Prophet`` and the struct ``fit``, all in the product's row."""
     df = packed.withColumn("xs", _matrix(F.col("exog"), names))
-    bt = regress_column(F.col("head"), F.col("start"), s.test_months, F.col("xs"), **options)
-    fc = regress_column(F.col("ys"), F.col("start"), s.horizon, F.col("xs"), **options)
-    df = df.withColumn("_bt", bt).withColumn("fit", fc)
+    df = with_regression(df, "_bt", F.col("head"), F.col("start"), s.test_months, F.col("xs"), **options)
+    df = with_regression(df, "fit", F.col("ys"), F.col("start"), s.horizon, F.col("xs"), **options)
     df = df.withColumn("bt_Prophet", F.slice("_bt.yhat", F.size("head") + 1, F.col("n_test")))
     return df.withColumn("fc_Prophet", F.slice("fit.yhat", F.col("n") + 1, s.horizon)).drop("_bt", "xs")
 
@@ -91,11 +116,17 @@ def run_features(
     bounds: DataFrame | None = None,
     tree_options: dict | None = None,
     extra=None,
+    product_mode: str = "per_product",
+    importance_order=IMPORTANCE_ORDER,
 ) -> Outlook:
     """Feature run: boosted trees and regression with each product's own features.
 
-    ``extra(cleaned) -> (frame, names)`` may add further numeric feature columns.
+    With ``product_mode='multi_product'`` one model of trees serves all products.
+    ``extra(cleaned) -> (frame, names)`` may add further numeric feature columns.  The switches of
+    ``settings`` say which importances are computed; one that is switched off is not in any plan.
     """
+    if product_mode not in ("per_product", "multi_product"):
+        raise ValueError(f"product_mode is per_product or multi_product, not {product_mode!r}")
     require_inputs(demand, features, needs_features=True)
     s = settings
     prepared = reuse(prepare(reindex_calendar(demand, bounds), s))
@@ -108,26 +139,46 @@ def run_features(
         numeric += names
     table = reuse(encoded_table(cleaned, features, list(categorical), numeric, s))
     names = [*categorical, *numeric]
-    packed = split_arrays(_packed_with_exog(table, names), s)
-    fitted, importances = packed, []
+    own = product_mode == "per_product"
+    inputs = (*TEMPORAL, *names) if own else (*TEMPORAL, "level", *names)
+    packed = split_arrays(_packed_rows(table, names, (*TEMPORAL, *names)), s)
+    fitted, options = packed, tree_options or {}
     if "XGBoost" in s.models:
-        fitted, model, inputs = _boosted(table, fitted, names, s, tree_options or {})
-        gain = tree_importance(table.sparkSession, model, inputs).collect()  # one row per feature
-        pairs = F.array(*[F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["pct"]).alias("pct")) for r in gain])
-        owner = packed.select("product", F.lit("XGBoost").alias("model"), F.lit("builtin").alias("imp_type"), pairs.alias("_p"))
-        importances.append(owner.select("product", "model", "imp_type", F.inline("_p")))
+        fitted = _grown(fitted, names, inputs, s, options) if own else _boosted(table, fitted, names, inputs, s, options)
     if "Prophet" in s.models:
         fitted = _regression(fitted, names, s)
-        shares = coef_importance(fitted, names)
-        kind = F.lit("regressor_coefficients").alias("imp_type")
-        importances.append(shares.select("product", F.lit("Prophet").alias("model"), kind, "feature", "pct"))
     univariate = [m for m in s.models if m in UNIVARIATE]
-    fitted = reuse(fit_packed(fitted, s, univariate))
-    every = combine_importances(*importances)
-    out = blend(
-        cleaned_report(prepared), model_rows(fitted, s.models), s, s.models, table=table, fitted=fitted, importances=every
+    fitted = reuse(fit_packed(fitted.drop("x", "target", "n_known"), s, univariate))
+    out = blend(cleaned_report(prepared), model_rows(fitted, s.models), s, s.models, table=table, fitted=fitted)
+
+    def trees():
+        # they are large, so they are not kept with the results but grown again where attribution is asked for
+        return grow_trees(packed.select("product", "x", "target"), len(inputs), {"trees": F.size("target")}, **options)
+
+    measures = {
+        ("XGBoost", "builtin"): lambda: fitted.select("product", F.inline("gain_XGBoost")),
+        ("Prophet", "regressor_coefficients"): lambda: coef_importance(fitted, names),
+        ("Prophet", "permutation"): lambda: effect_importance(fitted, names),
+    }
+    if own:
+        measures["XGBoost", "shap"] = lambda: shapley_importance(trees(), "trees", options.get("depth", 6), inputs)
+
+    def importances():
+        """``product, model, imp_type, feature, pct`` of the measures that the switches allow."""
+        found = []
+        for model in s.models:
+            for kind in importance_router(model, s.importance, s.permutation, s.shap):
+                if (model, kind) in measures and names:
+                    shares = measures[model, kind]().select("product", F.lit(model).alias("model"), F.lit(kind).alias("imp_type"), "feature", "pct")
+                    found.append(shares)
+        if not found:
+            return table.sparkSession.createDataFrame([], "product string, model string, imp_type string, feature string, pct double")
+        return combine_importances(*found)
+
+    out.extras["importances"] = importances
+    out.extras["ensemble_importance"] = lambda: ensemble_importance(
+        importance_priority(out.extras["importances"], importance_order), out.weights
     )
-    out.extras["ensemble_importance"] = ensemble_importance(importance_priority(every), out.weights)
     return out
 
 
@@ -143,5 +194,6 @@ def run_cross(
 
 
 def run_default(demand, features, categorical=(), numeric=(), settings=Settings(models=ALL_KINDS), **options) -> Outlook:
-    """All model kinds side by side, blended together."""
+    """All model kinds side by side, blended together; attribution is preferred to the other importances."""
+    options = {"importance_order": IMPORTANCE_ORDER_DEFAULT_RUN} | options
     return run_features(demand, features, categorical, numeric, settings, **options)

@@ -52,3 +52,6 @@ class Settings:
     scaler: str | None = None
     categorical_prefixes: tuple = ("promo",)
     models: tuple = field(default=("HoltWinters", "SARIMA"))
+    importance: bool = True
+    permutation: bool = True
+    shap: bool = True
