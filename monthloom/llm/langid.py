@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from monthloom.llm.common import row_slices, text_buffers
+
 UNDETERMINED = "und"
+#: Rows of a language are first ranked in so many parts, so that no task ranks more than their best.
+PARTS = 16
+#: Text taken from a batch at a time.
+TEXT_BYTES = 1_000_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -30,8 +35,9 @@ def learn(
     The sample is bounded by the parameters: ``sample_rows`` rows per language, in the order of
     a hash of the text, give ``piece_chars`` characters each, from a place that the same hash
     names, up to ``sample_bytes``.  Repeated texts are used once: copies become one row, by a partial
-    aggregate, before the row limit, which is applied to every part before it is shuffled on.  Rows
-    without text or language teach nothing.
+    aggregate, before the row limit.  The limit is applied to parts of a language by the hash, then to
+    what they leave, so the last ranking sees ``PARTS`` times ``sample_rows`` rows whatever the
+    table's size.  Rows without text or language teach nothing.
     """
     # only a short piece of each text takes part in the ranking
     room = F.greatest(F.length("text") - F.lit(piece_chars), F.lit(0)) + 1
@@ -45,6 +51,9 @@ def learn(
         )
         .groupBy("__l", "__h")
         .agg(F.min("__p").alias("__p"))
+        .withColumn("__b", F.pmod("__h", F.lit(PARTS)))
+        .withColumn("__r", F.row_number().over(Window.partitionBy("__l", "__b").orderBy("__h", "__p")))
+        .where(F.col("__r") <= sample_rows)
         .withColumn("__r", F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__p")))
         .where(F.col("__r") <= sample_rows)
         .withColumn("__p", F.trim(F.regexp_replace(F.lower("__p"), r"[^\p{L}]+", " ")))
@@ -106,13 +115,18 @@ def identify(
     """
     learned = dict(dictionaries)  # bounded by learn(): travels with the function
 
-    @F.pandas_udf("lang_pred string, score double, margin double, encoded int")
-    def judge(column: pd.Series) -> pd.DataFrame:
-        encoders = _encoders(learned, level)
-        rows = [classify(t, encoders, piece_bytes) for t in column]
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "margin", "encoded"]).astype(
-            {"score": np.float64, "margin": np.float64, "encoded": np.int32}
-        )
+    encoders: list = []
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,margin:double,encoded:int>")
+    def judge(column: pa.Array) -> pa.Array:
+        if not encoders:  # once per task
+            encoders.extend(_encoders(learned, level))
+        rows = []
+        for a, b in row_slices(text_buffers(column)[1], TEXT_BYTES):
+            rows += [classify(t, encoders, piece_bytes) for t in column.slice(a, b - a).to_pylist()]
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.int32())
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "margin", "encoded"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
     judged = docs.select(*[F.col(f"`{c}`") for c in kept], judge("text").alias("__judged"))
