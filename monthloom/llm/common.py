@@ -63,11 +63,11 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         a = b
 
 
-def sliced(batches, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def sliced(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Record batches cut into row ranges of bounded text, with the text's bytes and offsets."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         data, off = text_buffers(batch.column(column))
-        for a, b in row_slices(off):
+        for a, b in row_slices(off, limit):
             yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.llm import shingles as S
-from monthloom.llm.common import carried, sliced, stored
+from monthloom.llm.common import carried, row_slices, sliced, stored
 from monthloom.llm.components import components
 
 #: Sets up to this size are screened by all their shingles, larger ones by a quarter.
@@ -35,6 +35,9 @@ SCREENED_WHOLE = 256
 QUARTER = 3
 #: Bits of the filter of documents that passed the screen: 8 MB whatever the table's size.
 FILTER_BITS = 1 << 26
+#: Text, and entries of the index, that a task turns into arrays at a time.
+SET_BYTES = 1_000_000
+SET_ENTRIES = 100_000
 #: Words of 64 parity bits that bound from below in how many shingles two sets differ.
 PARITY_WORDS = 8
 #: A shingle in more sets than this (of about equal size, after the screen) is frequent.
@@ -96,7 +99,7 @@ def sized(docs: DataFrame, shingle: int, rule: Rule) -> DataFrame:
     whole = SCREENED_WHOLE * 100 // rule.percent + 1  # sizes that can be similar to one screened whole
 
     def run(batches):
-        for part, data, off in sliced(batches):
+        for part, data, off in sliced(batches, limit=SET_BYTES):
             h, n, dg = _sets(data, off, shingle)
             keep = ((h & np.uint64(QUARTER)) == 0) | np.repeat(n <= whole, n)
             kept = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
@@ -160,7 +163,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             p = batch.column("p").to_numpy()
             batch = batch.filter(pa.array((known[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
-            for part, data, off in sliced([batch]):
+            for part, data, off in sliced([batch], limit=SET_BYTES):
                 h, n, dg = _sets(data, off, shingle)
                 yield pa.record_batch(
                     [
@@ -201,8 +204,13 @@ def index(sets: DataFrame, rule: Rule, frequent: int) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
     )
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
+            for a, b in row_slices(batch.column("shared").offsets.to_numpy(), SET_ENTRIES):
+                yield batch.slice(a, b - a)
+
+    def run(batches):
+        for batch in parts(batches):
             out: dict[str, list] = {k: [] for k in ("key", "dg", "n", "overlap")}
             lists = batch.column("shared")
             flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
