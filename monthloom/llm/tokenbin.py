@@ -48,21 +48,26 @@ class Encoder:
     A byte-level BPE never merges over the start of a word.  A text is cut before every blank
     that stands between other characters; the stretches are looked up, and the missing ones
     encoded together.  Texts where that cut could matter (blanks next to other white space,
-    special tokens) are encoded as they stand.  At most ``room`` stretches are remembered.
+    special tokens) are encoded as they stand.  At most ``room`` stretches of ``held_bytes`` together are
+    remembered, none of more than ``LONG`` characters beyond the call that met it.
     """
 
     # U+0000 joins missing stretches: no merge of the vocabulary has it
     _JOIN = "\x00"
     _MARKS = ".,;:!?#*$%&|"
 
-    def __init__(self, path: str, room: int = 1_700_000):
+    #: Bytes that a remembered stretch takes besides its characters and ids.
+    _EACH = 190
+    LONG = 200
+
+    def __init__(self, path: str, room: int = 1_700_000, held_bytes: int = 400_000_000):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room, self.known = room, {}
+        self.room, self.held_bytes, self.known, self.held, self.long = room, held_bytes, {}, 0, []
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.odd = re.compile(r"\s (?:\s|\Z)|<\||\x00").search
@@ -110,8 +115,9 @@ class Encoder:
                 words[s] = None
         marks = {"\x00" + m for _, _, m in ended}
         fresh = [s for s in (*words, *marks) if s not in known]
-        if len(known) + len(fresh) + len(ended) > self.room:
+        if len(known) + len(fresh) + len(ended) > self.room or self.held > self.held_bytes:
             known.clear()
+            self.held = 0
             fresh = [*words, *marks]
         alone, joined, word, code = [], [], self._word, self.code
         for s in fresh:
@@ -134,6 +140,9 @@ class Encoder:
                 a = b + size
         for s, base, m in ended:
             known[s] = known[base] + known["\x00" + m]
+        # ids are shorter than the text they stand for
+        self.held += self._EACH * (len(fresh) + len(ended)) + 2 * sum(map(len, fresh)) + 2 * sum(len(s) for s, _, _ in ended)
+        self.long += [s for s in (*fresh, *(s for s, _, _ in ended)) if len(s) > self.LONG]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
@@ -148,7 +157,7 @@ class Encoder:
                 cut[i][0] = self._JOIN + cut[i][0]
         wanted = set().union(*cut.values()) if cut else set()
         wanted.discard(self._JOIN)
-        if 3 * len(wanted) >= self.room:
+        if 3 * len(wanted) >= self.room or 3 * (self._EACH * len(wanted) + 2 * sum(map(len, wanted))) >= self.held_bytes:
             return [plain[i] if i in plain else self._plain([texts[i]])[0] for i in range(len(texts))]
         for _ in range(2):  # learning may empty the memory: what this batch needs then comes back
             missing = [s for s in wanted if s not in self.known]
@@ -156,7 +165,11 @@ class Encoder:
                 self._learn(missing)
         known = self.known
         known[self._JOIN] = b""  # a text that begins with a blank
-        return [plain[i] if i in plain else b"".join([known[s] for s in cut[i]]) for i in range(len(texts))]
+        out = [plain[i] if i in plain else b"".join([known[s] for s in cut[i]]) for i in range(len(texts))]
+        for s in self.long:
+            known.pop(s, None)
+        self.long = []
+        return out
 
 
 def encoder_of_worker(path: str) -> Encoder:
