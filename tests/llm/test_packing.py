@@ -3,9 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from monthloom.llm import packing as P
-from monthloom.llm.queries import op6
+from monthloom.llm.queries import op6, tokenizer_file
 
 CAPS = (16, 32, 64)
 
@@ -68,10 +69,16 @@ def test_cases(spark):
     assert P.pack(docs.limit(0), capacities=CAPS).collect() == []
 
 
+def token_lengths(docs):
+    """Ids of the tokenizer and the end id."""
+    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    return [(r["doc_id"], len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     rows = op6(spark, sf).collect()
-    valid(rows, [(r["doc_id"], len(r["text"].split()) + 1) for r in docs], (512, 1024, 2048, 4096, 8192))
+    valid(rows, token_lengths(docs), (512, 1024, 2048, 4096, 8192))
     bins = {r["bin_id"]: (r["capacity"], r["used"]) for r in rows}
     assert sum(u for _, u in bins.values()) >= 0.97 * sum(c for c, _ in bins.values())

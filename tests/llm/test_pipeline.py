@@ -7,7 +7,7 @@ import corpus_pipeline
 from monthloom.llm import langid
 from monthloom.llm.common import stored
 from monthloom.llm.oracles import SQL, _quality
-from tests.llm.test_packing import valid
+from tests.llm.test_packing import token_lengths, valid
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,8 +45,7 @@ def test_stages(spark):
     unseen = over("near_copies").execute(f"SELECT doc_id FROM ({SQL['op1']}) WHERE NOT contaminated").fetchall()
     assert kept["benchmark"] == sorted(x[0] for x in unseen)
 
-    lengths = [(r["doc_id"], len(r["text"].split()) + 1) for r in frames["benchmark"].collect()]
-    valid(frames["packing"].collect(), lengths, (512, 1024, 2048, 4096, 8192))
+    valid(frames["packing"].collect(), token_lengths(frames["benchmark"].collect()), (512, 1024, 2048, 4096, 8192))
     assert len(kept["benchmark"]) > 0.5 * len(rows)
 
     whole = corpus_pipeline.run(spark, SF).collect()
