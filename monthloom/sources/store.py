@@ -1,5 +1,7 @@
 """Saved parameters and run records as append-only tables in a shared folder."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -8,19 +10,42 @@ PARAMS_SCHEMA = "product string, model string, params_json string, run_ts string
 
 
 def param_store_save(params: DataFrame, path: str, run_ts: str) -> None:
-    """Append ``product, model, params_json`` (or a struct ``params``) under ``run_ts``."""
+    """Save ``product, model, params_json`` (or a struct ``params``) under ``run_ts``, as a whole or not at all.
+
+    The rows are staged under a name of this attempt; one record that names it makes them count.  An
+    attempt that dies before leaves rows that nobody reads; one that is repeated for the same run
+    replaces the former.
+    """
     if "params_json" not in params.columns:
         params = params.withColumn("params_json", F.to_json("params"))
-    rows = params.select("product", "model", "params_json", F.lit(run_ts).alias("run_ts"))
-    rows.write.mode("append").partitionBy("run_ts").parquet(path)
+    attempt = uuid.uuid4().hex
+    rows = params.select("product", "model", "params_json", F.lit(run_ts).alias("run_ts"), F.lit(attempt).alias("attempt"))
+    rows.write.mode("append").partitionBy("run_ts", "attempt").parquet(f"{path}/rows")
+    _commit(params.sparkSession, path, run_ts, attempt)
+
+
+def _commit(spark: SparkSession, path: str, run_ts: str, attempt: str) -> None:
+    record = spark.range(1).select(F.lit(run_ts).alias("run_ts"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("at"))
+    record.write.mode("append").parquet(f"{path}/commits")
+
+
+def param_store_commits(spark: SparkSession, path: str) -> DataFrame:
+    """``run_ts, attempt`` of the runs that count: for each the attempt committed last."""
+    try:
+        found = spark.read.schema("run_ts string, attempt string, at timestamp").parquet(f"{path}/commits")
+    except AnalysisException:
+        return spark.createDataFrame([], "run_ts string, attempt string")
+    return found.groupBy("run_ts").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
 
 
 def param_store_read(spark: SparkSession, path: str) -> DataFrame:
-    """All saved parameters; an empty table where nothing was saved yet."""
+    """All parameters of the runs that count; an empty table where nothing was saved yet."""
     try:
-        return spark.read.schema(PARAMS_SCHEMA).parquet(path)
+        rows = spark.read.schema(f"{PARAMS_SCHEMA}, attempt string").parquet(f"{path}/rows")
     except AnalysisException:
         return spark.createDataFrame([], PARAMS_SCHEMA)
+    names = [c.split()[0] for c in PARAMS_SCHEMA.split(", ")]
+    return rows.join(param_store_commits(spark, path), ["run_ts", "attempt"]).select(*names)
 
 
 def param_store_latest(saved: DataFrame) -> DataFrame:
@@ -38,7 +63,7 @@ def params_exist(saved: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def run_list(saved: DataFrame) -> DataFrame:
-    """Runs, newest first (a partition column: only folder names are read)."""
+    """Runs, newest first."""
     return saved.select("run_ts").distinct().orderBy(F.col("run_ts").desc())
 
 
