@@ -400,6 +400,39 @@ def q_shapley_sums(spark, sf):
     return rows.join(sums, ["product", "row"], "left").select("product", "row", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
+SMALL_SPACE = {
+    "n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 2), "learning_rate": ("float", 0.1, 0.9), "min_child_weight": ("int", 1, 1),
+    "subsample": ("float", 1.0, 1.0), "colsample_bytree": ("float", 1.0, 1.0),
+}
+HALVING = (
+    WHOLE
+    + f""",
+lagged AS (SELECT * FROM (SELECT product, ds, y, {LAGS}, {ROLLS}, {CALENDAR} FROM (SELECT product, ds, clean AS y FROM cl)) WHERE y_lag_12 IS NOT NULL AND y_roll_std_12 IS NOT NULL),
+every AS MATERIALIZED (SELECT product, y, row_number() OVER (PARTITION BY product ORDER BY ds) - 1 AS r, CAST(floor(count(*) OVER (PARTITION BY product) * 0.8) AS INTEGER) AS cut, [{TEMPORAL_X}] AS x FROM lagged),
+drawn AS MATERIALIZED (SELECT product, trial, CAST(floor({_uniform("product", "'rounds'", "trial")} * 3) + 2 AS INTEGER) AS rounds, CAST(0.1 AS DOUBLE) + {_uniform("product", "'rate'", "trial")} * CAST(0.8 AS DOUBLE) AS rate
+   FROM (SELECT DISTINCT product FROM every), (SELECT unnest(generate_series(1, 4)) AS trial)),
+seen AS MATERIALIZED (SELECT e.product || '#' || trial AS product, r, y, x FROM every e JOIN drawn d ON d.product = e.product WHERE r < cut),
+rates AS MATERIALIZED (SELECT product || '#' || trial AS product, rate FROM drawn),
+"""
+    + boosted_sql("seen", len(boosted.TEMPORAL), 4, 2, "rates")
+    + "," + DEEP_TWO
+    + f""",
+held AS (SELECT e.product, trial, rounds, y, x, base, trees FROM every e JOIN drawn d ON d.product = e.product JOIN forest f ON f.product = e.product || '#' || trial JOIN base b ON b.product = f.product WHERE r >= cut),
+scores AS (SELECT product, trial, budget, rung, avg(abs((y - (base + list_sum(list_transform(trees[1:budget], lambda t: {leaf_of("t", "x")})))) / (y + 1e-8))) AS score
+   FROM (SELECT *, 1 AS rung, CAST(ceil(rounds / 2) AS INTEGER) AS budget FROM held UNION ALL SELECT *, 2, rounds FROM held) GROUP BY 1, 2, 3, 4),
+one AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY score, trial) AS rank FROM scores WHERE rung = 1),
+two AS (SELECT s.*, row_number() OVER (PARTITION BY s.product ORDER BY s.score, s.trial) AS rank FROM scores s JOIN one o ON o.product = s.product AND o.trial = s.trial AND o.rank <= 2 WHERE s.rung = 2),
+t AS (SELECT product, rung, trial, budget, score, rank FROM one UNION ALL SELECT product, rung, trial, budget, score, rank FROM two)"""
+)
+
+
+@query("tune_search_trees", final(HALVING, "t", "product rung:i trial:i budget:i score:f rank:i", 5), 5)
+def q_tune_trees(spark, sf):
+    """Four trials of each supplier's trees, the better half with all their rounds."""
+    found = tuning.tune_trees(tree_table(spark, sf), len(boosted.TEMPORAL), 4, 2, 2, space=SMALL_SPACE)
+    return found.select("product", "rung", "trial", "budget", "score", "rank")
+
+
 REGRESSORS = ["discount", "price"]
 
 

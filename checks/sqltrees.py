@@ -1,12 +1,14 @@
 """Boosted trees of a few rounds as DuckDB text: every level is one histogram and one choice of split per node."""
 
 
-def boosted(rows: str, features: int, rounds: int, depth: int, rate: float) -> str:
+def boosted(rows: str, features: int, rounds: int, depth: int, rate: float | str) -> str:
     """CTEs over ``rows(product, r, y, x)``: ``code``, ``base``, ``fitted(product, r, yhat)``, ``splits``, ``leaves``.
 
     Nodes are numbered as in a heap (1, then 2 and 3, ...).  Gains are rounded as the fit rounds them, so that
-    equal ones are equal; the first feature and the lowest value win.
+    equal ones are equal; the first feature and the lowest value win.  ``rate`` is a number, or the name of a
+    relation ``(product, rate)``.
     """
+    rate = rate if isinstance(rate, str) else f"(SELECT DISTINCT product, CAST({rate} AS DOUBLE) AS rate FROM {rows})"
     out = [
         f"""x_long AS MATERIALIZED (SELECT product, r, unnest(range(0, {features})) AS j, unnest(x) AS v FROM {rows}),
 code AS MATERIALIZED (SELECT product, r, j, v, dense_rank() OVER (PARTITION BY product, j ORDER BY v) - 1 AS b FROM x_long),
@@ -33,7 +35,7 @@ e_0 AS MATERIALIZED (SELECT product, r, y - base AS e FROM {rows} JOIN base USIN
                 f"""n_{t}_{level + 1} AS MATERIALIZED (SELECT n.product, n.r, e, CASE WHEN s.j IS NULL THEN n.node WHEN code.b <= s.b THEN 2 * n.node ELSE 2 * n.node + 1 END AS node
  FROM {n} n LEFT JOIN {s} s ON s.product = n.product AND s.node = n.node LEFT JOIN code ON code.product = n.product AND code.r = n.r AND code.j = s.j)"""
             )
-        out.append(f"v_{t} AS MATERIALIZED (SELECT {t} AS t, product, node, count(*) AS cover, {rate} * sum(e) / (count(*) + 1) AS value FROM n_{t}_{depth} GROUP BY ALL)")
+        out.append(f"v_{t} AS MATERIALIZED (SELECT {t} AS t, n.product, node, count(*) AS cover, any_value(q.rate) * sum(e) / (count(*) + 1) AS value FROM n_{t}_{depth} n JOIN {rate} q ON q.product = n.product GROUP BY 2, 3)")
         leaves.append(f"SELECT * FROM v_{t}")
         out.append(f"e_{t + 1} AS MATERIALIZED (SELECT n.product, n.r, e - value AS e FROM n_{t}_{depth} n JOIN v_{t} v ON v.product = n.product AND v.node = n.node)")
     out.append(f"fitted AS (SELECT o.product, o.r, o.y - e AS yhat FROM {rows} o JOIN e_{rounds} USING (product, r))")

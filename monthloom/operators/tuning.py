@@ -2,10 +2,12 @@
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthloom.functions.expressions import uniform
+from monthloom.functions.expressions import ape_eps, array_sum, uniform
 from monthloom.models.boosted import gbt_fit
+from monthloom.models.grown import OPTION_NAMES, grow_trees, tree_score
 from monthloom.models.regress import with_trial_scores
 from monthloom.models.sarima import sarima_trial_scores
 from monthloom.models.smoothing import hw_trial_scores
@@ -115,6 +117,60 @@ def tune_regression(packed: DataFrame, trials: int = 5, ratio: float = 0.2, xs:
     return _choose(scored, direction)
 
 
+# option of the trees -> name in the search space, and its type
+_TREES = {
+    "rounds": ("n_estimators", "int"),
+    "depth": ("max_depth", "int"),
+    "rate": ("learning_rate", "double"),
+    "min_child_weight": ("min_child_weight", "double"),
+    "subsample": ("subsample", "double"),
+    "colsample": ("colsample_bytree", "double"),
+}
+
+
+def tune_trees(
+    packed: DataFrame, features: int, trials: int = 8, rungs: int = 3, keep: int = 2, ratio: float = 0.2, space: dict | None = None
+) -> DataFrame:
+    """Successive halving of the trees' parameters for every product: ``product, rung, trial, <options>, budget, score, rank``.
+
+    All trials of all products grow a part of their rounds in one pass, with the trial as a key, and are scored on
+    the last rows (``ratio``) of ``x`` and ``target``; of each product's trials one in ``keep`` goes on with ``keep``
+    times the rounds, the last rung has them all.  Ranks are by score, failed trials last, ties to the first trial.  The
+    number of passes is the number of rungs, whatever the number of trials and products.
+    """
+    found = space or SEARCH_SPACES["XGBoost"]
+    drawn = _draw_trials(packed.select("product", "x", "target"), {o: found[k] for o, (k, _) in _TREES.items()}, {o: t for o, (_, t) in _TREES.items()}, trials)
+    alive = drawn.select("product", "x", "target", F.inline("trials"))
+    cut = F.floor(F.size("target") * (1 - ratio)).cast("int")
+    rows, best = [], W.partitionBy("product")
+    for rung in range(1, rungs + 1):
+        budget = F.greatest(F.ceil(F.col("rounds") / keep ** (rungs - rung)), F.lit(1)).cast("int")
+        alive = alive.withColumn("budget", budget)
+        options = F.struct(F.col("budget").alias("rounds"), *[F.col(o) for o in OPTION_NAMES if o != "rounds"])
+        grown = grow_trees(alive, features, {"_trees": cut}, options=options)
+        held = F.arrays_zip(F.slice("target", cut + 1, F.size("target")).alias("y"), F.slice("x", cut + 1, F.size("target")).alias("x"))
+        errors = F.transform(held, lambda h: ape_eps(h["y"], tree_score(F.col("_trees"), h["x"])))
+        mean = array_sum(errors) / F.size(errors)
+        score = F.when(mean.isNotNull() & ~F.isnan(mean), mean).otherwise(float("inf"))
+        ranked = grown.withColumn("score", score).drop("_trees")
+        ranked = ranked.withColumn("rank", F.row_number().over(best.orderBy("score", "trial"))).withColumn("_n", F.count(F.lit(1)).over(best))
+        ranked = reuse(ranked)
+        rows.append(ranked.select("product", F.lit(rung).alias("rung"), "trial", *OPTION_NAMES, "budget", "score", "rank"))
+        alive = ranked.filter(F.col("rank") <= F.ceil(F.col("_n") / keep)).drop("budget", "score", "rank", "_n")
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def best_of_rungs(scored: DataFrame) -> DataFrame:
+    """The winner of the last rung: ``product, trial, <options>, best_value``."""
+    last = scored.groupBy("product").agg(
+        F.min_by(F.struct("trial", *OPTION_NAMES, F.col("score").alias("best_value")), F.struct(-F.col("rung"), F.col("rank"))).alias("b")
+    )
+    return last.select("product", "b.*")
+
+
 def tune_boosted(table: DataFrame, features, trials: int = 5, ratio: float = 0.2, direction: str = "minimize") -> dict:
     """Best boosting parameters for the one model all products share.
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.models.boosted import TEMPORAL, gbt_fit, training_table, tree_gains, tree_path
-from monthloom.models.grown import gain_shares, grow_trees, grown_path, pack_rows, shapley_importance
+from monthloom.models.grown import OPTION_NAMES, gain_shares, grow_trees, grown_path, pack_rows, shapley_importance
 from monthloom.models.regress import with_regression
 from monthloom.operators.calendar import pack, reindex_calendar
 from monthloom.operators.encoding import encode_and_scale
@@ -18,6 +18,7 @@ from monthloom.operators.influence import (
 )
 from monthloom.operators.joins import cross_product, split_with_features
 from monthloom.operators.temporal import temporal_features
+from monthloom.operators.tuning import best_of_rungs, tune_trees
 from monthloom.operators.screening import require_inputs, require_nonempty
 from monthloom.plans.common import (
     Outlook,
@@ -30,7 +31,7 @@ from monthloom.plans.common import (
     split_arrays,
 )
 from monthloom.session import reuse
-from monthloom.settings import IMPORTANCE_ORDER, IMPORTANCE_ORDER_DEFAULT_RUN, Settings
+from monthloom.settings import IMPORTANCE_ORDER, IMPORTANCE_ORDER_DEFAULT_RUN, SEARCH_SPACES, Settings
 
 UNIVARIATE = ("SARIMA", "HoltWinters")
 MULTIVARIATE = ("XGBoost", "Prophet")
@@ -70,7 +71,8 @@ def _grown(packed, names, inputs, s: Settings, tree_options):
     """
     test_months, last_month = _ahead(names, s)
     fits = {"_first": F.col("n_known"), "_final": F.size("target")}
-    df = grow_trees(packed, len(inputs), fits, **tree_options)
+    chosen = F.col("_options") if "_options" in packed.columns else None
+    df = grow_trees(packed, len(inputs), fits, options=chosen, **tree_options)
     start, width = F.col("start"), len(names)
     df = df.withColumns(
         {
@@ -82,6 +84,18 @@ def _grown(packed, names, inputs, s: Settings, tree_options):
     return df.drop("_first", "_final")
 
 
+def _tuned(packed, inputs, trials: int, space):
+    """Adds ``_options``: the parameters that win on the months before the test; and the table of the winners."""
+    known = packed.select("product", F.slice("x", F.lit(1), F.col("n_known")).alias("x"), F.slice("target", F.lit(1), F.col("n_known")).alias("target"))
+    best = reuse(best_of_rungs(tune_trees(known, len(inputs), trials, space=space)))
+    own = best.select("product", F.struct(*OPTION_NAMES).alias("_options"))
+    params = best.select(
+        "product", F.lit("XGBoost").alias("model"), F.lit("tune").alias("origin"), F.to_json(F.struct(*OPTION_NAMES)).alias("params_json"),
+        F.lit(True).alias("retrained"), F.lit(trials).alias("trials"),
+    )
+    return packed.join(own, "product", "left"), params
+
+
 def _boosted(table, packed, names, inputs, s: Settings, tree_options):
     """The same columns from one model for all products: two distributed fits.
 
@@ -118,10 +132,14 @@ def run_features(
     extra=None,
     product_mode: str = "per_product",
     importance_order=IMPORTANCE_ORDER,
+    tree_trials: int = 0,
+    tree_space: dict | None = None,
 ) -> Outlook:
     """Feature run: boosted trees and regression with each product's own features.
 
-    With ``product_mode='multi_product'`` one model of trees serves all products.
+    With ``product_mode='multi_product'`` one model of trees serves all products.  With ``tree_trials`` each
+    product's trees have the parameters that win a search (``tune_trees``) before the test months; ``Outlook.params``
+    holds them.
     ``extra(cleaned) -> (frame, names)`` may add further numeric feature columns.  The switches of
     ``settings`` say which importances are computed; one that is switched off is not in any plan.
     """
@@ -142,18 +160,23 @@ def run_features(
     own = product_mode == "per_product"
     inputs = (*TEMPORAL, *names) if own else (*TEMPORAL, "level", *names)
     packed = split_arrays(_packed_rows(table, names, (*TEMPORAL, *names)), s)
-    fitted, options = packed, tree_options or {}
+    params, options = None, tree_options or {}
+    if tree_trials and own and "XGBoost" in s.models:
+        packed, params = _tuned(packed, inputs, tree_trials, tree_space)
+    fitted = packed
     if "XGBoost" in s.models:
         fitted = _grown(fitted, names, inputs, s, options) if own else _boosted(table, fitted, names, inputs, s, options)
     if "Prophet" in s.models:
         fitted = _regression(fitted, names, s)
     univariate = [m for m in s.models if m in UNIVARIATE]
-    fitted = reuse(fit_packed(fitted.drop("x", "target", "n_known"), s, univariate))
+    fitted = reuse(fit_packed(fitted.drop("x", "target", "n_known", "_options"), s, univariate))
     out = blend(cleaned_report(prepared), model_rows(fitted, s.models), s, s.models, table=table, fitted=fitted)
 
     def trees():
         # they are large, so they are not kept with the results but grown again where attribution is asked for
-        return grow_trees(packed.select("product", "x", "target"), len(inputs), {"trees": F.size("target")}, **options)
+        chosen = F.col("_options") if params is not None else None
+        own_rows = packed.select("product", "x", "target", *(["_options"] if params is not None else []))
+        return grow_trees(own_rows, len(inputs), {"trees": F.size("target")}, options=chosen, **options)
 
     measures = {
         ("XGBoost", "builtin"): lambda: fitted.select("product", F.inline("gain_XGBoost")),
@@ -161,7 +184,8 @@ def run_features(
         ("Prophet", "permutation"): lambda: effect_importance(fitted, names),
     }
     if own:
-        measures["XGBoost", "shap"] = lambda: shapley_importance(trees(), "trees", options.get("depth", 6), inputs)
+        deepest = (tree_space or SEARCH_SPACES["XGBoost"])["max_depth"][2] if params is not None else options.get("depth", 6)
+        measures["XGBoost", "shap"] = lambda: shapley_importance(trees(), "trees", deepest, inputs)
 
     def importances():
         """``product, model, imp_type, feature, pct`` of the measures that the switches allow."""
@@ -175,6 +199,7 @@ def run_features(
             return table.sparkSession.createDataFrame([], "product string, model string, imp_type string, feature string, pct double")
         return combine_importances(*found)
 
+    out.params = params
     out.extras["importances"] = importances
     out.extras["ensemble_importance"] = lambda: ensemble_importance(
         importance_priority(out.extras["importances"], importance_order), out.weights
