@@ -30,10 +30,17 @@ def get_spark(app: str = "monthloom", master: str | None = None, **conf) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one, else one in the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one, else one in the warehouse.
+
+    A warehouse on the driver's own disk is no such folder for the executors of a cluster.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_monthloom"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = warehouse.startswith("file:") or "://" not in warehouse
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = warehouse.rstrip("/") + "/_monthloom"
     return path.rstrip("/")
 
 

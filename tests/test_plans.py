@@ -1,5 +1,6 @@
 """Whole runs on the four synthetic patterns."""
 
+import json
 import uuid
 
 import pytest
@@ -117,3 +118,31 @@ def test_parameters_are_searched_saved_and_used_again(spark, long, patterns):
     plain = run_univariate(demand, s, config=spark.createDataFrame([("HoltWinters", False, None)], kind))
     assert {r["origin"] for r in plain.params.collect()} == {"none"}
     assert path(plain) == pytest.approx(path(run_univariate(demand, s)))
+
+
+def test_modes_searches_and_switches_of_trees(spark, long, patterns):
+    demand = long(patterns)
+    feats = features_of(demand)
+    s = Settings(models=("XGBoost",), **SHORT)
+    pooled = run_features(demand, feats, ["promo"], ["price"], s, tree_options=TREES, product_mode="multi_product")
+    check(pooled, 4, ["XGBoost"], 6)
+    assert {r["imp_type"] for r in pooled.extras["importances"].select("imp_type").distinct().collect()} == {"builtin"}
+    with pytest.raises(ValueError, match="product_mode"):
+        run_features(demand, feats, ["promo"], ["price"], s, product_mode="all")
+
+    space = {
+        "n_estimators": ("int", 4, 8), "max_depth": ("int", 1, 3), "learning_rate": ("float", 0.1, 0.5), "min_child_weight": ("int", 1, 3),
+        "subsample": ("float", 0.7, 1.0), "colsample_bytree": ("float", 0.7, 1.0),
+    }
+    tuned = run_features(demand, feats, ["promo"], ["price"], s, tree_trials=4, tree_space=space)
+    check(tuned, 4, ["XGBoost"], 6)
+    used = {r["product"]: json.loads(r["params_json"]) for r in tuned.params.collect()}
+    assert len(used) == 4 and all(4 <= u["rounds"] <= 8 and 1 <= u["depth"] <= 3 for u in used.values())
+
+    kinds = lambda o: {r["imp_type"] for r in o.extras["importances"].select("imp_type").distinct().collect()}
+    own = run_features(demand, feats, ["promo"], ["price"], s, tree_options=TREES)
+    assert kinds(own) == {"builtin", "shap"}
+    plain = run_features(demand, feats, ["promo"], ["price"], Settings(models=("XGBoost", "Prophet"), shap=False, **SHORT), tree_options=TREES)
+    assert kinds(plain) == {"builtin", "regressor_coefficients", "permutation"}
+    off = run_features(demand, feats, ["promo"], ["price"], Settings(models=("XGBoost",), importance=False, **SHORT), tree_options=TREES)
+    assert off.extras["importances"].isEmpty()
