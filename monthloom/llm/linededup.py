@@ -284,11 +284,13 @@ def kept(docs: DataFrame, index: LineIndex) -> DataFrame:
     A line goes if at least ``min_docs`` documents of the index hold its key and another document
     is the largest of them; repeated within a document, it goes everywhere.  Other lines stay as they were, joined by
     ``\\n``; a null or empty text is one empty line.  Repeated rows are all judged alike; an empty
-    table gives an empty one.  Further columns are left alone, but for one named ``__lines`` or
-    ``__may``, which is replaced.
+    table gives an empty one.  Further columns are left alone, but for one named ``__lines``, which
+    is replaced.
     """
     spark, min_length = docs.sparkSession, index.min_length
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("__lines", "__may")]
+    # own columns stand in a struct, so that no name of theirs meets one used here
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "__lines"]
+    docs = docs.select(F.struct(*columns).alias("__row"), "doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
 
     @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
@@ -310,7 +312,7 @@ def kept(docs: DataFrame, index: LineIndex) -> DataFrame:
     untouched = F.struct(whole.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).alias("__lines")
     held = index.held().select("k1", "k2", "top_doc")
     if _filter_bytes(index) <= FILTER_BYTES:
-        marked = docs.select(*columns, _suspects(spark, index)("text").alias("__may"))
+        marked = docs.select("*", _suspects(spark, index)("text").alias("__may"))
         asked = marked.select("doc_id", F.explode("__may").alias("k")).select("doc_id", "k.k1", "k.k2")
         clean, open_ = marked.where(F.size("__may") == 0), marked.where(F.size("__may") > 0)
     else:
@@ -319,10 +321,10 @@ def kept(docs: DataFrame, index: LineIndex) -> DataFrame:
     bad = bad.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
     gone = F.coalesce("__gone", F.array().cast("array<struct<k1:long,k2:long>>"))
     judged = open_.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    out = judged.select(*columns, without("text", gone).alias("__lines"))
-    if clean is None:
-        return out
-    return out.unionByName(clean.select(*columns, untouched))
+    out = judged.select("__row", without("text", gone).alias("__lines"))
+    if clean is not None:
+        out = out.unionByName(clean.select("__row", untouched))
+    return out.select("__row.*", "__lines")
 
 
 def digest(lines: DataFrame) -> DataFrame:
