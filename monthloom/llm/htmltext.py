@@ -8,6 +8,7 @@ their nearest decided neighbours.
 
 from __future__ import annotations
 
+import heapq
 import re
 from html import unescape
 
@@ -71,7 +72,7 @@ _BLOCK = frozenset(
 )
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOT_TEXT = frozenset("head script style template noscript svg math object canvas audio video map title textarea iframe".split())
+_NOT_TEXT = frozenset("head script style template noscript svg annotation annotation-xml object canvas audio video map title textarea iframe".split())
 _NOT_MAIN = frozenset("nav footer aside menu select button dialog label input datalist".split())
 # Often not the article, but some sites put a whole page into one
 _MAYBE_NOT_MAIN = frozenset("form fieldset".split())
@@ -92,6 +93,14 @@ _NEVER_MAIN_WORDS = frozenset(
     cookie cookies consent gdpr popup modal related recommended recommendations trending
     comment comments commentlist disqus reply replies respond discussion""".split()
 )
+# Words that may stand beside those in a compound name, which then still names the same thing
+_PLAIN_PARTS = frozenset(
+    """area bar block body bottom box button buttons card container content entries feed form footer header heading
+    holder icon icons inner item items left link links list main message navigation outer panel post posts article articles
+    region right row section slot space story stories text thread title top unit wrap wrapper""".split()
+)
+# Elements that are text of an article whatever their class is
+_QUOTED = frozenset("blockquote pre code figure q table math".split())
 # Class names that say something about an element's neighbours or state, not what it is
 _MODIFIER = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show)(?:[-_]|$)")
 _MAIN = frozenset(("article", "main"))
@@ -108,16 +117,16 @@ _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 class _Maybe:
     """An element whose class, id or kind says that it is not part of the article, which its contents may refute."""
 
-    __slots__ = ("holds_main", "never", "refuted")
+    __slots__ = ("children", "holds_main", "main", "never", "own", "parent", "refuted", "whole")
 
-    def __init__(self, never: bool):
-        self.never, self.holds_main, self.refuted = never, False, False
+    def __init__(self, never: bool, parent: _Maybe | None):
+        self.never, self.parent, self.holds_main, self.refuted = never, parent, False, False
 
 
 class _Block:
     __slots__ = ("heading", "linked", "main", "maybe", "out", "parts")
 
-    def __init__(self, main: bool, out: bool, heading: bool, maybe: tuple[_Maybe, ...] = ()):
+    def __init__(self, main: bool, out: bool, heading: bool, maybe: _Maybe | None = None):
         self.parts, self.linked, self.main, self.out, self.heading, self.maybe = [], 0, main, out, heading, maybe
 
 
@@ -159,8 +168,12 @@ def _events(html: str):
             at = end if stop is None else stop.start()
 
 
-def _names_other(attributes: str, name: str) -> tuple[bool, frozenset[str]]:
-    """Whether role or visibility say that an element is not part of the article, and words of its class and id that do."""
+def _names_other(attributes: str, name: str, inside: bool = False) -> tuple[bool, frozenset[str]]:
+    """Whether role or visibility say that an element is not part of the article, and words of its class and id that do.
+
+    Inside the article a compound name counts only if all its parts are such words or plain ones: ``related-posts``
+    names other pages, ``related-work`` does not.
+    """
     words: set[str] = set()
     if not attributes.strip():
         return False, frozenset()
@@ -172,6 +185,8 @@ def _names_other(attributes: str, name: str) -> tuple[bool, frozenset[str]]:
                 if not _MODIFIER.match(token):
                     # of an article's compound names, as comment-status-open, no part says what it is
                     parts = [token] if name in _MAIN else _CLASS_WORDS.findall(token)
+                    if inside and (name in _QUOTED or not _NOT_MAIN_WORDS.union(_PLAIN_PARTS).issuperset(parts)):
+                        continue
                     words.update(_NOT_MAIN_WORDS.intersection(parts))
         elif (key == "role" and value in _NOT_MAIN_ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True, frozenset()
@@ -185,16 +200,19 @@ def blocks_of(html: str) -> list[_Block]:
     blocks: list[_Block] = []
     # of every open element: name, whether it holds no text, is not part of the article, is the article, may not be part of it
     stack: list[tuple[str, bool, bool, bool, _Maybe | None]] = []
-    maybe: list[_Maybe] = []
-    silent = out = main = links = breaks = 0
+    inner: _Maybe | None = None  # the innermost of them that is open
+    open_names: dict[str, int] = {}
+    silent = out = main = links = breaks = headings = 0
     block = None
 
     def leave(k):
-        nonlocal silent, out, main, links
-        for name, s, o, m, x in stack[k:]:
+        nonlocal silent, out, main, links, headings, inner
+        for name, s, o, m, x in reversed(stack[k:]):
             silent, out, main, links = silent - s, out - o, main - m, links - (name == "a")
+            headings -= name in _HEADINGS
+            open_names[name] -= 1
             if x is not None:
-                maybe.pop()
+                inner = x.parent
         del stack[k:]
 
     for kind, name, rest in _events(html):
@@ -204,7 +222,7 @@ def blocks_of(html: str) -> list[_Block]:
             if block is None:
                 if not rest.strip():
                     continue
-                block = _Block(main > 0, out > 0, any(x[0] in _HEADINGS for x in stack), tuple(maybe))
+                block = _Block(main > 0, out > 0, headings > 0, inner)
                 blocks.append(block)
             block.parts.append(rest)
             if links:
@@ -238,21 +256,24 @@ def blocks_of(html: str) -> list[_Block]:
             if rest.rstrip().endswith("/") and name in ("svg", "path"):
                 continue
             s = name in _NOT_TEXT
-            other, words = _names_other(rest, name)
+            other, words = _names_other(rest, name, main > 0)
             o = name in _NOT_MAIN or (name == "header" and not main) or other
             m = name in _MAIN and not out and not o
-            x = _Maybe(not _NEVER_MAIN_WORDS.isdisjoint(words)) if not o and (words or name in _MAYBE_NOT_MAIN) else None
+            x = _Maybe(not _NEVER_MAIN_WORDS.isdisjoint(words), inner) if not o and (words or name in _MAYBE_NOT_MAIN) else None
             if x is not None:
-                maybe.append(x)
+                inner = x
             if m and not main:
-                for y in maybe:
-                    y.holds_main = True
+                y = inner
+                while y is not None and not y.holds_main:  # beyond one that is known all are
+                    y.holds_main, y = True, y.parent
             if (o or x is not None) and block is not None and not out:
                 block = None
             stack.append((name, s, o, m, x))
+            open_names[name] = open_names.get(name, 0) + 1
+            headings += name in _HEADINGS
             silent, out, main, links = silent + s, out + o, main + m, links + (name == "a")
         else:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_names.get(name) else ():
                 if stack[k][0] == name:
                     if any(x[2] or x[4] is not None for x in stack[k:]):
                         block = None
@@ -275,29 +296,45 @@ def refute(blocks: list[_Block], texts: list[str], short: int, link_share: float
     """
     if not any(b.maybe for b in blocks):
         return
-    weights = [
-        0 if b.out or size_of(t) < short or b.linked > link_share * len(t) else size_of(t)
-        for t, b in zip(texts, blocks, strict=True)
-    ]
-    while True:
-        rest, marked, inside = 0, False, {}
-        for w, b in zip(weights, blocks, strict=True):
-            first = next((x for x in b.maybe if not x.refuted), None)  # the outermost
-            if first is None:
-                rest += w
-                marked |= b.main and not b.out
-            elif not b.out:
-                inside[first] = inside.get(first, 0) + w
-        found = [
-            (x.holds_main, n, -i, x)
-            for i, (x, n) in enumerate(inside.items())
-            if (x.holds_main and not marked and n >= rest) or (n > rest and not x.never)
-        ]
-        if not found:
-            break
-        max(found, key=lambda f: f[:3])[3].refuted = True
+    seen: dict[_Maybe, int] = {}  # every such element around some block, outer ones first
+    rest, marked = 0, False
+    for t, b in zip(texts, blocks, strict=True):
+        x, chain = b.maybe, []
+        while x is not None and x not in seen:
+            chain.append(x)
+            x = x.parent
+        for x in reversed(chain):
+            seen[x] = len(seen)
+            x.own = x.whole = 0
+            x.main, x.children = False, []
+            if x.parent is not None:
+                x.parent.children.append(x)
+        w = 0 if b.out or size_of(t) < short or b.linked > link_share * len(t) else size_of(t)
+        if b.maybe is None:
+            rest += w
+            marked |= b.main and not b.out
+        else:
+            b.maybe.own += w
+            b.maybe.main |= b.main and not b.out
+    for x in reversed(seen):
+        x.whole += x.own
+        if x.parent is not None:
+            x.parent.whole += x.whole
+    # What stands outside only grows, so an element that does not outweigh it once never will.
+    waiting = [(not x.holds_main, -x.whole, k, x) for x, k in seen.items() if x.parent is None]
+    heapq.heapify(waiting)
+    while waiting:
+        _, _, _, x = heapq.heappop(waiting)
+        if (x.holds_main and not marked and x.whole >= rest) or (x.whole > rest and not x.never):
+            x.refuted = True
+            rest += x.own
+            marked |= x.main
+            for y in x.children:
+                heapq.heappush(waiting, (not y.holds_main, -y.whole, seen[y], y))
+    for x in seen:  # refuted only if all around it are
+        x.refuted = x.refuted and (x.parent is None or x.parent.refuted)
     for b in blocks:
-        b.out = b.out or not all(x.refuted for x in b.maybe)
+        b.out = b.out or (b.maybe is not None and not b.maybe.refuted)
 
 
 GOOD, BAD, OPEN = 1, 0, -1
