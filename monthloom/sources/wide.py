@@ -2,11 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from monthloom.functions.expressions import coerce_numeric, month_of, parse_period
 from monthloom.operators.joins import feature_prefix_match
 
 
+#: Between column names where they are one text.
+_MARK = "\x01"
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """CSV (first row = headers, everything text), JSON or Parquet."""
     fmt = fmt or ("csv" if path.endswith((".csv", ".csv.gz")) else "json" if path.endswith(".json") else "parquet")
@@ -67,15 +72,17 @@ def drop_empty_series(demand: DataFrame) -> DataFrame:
 
 
 def feature_store_long(wide: DataFrame, date_column: str | int = 0) -> DataFrame:
-    """``ds, column, value`` from one row per date; dates snap to the month start."""
+    """``ds, column, value`` from one row per date; dates snap to the month start.
+
+    The header is one value and the cells of a row are one array of text, taken apart by position, so
+    nothing is written per column but the cells themselves.
+    """
     date = wide.columns[column_index(date_column)]
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in wide.columns
-        if c != date
-    ]
-    ds = month_of(F.col(f"`{date}`").cast("date")).alias("ds")
-    return wide.select(ds, F.inline(F.array(*cells)))
+    names = [c for c in wide.columns if c != date]
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (date, *names)])
+    cells = wide.to(text).withColumnRenamed(date, "_date").selectExpr("trunc(CAST(_date AS DATE), 'month') AS ds", "array(* EXCEPT (_date)) AS _cells")
+    header = F.split(F.lit(_MARK.join(names)), _MARK)
+    return cells.select("ds", F.posexplode("_cells").alias("_at", "value")).select("ds", F.get(header, F.col("_at")).alias("column"), "value")
 
 
 def product_features(store: DataFrame, products: DataFrame, kinds: dict) -> DataFrame:
