@@ -255,7 +255,8 @@ def grown_few(spark, sf):
 
 
 def fitted_rows(df):
-    z = F.arrays_zip(F.col("target").alias("y"), F.transform("x", lambda v: grown.tree_score(F.col("trees"), v)).alias("yhat"))
+    df = df.withColumn("yhat", grown.tree_scores(F.col("trees"), F.col("x")))
+    z = F.arrays_zip(F.col("target").alias("y"), "yhat")
     return df.select("product", F.posexplode(z).alias("r", "z")).select("product", "r", "z.y", "z.yhat")
 
 
