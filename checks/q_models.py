@@ -18,6 +18,7 @@ from monthloom.operators.calendar import unpack
 from monthloom.operators.joins import join_features
 from monthloom.operators.temporal import temporal_features
 from monthloom.plans.common import prepare
+from monthloom.session import reuse
 from monthloom.settings import Settings
 
 
@@ -395,7 +396,7 @@ t AS (SELECT f.product, f.r AS row, yhat - mean AS total FROM fitted f JOIN mean
 )
 def q_shapley_sums(spark, sf):
     """The shares of a row sum to its prediction minus the mean prediction of the trees."""
-    df = grown_few(spark, sf)
+    df = reuse(grown_few(spark, sf))  # read for the rows and for their shares
     rows = df.select("product", F.posexplode("x").alias("row", "_x")).drop("_x")
     sums = grown.tree_shapley(df, "trees", FEW["depth"]).groupBy("product", "row").agg(F.sum("phi").alias("total"))
     return rows.join(sums, ["product", "row"], "left").select("product", "row", F.coalesce("total", F.lit(0.0)).alias("total"))
