@@ -99,3 +99,14 @@ def test_attribution_stays_in_the_row(spark):
         for i, v in enumerate(x):
             assert total.get((name, i), 0.0) == pytest.approx(predict(trees[name], v) - mean, abs=1e-9)
     df.unpersist()
+
+
+def test_paths_and_gains_of_both_fits_are_one_step(spark):
+    """As nested array functions each month of each tree was interpreted node by node."""
+    rows, df = make(spark, [30, 5])
+    df = df.select("*", F.col("target").alias("ys"), F.lit(datetime.date(2020, 1, 1)).alias("start"))
+    grown = G.grow_trees(df, 4, {"first": F.lit(4), "final": F.size("target")}, rounds=3, depth=2)
+    paths = {name: G.grown_path(F.col(name), F.col("ys"), F.col("start"), F.lit(12)) for name in ("first", "final")}
+    both = grown.select(*[c.alias(f"p_{name}") for name, c in paths.items()], G.gain_shares(F.col("final"), list("abcd")).alias("gain"))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and all(len(r["p_final"]) == 12 and len(r["gain"]) == 4 for r in both.collect())
