@@ -110,3 +110,26 @@ def test_paths_and_gains_of_both_fits_are_one_step(spark):
     both = grown.select(*[c.alias(f"p_{name}") for name, c in paths.items()], G.gain_shares(F.col("final"), list("abcd")).alias("gain"))
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and all(len(r["p_final"]) == 12 and len(r["gain"]) == 4 for r in both.collect())
+
+
+def test_gains_are_worked_out_for_cuts_near_the_best_only(monkeypatch):
+    """Every cut of every feature went through all the arithmetic of its gain, rounded at the end."""
+    r = np.random.default_rng(4)
+    x, y = np.round(r.normal(size=(6, 48, 19)), 1), r.normal(size=(6, 48))
+    x[:, :, 7] = -x[:, :, 2]
+    options = {o: np.full(6, v) for o, v in zip(G.OPTION_NAMES, (1, 1, 0.3, 3.0, 1.0, 1.0), strict=True)}
+    rint, rounded = np.rint, []
+    monkeypatch.setattr(np, "rint", lambda v, *a, **k: rounded.append(np.size(v)) or rint(v, *a, **k))
+    _, ((_, feature, at, *_, gains),) = G.grow(x, y, np.ones((6, 48), bool), options)
+    assert sum(rounded) < x.size / 2
+    for s in range(6):
+        rest, found = y[s] - y[s].mean(), []
+        for k in range(19):
+            for v in np.unique(x[s, :, k])[:-1]:
+                low, high = rest[x[s, :, k] <= v], rest[x[s, :, k] > v]
+                if min(len(low), len(high)) >= 3:
+                    gain = (low.sum() ** 2 / (len(low) + 1) + high.sum() ** 2 / (len(high) + 1) - rest.sum() ** 2 / 49) / (rest**2).sum()
+                    found.append((-round(gain * 1e9), k, v))
+        gain, k, v = min(found)
+        above = x[s, :, k][x[s, :, k] > v].min()
+        assert feature[s, 0] == k and at[s, 0] == pytest.approx((v + above) / 2) and gains[s, 0] == pytest.approx(-gain / 1e9, abs=2e-9)
