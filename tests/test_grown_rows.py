@@ -133,3 +133,38 @@ def test_gains_are_worked_out_for_cuts_near_the_best_only(monkeypatch):
         gain, k, v = min(found)
         above = x[s, :, k][x[s, :, k] > v].min()
         assert feature[s, 0] == k and at[s, 0] == pytest.approx((v + above) / 2) and gains[s, 0] == pytest.approx(-gain / 1e9, abs=2e-9)
+
+
+def test_trees_are_read_where_they_grow(spark):
+    """As a column, a product's trees went through the JVM and a second Python process: half a megabyte for some hundred numbers."""
+    _, df = make(spark, [30, 5, 48], seed=6)
+    df = df.unionByName(spark.createDataFrame([("none", None, None), ("empty", [], [])], df.schema))
+    df = df.select("*", F.col("target").alias("ys"), F.lit(datetime.date(2020, 1, 1)).alias("start"))
+    fits, options, names = {"first": F.lit(4), "final": F.size("target")}, {"rounds": 5, "depth": 4, "rate": 0.5}, list("abcd")
+    readings = {
+        "path": ("first", G.path_reading(F.col("ys"), F.col("start"), F.lit(3))), "gain": ("final", G.gain_reading(names)),
+        "shap": ("final", G.shapley_shares(4, names)), "phi": ("final", G.shapley_reading(4, F.col("x"))),
+    }
+    read = G.grow_trees(df, 4, fits, reads=readings, **options)
+    assert read.columns == [*df.columns, *readings]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    apart = G.grow_trees(df, 4, fits, **options).select("product", *[r.over(F.col(fit)).alias(c) for c, (fit, r) in readings.items()])
+    want = {r["product"]: r for r in apart.collect()}
+    got = {r["product"]: r for r in read.select(*apart.columns).collect()}
+    assert got == want and abs(sum(s["pct"] for s in got["p0"]["shap"]) - 100) < 0.05 and got["empty"]["path"] is None
+
+
+def test_importance_grows_its_trees_once(spark):
+    """Rows were counted from a second copy of the trees, and totals joined to them."""
+    _, df = make(spark, [30, 12], seed=7)
+    trees = G.grow_trees(df, 4, {"t": F.size("target")}, rounds=5, depth=4, rate=0.5)
+    shares = G.shapley_importance(trees, "t", 4, list("abcd"))
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+    total = {}
+    for r in G.tree_shapley(trees, "t", 4).collect():
+        total[r["product"], r["feature"]] = total.get((r["product"], r["feature"]), 0.0) + abs(r["phi"])
+    for r in shares.collect():
+        every = sum(v for (p, _), v in total.items() if p == r["product"])
+        assert r["pct"] == pytest.approx(100 * total.get((r["product"], "abcd".index(r["feature"])), 0.0) / every, abs=0.006)
