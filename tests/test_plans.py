@@ -146,3 +146,19 @@ def test_modes_searches_and_switches_of_trees(spark, long, patterns):
     assert kinds(plain) == {"builtin", "regressor_coefficients", "permutation"}
     off = run_features(demand, feats, ["promo"], ["price"], Settings(models=("XGBoost",), importance=False, **SHORT), tree_options=TREES)
     assert off.extras["importances"].isEmpty()
+
+
+def test_trees_stay_in_the_pass_that_grows_them(spark, long, patterns):
+    """The backtest's and the final trees were columns of the plan, and importances grew the final ones twice more."""
+    demand = long({k: patterns[k] for k in ("Trending", "Seasonal")})
+    s = Settings(models=("XGBoost", "Prophet"), **SHORT)
+    out = run_features(demand, features_of(demand), ["promo"], ["price"], s, tree_options=TREES)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    for rows in (out.extras["fitted"], out.extras["explained"]):
+        assert plan(rows).count("MapInArrow") == 1 and "_first#" not in plan(rows) and "_final#" not in plan(rows)
+    assert "shap_XGBoost" in out.extras["explained"].columns and "shap_XGBoost" not in out.extras["fitted"].columns
+    assert out.extras["explained"].storageLevel.useDisk
+    assert plan(out.extras["importances"]).count("MapInArrow") == 4  # each of the four measures reads the kept rows
+    kept = {r["product"]: r for r in out.extras["fitted"].select("product", "bt_XGBoost", "fc_XGBoost", "gain_XGBoost").collect()}
+    again = {r["product"]: r for r in out.extras["explained"].select("product", "bt_XGBoost", "fc_XGBoost", "gain_XGBoost").collect()}
+    assert kept == again
