@@ -168,3 +168,14 @@ def test_importance_grows_its_trees_once(spark):
     for r in shares.collect():
         every = sum(v for (p, _), v in total.items() if p == r["product"])
         assert r["pct"] == pytest.approx(100 * total.get((r["product"], "abcd".index(r["feature"])), 0.0) / every, abs=0.006)
+
+
+def test_sums_of_cuts_are_compared_by_their_extremes(monkeypatch):
+    """Every sum to the left of a cut was turned into a distance, in passes of its own over rows times features."""
+    r = np.random.default_rng(8)
+    x, y = np.round(r.normal(size=(6, 48, 19)), 1), r.normal(size=(6, 48))
+    options = {o: np.full(6, v) for o, v in zip(G.OPTION_NAMES, (1, 6, 0.3, 1.0, 1.0, 1.0), strict=True)}
+    absolute, turned = np.abs, []
+    monkeypatch.setattr(np, "abs", lambda v, *a, **k: turned.append(np.size(v)) or absolute(v, *a, **k))
+    G.grow(x, y, np.ones((6, 48), bool), options)
+    assert sum(turned) < x.size
